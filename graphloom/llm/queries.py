@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, simhash, sstable
+from . import containment, langid, packing, quality, simhash, sstable
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("sample_key", 6).alias("sample_key"))
 
 
+def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_held_out(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op9_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.encode_to_shards(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_importance_resampling, op4_language_mixture, op5_simhash_near_dedup, op6_best_fit_packing, op9_sorted_string_table)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_importance_resampling, op3_benchmark_containment, op4_language_mixture, op5_simhash_near_dedup, op6_best_fit_packing, op9_sorted_string_table)}
 ORACLES: dict[str, str] = {}
