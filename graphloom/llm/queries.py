@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, hilbert, langid, packing, quality, simhash, sstable
+from . import containment, hilbert, langid, packing, quality, secrets, simhash, sstable
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op7_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -50,5 +54,5 @@ def op9_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.encode_to_shards(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_importance_resampling, op3_benchmark_containment, op4_language_mixture, op5_simhash_near_dedup, op6_best_fit_packing, op8_hilbert_neighbours, op9_sorted_string_table)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_importance_resampling, op3_benchmark_containment, op4_language_mixture, op5_simhash_near_dedup, op6_best_fit_packing, op7_randomness_secrets, op8_hilbert_neighbours, op9_sorted_string_table)}
 ORACLES: dict[str, str] = {}
