@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a worker holds in numpy form at once (a single longer text is held alone).
 CHUNK_BYTES = 1 << 20
@@ -50,6 +51,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---------------------------------------------------------------------------------------------------------------------
+# Rows and filters
+
+#: Bits of the filters that tell which rows of a scan are wanted (a bounded table; false hits are joined away).
+FILTER_BITS = 1 << 21
+
+
+def byte_at(table: bytes, at: Column) -> Column:
+    """The byte of a table in the plan (values under 128) at a place."""
+    return F.ascii(F.substring(F.lit(bytearray(table)), at.cast("int") + 1, F.lit(1)).cast("string"))
+
+
+def filter_table(hashes: DataFrame) -> bytes:
+    """A bitmap, 4 bits a byte, of the column h of hashes."""
+    at = F.pmod("h", F.lit(FILTER_BITS))
+    found = hashes.select(at.alias("h")).groupBy((F.col("h") / 4).cast("int").alias("byte")).agg(F.bit_or(F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), (F.col("h") % 4 + 1).cast("int"))).alias("bits")).toPandas()
+    table = bytearray(FILTER_BITS // 4)
+    for byte, bits in zip(found["byte"], found["bits"]):
+        table[byte] = bits
+    return bytes(table)
+
+
+def maybe_in(table: bytes, h: Column) -> Column:
+    at = F.pmod(h, F.lit(FILTER_BITS))
+    return F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), (at % 4 + 1).cast("int")).bitwiseAND(byte_at(table, at / 4)) > 0
+
+
+def row_key() -> Column:
+    """Rows of one doc_id and text are one document; other rows of one doc_id are told apart."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("rk")
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # Text as bytes
 

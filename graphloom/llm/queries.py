@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, hilbert, langid, packing, quality, secrets, simhash, sstable
+from . import containment, hilbert, langid, linededup, packing, quality, rindex, secrets, simhash, sstable
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("sample_key", 6).alias("sample_key"))
 
 
+def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rindex.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,5 +59,10 @@ def op9_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.encode_to_shards(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_importance_resampling, op3_benchmark_containment, op4_language_mixture, op5_simhash_near_dedup, op6_best_fit_packing, op7_randomness_secrets, op8_hilbert_neighbours, op9_sorted_string_table)}
+def op10_line_set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_importance_resampling, op2_run_length_index, op3_benchmark_containment, op4_language_mixture, op5_simhash_near_dedup, op6_best_fit_packing, op7_randomness_secrets, op8_hilbert_neighbours, op9_sorted_string_table, op10_line_set_similarity)}
 ORACLES: dict[str, str] = {}
