@@ -54,8 +54,39 @@ def tokenised(docs: DataFrame, ranks: bytes, wanted: Column | None, min_words: i
     return lines.select("doc_id", "rk", "line_no", keys.alias("keys")).withColumn("n", F.size("keys")).where(F.col("n") >= min_words)
 
 
+def _fits(num: int, den: int, left: str, right: str) -> Column:
+    """Join condition of two token rows (np: size and place, sig: bitmap of tokens): whether the sets can be similar.
+
+    Sizes are within the threshold; what is left after the places leaves room for the overlap; and the bitmaps differ in no
+    more bits than the sets may differ in tokens.
+    """
+    size = lambda x: F.shiftright(F.col(f"{x}.np"), 31).bitwiseAND(F.lit((1 << 30) - 1))
+    place = lambda x: F.col(f"{x}.np").bitwiseAND(F.lit((1 << 31) - 1))
+    na, nb = size(left), size(right)
+    room = F.least(na - place(left), nb - place(right))
+    bits = F.bit_count(F.col(f"{left}.sig").bitwiseXOR(F.col(f"{right}.sig")))
+    return (nb * den >= na * num) & (na * den >= nb * num) & (room * (num + den) >= (na + nb) * num) & (bits * (num + den) <= (na + nb) * (den - num))
+
+
+def _later(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ranks: bytes, num: int, den: int, min_words: int) -> DataFrame:
+    """Of pairs (a, b) of classes whose token sets are similar: the class (s1) whose first line is the later one."""
+    ends = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct()
+    spots = materialise(classes.select("s1", "at").join(ends, "s1"), "ends")
+    known = filter_table(spots.select(F.xxhash64("at.rk", "at.line_no").alias("h")))
+    full = tokenised(docs, ranks, maybe_in(known, F.xxhash64("rk", "line_no")), min_words).select(F.struct("doc_id", "rk", "line_no").alias("at"), F.xxhash64("keys").alias("s1"), "keys")
+    full = materialise(full.join(spots, ["s1", "at"], "left_semi").dropDuplicates(["s1"]), "token-sets")
+    both = pairs.join(full.select(F.col("s1").alias("a"), F.col("keys").alias("ka"), F.col("at").alias("pa")), "a").join(full.select(F.col("s1").alias("b"), F.col("keys").alias("kb"), F.col("at").alias("pb")), "b")
+    similar = both.where(F.size(F.array_intersect("ka", "kb")) * (num + den) >= (F.size("ka") + F.size("kb")) * num)
+    return similar.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("s1")).distinct()
+
+
 def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
-    """doc_id, rk, line_no of the lines that match an earlier line; see `dedup_lines`."""
+    """doc_id, rk, line_no of the lines that match an earlier line; see `dedup_lines`.
+
+    A line goes if any earlier line matches it, so one match is enough. First each class is compared with the earliest class
+    at each of its two rarest tokens; that settles most lines of large groups of near copies with a few comparisons each. The
+    full join is then made only for pairs of which at least one line is still unsettled.
+    """
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must be within 0.5 and 1")
     num, den = round(threshold * 1000), 1000
@@ -64,31 +95,32 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5)
     n = F.col("n")
     least = F.floor((n * num + den - 1) / den).cast("int")  # overlap with the shortest partner: ceil(t n)
     prefix = F.transform(F.slice("keys", 1, n - least + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    signature = F.expr("aggregate(keys, 0L, (a, k) -> a | shiftleft(1L, cast(k % 64 as int)))")
     lines = tokenised(docs, ranks, None, min_words)
-    lines = materialise(lines.select("doc_id", "rk", "line_no", "n", F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), prefix.alias("prefix")), "lines")
+    lines = materialise(lines.select("doc_id", "rk", "line_no", "n", F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), prefix.alias("prefix"), signature.alias("sig")), "lines")
     place = F.struct("doc_id", "rk", "line_no")
-    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix")).alias("m")).select("s1", "n", "m.at", "m.prefix")
+    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", "sig")).alias("m")).select("s1", "n", "m.at", "m.prefix", "m.sig")
     classes = materialise(classes, "classes")
-    tokens = classes.select(F.posexplode("prefix").alias("pos", "token"), "s1", "n")
-    tokens = tokens.select("token", "s1", (n.cast("long") * (1 << 31) + F.col("pos")).alias("np"))
-    a, b = tokens.select("token", F.col("s1").alias("a"), F.col("np").alias("pa")), tokens.select("token", F.col("s1").alias("b"), F.col("np").alias("pb"))
-    na, nb = F.shiftright("pa", 31), F.shiftright("pb", 31)
-    room = F.least(na - F.col("pa").bitwiseAND(F.lit((1 << 31) - 1)), nb - F.col("pb").bitwiseAND(F.lit((1 << 31) - 1)))
-    # a is the longer, or of equal length; sizes within the threshold; room after the places for overlap / (na + nb - overlap) >= t.
-    fits = ((na > nb) | ((na == nb) & (F.col("a") > F.col("b")))) & (nb * den >= na * num) & (room * (num + den) >= (na + nb) * num)
-    pairs = materialise(a.join(b, "token").where(fits).select("a", "b").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct()
-    spots = materialise(classes.select("s1", "at").join(ends, "s1"), "ends")
-    known = filter_table(spots.select(F.xxhash64("at.rk", "at.line_no").alias("h")))
-    full = tokenised(docs, ranks, maybe_in(known, F.xxhash64("rk", "line_no")), min_words).select(F.struct("doc_id", "rk", "line_no").alias("at"), F.xxhash64("keys").alias("s1"), "keys")
-    full = materialise(full.join(spots, ["s1", "at"], "left_semi").dropDuplicates(["s1"]), "token-sets")
-    both = pairs.join(full.select(F.col("s1").alias("a"), F.col("keys").alias("ka"), F.col("at").alias("pa")), "a").join(full.select(F.col("s1").alias("b"), F.col("keys").alias("kb"), F.col("at").alias("pb")), "b")
-    shared = F.size(F.array_intersect("ka", "kb"))
-    similar = both.where(shared * (num + den) >= (F.size("ka") + F.size("kb")) * num)
-    later = similar.select(F.greatest("pa", "pb").alias("at")).distinct()
+    fits = _fits(num, den, "x", "y")
+
+    few = classes.select("s1", "n", "sig", "at", F.posexplode(F.slice("prefix", 1, 2)).alias("pos", "token"))
+    few = few.select("token", "at", F.struct((n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig", "s1").alias("t"))
+    earliest = few.groupBy("token").agg(F.min(F.struct("at", "t")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", "m.t")
+    x, y = few.select("token", "t.*").alias("x"), earliest.select("token", "t.*").alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.s1") != F.col("y.s1")) & fits).select(F.col("x.s1").alias("a"), F.col("y.s1").alias("b"))
+    settled = materialise(_later(docs, classes, materialise(pairs.distinct(), "first-pairs"), ranks, num, den, min_words), "settled")
+
+    open_bit = F.when(F.col("gone"), F.lit(0)).otherwise(F.lit(1 << 61)).cast("long")
+    tokens = classes.join(settled.withColumn("gone", F.lit(True)), "s1", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    tokens = tokens.select("s1", "sig", "n", open_bit.alias("open"), F.posexplode("prefix").alias("pos", "token"))
+    tokens = tokens.select("token", "s1", (F.col("open") + n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig")
+    unsettled = (F.col("x.np") >= F.lit(1 << 61)) | (F.col("y.np") >= F.lit(1 << 61))
+    pairs = tokens.alias("x").join(tokens.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.s1") < F.col("y.s1")) & unsettled & fits)
+    pairs = materialise(pairs.select(F.col("x.s1").alias("a"), F.col("y.s1").alias("b")).distinct(), "pairs")
+    later = settled.unionByName(_later(docs, classes, pairs, ranks, num, den, min_words)).distinct()
     # A class's first line stays unless an earlier class matches it; its other lines go.
-    stays = classes.select("at").join(later, "at", "left_anti")
-    return lines.select(place.alias("at")).join(stays, "at", "left_anti").select("at.*")
+    stays = classes.select("s1", "at").join(later, "s1", "left_anti")
+    return lines.select(place.alias("at"), "s1").join(stays, ["s1", "at"], "left_anti").select("at.*")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:

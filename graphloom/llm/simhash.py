@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORDS, materialise, text_chunks, tokens
+from .common import WORDS, filter_table, materialise, maybe_in, row_key, text_chunks, tokens
 from .components import connected_components
 
 #: Rows of one index list that a task compares with each other at most; longer lists are dealt as pairs of blocks.
@@ -70,16 +71,17 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = 4, seed: in
     return out
 
 
-def with_fingerprint(docs: DataFrame, out: str = "fp") -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, out long); null or empty text has fingerprint 0."""
+def with_fingerprint(docs: DataFrame, *ids: str) -> DataFrame:
+    """docs (ids..., text) -> (ids..., fp long); null or empty text has fingerprint 0."""
+    schema = T.StructType([*(docs.schema[c] for c in ids), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [fingerprints(data, offsets) for _, _, data, offsets in text_chunks(b.column(1))]
+            parts = [fingerprints(data, offsets) for _, _, data, offsets in text_chunks(b.column(len(ids)))]
             fp = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", out])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(ids)], pa.array(fp)], names=[*ids, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, f"doc_id long, {out} long")
+    return docs.select(*ids, "text").mapInArrow(run, schema)
 
 
 def links_within(left: np.ndarray, right: np.ndarray | None, bits: int) -> list[tuple[int, int]]:
@@ -157,6 +159,16 @@ def near_links(prints: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFram
     return dealt.mapInArrow(lambda batches: _forest(batches, bits), "a long, b long")
 
 
+def _components(prints: DataFrame, bits: int, block: int) -> DataFrame:
+    """prints (doc_id, fp) -> fp, component (the least fingerprint that links reach), component_id (the least doc_id)."""
+    own = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    parts = connected_components(near_links(own.select("fp"), bits, block))
+    joined = own.join(parts.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    joined = materialise(joined, "joined")
+    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    return joined.join(smallest, "component").select("fp", "component", "component_id")
+
+
 def simhash_components(docs: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text, ...) -> a row for each row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -165,11 +177,24 @@ def simhash_components(docs: DataFrame, bits: int = 4, block: int = BLOCK) -> Da
     empty and blank texts have fingerprint 0 and link like any other. Repeated rows come out as often as they came; rows
     with a null doc_id take part, and get a null component_id if they reach no id. An empty table gives no rows.
     """
-    prints = materialise(with_fingerprint(docs), "fingerprints")
-    own = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    parts = connected_components(near_links(own.select("fp"), bits, block))
-    joined = own.join(parts.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    joined = materialise(joined, "joined")
-    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(smallest, "component").select("fp", "component_id")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = materialise(with_fingerprint(docs, "doc_id"), "fingerprints")
+    named = _components(prints, bits, block)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
+    """The rows of docs (doc_id, text, ...), with their columns, that stay when one row of each component does: that with the
+    smallest doc_id (null last; ties by a hash of the text, then any of equal rows)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", row_key(), "text")
+    prints = materialise(with_fingerprint(rows, "doc_id", "rk"), "fingerprints")
+    parts = materialise(prints.join(_components(prints, bits, block), "fp").select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk").alias("at")), "parts")
+    first = parts.groupBy("component").agg(F.min("at").alias("first"))
+    status = parts.join(first, "component").groupBy(F.col("at.rk").alias("_k")).agg(F.min(F.col("at") == F.col("first")).alias("_stays"), F.count("*").alias("_n"))
+    status = materialise(status.where("not _stays or _n > 1"), "status")
+    known = filter_table(status.select(F.col("_k").alias("h")))
+    marked = docs.withColumn("_rk", row_key())
+    maybe = maybe_in(known, F.col("_rk"))
+    joined = marked.where(maybe).join(status, F.col("_rk") == F.col("_k"), "left")
+    again = joined.where("_stays").dropDuplicates(["_rk"])
+    return marked.where(~maybe).unionByName(joined.where("_k is null").drop("_k", "_stays", "_n")).unionByName(again.drop("_k", "_stays", "_n")).select(*docs.columns)
