@@ -1,0 +1 @@
+"""The projected graph, and the registered queries with their SQL."""
