@@ -54,8 +54,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------------------------------
 # Rows and filters
 
-#: Bits of the filters that tell which rows of a scan are wanted (a bounded table; false hits are joined away).
-FILTER_BITS = 1 << 21
+#: Cells of the filters that tell which rows of a scan may be wanted: so many rows are broadcast at most, whatever the input.
+FILTER_CELLS = 1 << 20
 
 
 def byte_at(table: bytes, at: Column) -> Column:
@@ -63,19 +63,15 @@ def byte_at(table: bytes, at: Column) -> Column:
     return F.ascii(F.substring(F.lit(bytearray(table)), at.cast("int") + 1, F.lit(1)).cast("string"))
 
 
-def filter_table(hashes: DataFrame) -> bytes:
-    """A bitmap, 4 bits a byte, of the column h of hashes."""
-    at = F.pmod("h", F.lit(FILTER_BITS))
-    found = hashes.select(at.alias("h")).groupBy((F.col("h") / 4).cast("int").alias("byte")).agg(F.bit_or(F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), (F.col("h") % 4 + 1).cast("int"))).alias("bits")).toPandas()
-    table = bytearray(FILTER_BITS // 4)
-    for byte, bits in zip(found["byte"], found["bits"]):
-        table[byte] = bits
-    return bytes(table)
+def filter_cells(hashes: DataFrame) -> DataFrame:
+    """The hash cells of column h, as a small table on storage (FILTER_CELLS rows at most)."""
+    cells = hashes.select(F.pmod("h", F.lit(FILTER_CELLS)).cast("int").alias("_cell")).groupBy("_cell").agg(F.lit(1))
+    return materialise(cells.select("_cell"), "cells")
 
 
-def maybe_in(table: bytes, h: Column) -> Column:
-    at = F.pmod(h, F.lit(FILTER_BITS))
-    return F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), (at % 4 + 1).cast("int")).bitwiseAND(byte_at(table, at / 4)) > 0
+def maybe_in(rows: DataFrame, h: Column, cells: DataFrame, found: bool = True) -> DataFrame:
+    """Rows whose hash falls in one of the cells; found=False: those that surely weren't among the hashed."""
+    return rows.join(F.broadcast(cells), F.pmod(h, F.lit(FILTER_CELLS)).cast("int") == F.col("_cell"), "left_semi" if found else "left_anti")
 
 
 def row_key() -> Column:

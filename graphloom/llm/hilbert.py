@@ -140,7 +140,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 4, d
 
     def compare(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
-            return pd.DataFrame({"query": [], "found": [], "score": []})
+            return pd.DataFrame({"query": [], "found": [], "score": []}, dtype=object)
         score = np.stack(queries["q"].tolist()) @ np.stack(rows["v"].tolist()).T
         most = min(k + 1, score.shape[1])
         best = np.argpartition(-score, most - 1, axis=1)[:, :most]

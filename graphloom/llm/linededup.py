@@ -17,10 +17,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_at, filter_table, materialise, maybe_in, row_key
+from .common import byte_at, filter_cells, materialise, maybe_in, row_key
 
 #: Cells of the table of word counts (a byte each in the plan).
-CELLS = 1 << 18
+CELLS = 1 << 16
 MASK = (1 << 48) - 1
 
 
@@ -39,11 +39,13 @@ def rarity(docs: DataFrame) -> bytes:
     return bytes(table)
 
 
-def tokenised(docs: DataFrame, ranks: bytes, wanted: Column | None, min_words: int) -> DataFrame:
-    """doc_id, rk, line_no, n, keys: lines of at least min_words distinct words, with ordered 56-bit token keys."""
+def tokenised(docs: DataFrame, ranks: bytes, wanted: DataFrame | None, min_words: int) -> DataFrame:
+    """doc_id, rk, line_no, n, keys: lines of at least min_words distinct words, with ordered token keys.
+
+    wanted: filter cells of hashes of (rk, line_no); other lines are left out."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     if wanted is not None:
-        lines = lines.where(wanted)
+        lines = maybe_in(lines, F.xxhash64("rk", "line_no"), wanted)
 
     def key(w: Column) -> Column:
         h = F.xxhash64(w)
@@ -72,8 +74,8 @@ def _later(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ranks: bytes,
     """Of pairs (a, b) of classes whose token sets are similar: the class (s1) whose first line is the later one."""
     ends = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct()
     spots = materialise(classes.select("s1", "at").join(ends, "s1"), "ends")
-    known = filter_table(spots.select(F.xxhash64("at.rk", "at.line_no").alias("h")))
-    full = tokenised(docs, ranks, maybe_in(known, F.xxhash64("rk", "line_no")), min_words).select(F.struct("doc_id", "rk", "line_no").alias("at"), F.xxhash64("keys").alias("s1"), "keys")
+    known = filter_cells(spots.select(F.xxhash64("at.rk", "at.line_no").alias("h")))
+    full = tokenised(docs, ranks, known, min_words).select(F.struct("doc_id", "rk", "line_no").alias("at"), F.xxhash64("keys").alias("s1"), "keys")
     full = materialise(full.join(spots, ["s1", "at"], "left_semi").dropDuplicates(["s1"]), "token-sets")
     both = pairs.join(full.select(F.col("s1").alias("a"), F.col("keys").alias("ka"), F.col("at").alias("pa")), "a").join(full.select(F.col("s1").alias("b"), F.col("keys").alias("kb"), F.col("at").alias("pb")), "b")
     similar = both.where(F.size(F.array_intersect("ka", "kb")) * (num + den) >= (F.size("ka") + F.size("kb")) * num)
@@ -134,15 +136,15 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) ->
     as they are, with n_lines 0.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = materialise(repeated_lines(docs, threshold, min_words).groupBy("doc_id", "rk").agg(F.collect_list("line_no").alias("gone")), "gone")
-    known = filter_table(gone.select(F.col("rk").alias("h")))
-    rows = docs.withColumn("_rk", row_key()).withColumn("_hit", F.coalesce(maybe_in(known, F.col("_rk")), F.lit(False)))
+    gone = materialise(repeated_lines(docs, threshold, min_words).groupBy("doc_id", "rk").agg(F.collect_set("line_no").alias("gone")), "gone")
+    known = filter_cells(gone.select(F.col("rk").alias("h")))
+    rows = docs.withColumn("_rk", row_key())
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), F.col("gone").alias("_gone"))
     split = F.split("text", "\n", -1)
-    hit = rows.where("_hit").alias("r").join(gone.alias("g"), (F.col("r._rk") == F.col("g._rk")) & F.col("r.doc_id").cast("long").eqNullSafe(F.col("g._id")), "left").select("r.*", "_gone")
+    hit = maybe_in(rows, F.col("_rk"), known).alias("r").join(gone.alias("g"), (F.col("r._rk") == F.col("g._rk")) & F.col("r.doc_id").cast("long").eqNullSafe(F.col("g._id")), "left").select("r.*", "_gone")
     stays = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), F.array_contains("_gone", i).alias("gone"))), lambda s: ~s["gone"])
     hit = hit.withColumn("_lines", F.size(split)).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda s: s["x"]), "\n")))
-    whole = rows.where("not _hit").withColumn("_lines", F.size(split)).withColumn("_gone", F.array().cast("array<int>"))
+    whole = maybe_in(rows, F.col("_rk"), known, False).withColumn("_lines", F.size(split)).withColumn("_gone", F.array().cast("array<int>"))
     out = hit.unionByName(whole, allowMissingColumns=True)
     lines = F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.when(F.coalesce(F.size("_gone"), F.lit(0)) > 0, F.col("_lines")).otherwise(F.lit(0))).otherwise(F.col("_lines"))
     return out.select(*docs.columns, lines.cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))

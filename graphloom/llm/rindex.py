@@ -7,8 +7,10 @@ a run-compressed Burrows-Wheeler transform of the snippets' suffixes is built: o
 common prefixes with the neighbours computed; from there matching statistics stream through each snippet, falling by one a
 byte until the next sampled run end. A start whose statistic reaches 200 bytes, or whose snippet has copies, is a repeat.
 
-Anchors with very many snippets are split by more context around the anchor: strings whose anchor lies at like offsets share
-more than the anchor, and the hash of what they share deals them anew, until every group is small or its strings are equal.
+Anchors with very many snippets are narrowed down first. Each snippet is compared with one of its group, the pivot; strings
+within what the two share are repeats. Any other string holds the first byte to the left, or to the right, at which its
+snippet leaves the pivot; two equal ones leave it at the same place with the same byte, so the hash of what lies between that
+byte and the anchor deals them to smaller groups.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_table, materialise, maybe_in, mix, prefix_hashes, range_hashes, row_key, text_chunks
+from .common import filter_cells, materialise, maybe_in, mix, prefix_hashes, range_hashes, row_key, text_chunks
 
 ANCHOR = 32
 #: Different snippets that one group may hold before it is split by more context.
-GROUP = 256
+GROUP = 1024
 #: Suffixes that a task indexes at once.
 BATCH = 60_000
 #: Bytes of a long text whose anchors are computed at once.
@@ -154,29 +156,42 @@ def _index(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield flush(held)
 
 
-def _split(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Halves the range of anchor offsets of each row (ah, sh, s0, o1, o2, off, c, bytes); keys are hashes of what all strings
-    of a half share. bytes start at s0; off is the anchor's place in them."""
-    names = ["key", "ah", "sh", "s0", "o1", "o2", "off", "c", "bytes"]
+def _leave_pivot(batches: Iterator[pa.RecordBatch], length: int, ends: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (key, ah, sh, s0, o1, o2, off, c, bytes, pivot: the same without key) -> with `ends`, the repeats that rows and
+    pivots share (ah, sh, from, to); else the rows that go on, in new groups. The anchor lies `off` behind the first byte; only
+    strings whose anchor lies o1 to o2 behind their start count."""
+    room = length - ANCHOR
     for b in batches:
-        out = []
-        for _, ah, sh, s0, o1, o2, off, c, text in zip(*(x.to_pylist() for x in b.columns)):
-            mid = (o1 + o2) // 2
-            for low, high in ((o1, mid), (mid + 1, o2)):
-                a, z = max(0, off - high), min(len(text) - length, off - low)  # starts whose anchor is that far behind
-                if a <= z:
-                    shared = text[off - low : off + length - high]
-                    key = int.from_bytes(hashlib.blake2b(shared + low.to_bytes(4, "little"), digest_size=8).digest(), "little", signed=True)
-                    out.append((key, ah, sh, s0 + a, low, high, off - a, c, text[a : z + length]))
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 9, kinds)], names=names)
+        out, shared = [], set()
+        for _, ah, sh, s0, o1, o2, off, c, text, p in zip(*(x.to_pylist() for x in b.columns)):
+            if (ah, sh, s0) == (p["ah"], p["sh"], p["s0"]):
+                continue
+            left, right, other, p_off = text[:off][::-1], text[off + ANCHOR :], p["bytes"], p["off"]
+            same = [next((k for k, (x, y) in enumerate(zip(u, v)) if x != y), min(len(u), len(v))) for u, v in ((left, other[:p_off][::-1]), (right, other[p_off + ANCHOR :]))]
+            if ends:
+                low, high = max(o1, room - same[1]), min(o2, same[0])  # anchor offsets of the strings that both hold
+                if low <= high:
+                    out.append((ah, sh, s0 + off - high, s0 + off - low + 1))
+                    shared.add((p["ah"], p["sh"], p["s0"] + p_off - high, p["s0"] + p_off - low + 1))
+                continue
+            for side, low, high, around in ((1, max(o1, same[0] + 1), o2, text[off - same[0] - 1 : off + ANCHOR] if same[0] < off else None), (2, o1, min(o2, room - same[1] - 1), text[off : off + ANCHOR + same[1] + 1] if same[1] < len(right) else None)):
+                a, z = max(0, off - high), min(len(text) - length, off - low)
+                if around is not None and low <= high and a <= z:
+                    digest = hashlib.blake2b(around + bytes([side]) + same[side - 1].to_bytes(4, "little"), digest_size=8).digest()
+                    out.append((int.from_bytes(digest, "little", signed=True), ah, sh, s0 + a, low, high, off - a, c, text[a : z + length]))
+        if ends:
+            names, kinds = ["ah", "sh", "from", "to"], [pa.int64()] * 2 + [pa.int32()] * 2
+            out += sorted(shared)
+        else:
+            names, kinds = ["key", "ah", "sh", "s0", "o1", "o2", "off", "c", "bytes"], [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * len(kinds), kinds)], names=names)
 
 
 def _cut_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of wanted snippets (rk, ah, sh, lo, count, off, c), from docs (rk, text): ah, sh, off, c, bytes."""
     lists = wanted.groupBy("rk").agg(F.collect_list(F.struct("ah", "sh", "lo", "count", "off", "c")).alias("all"))
-    known = filter_table(lists.select(F.col("rk").alias("h")))
-    texts = docs.where(maybe_in(known, F.col("rk"))).join(lists, "rk").select("text", "all")
+    known = filter_cells(lists.select(F.col("rk").alias("h")))
+    texts = maybe_in(docs, F.col("rk"), known).join(lists, "rk").select("text", "all")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,10 +229,10 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
         if state <= GROUP:
             break
         large = rows.join(groups.where(F.col("rows") > GROUP).select("key"), "key")
-        # The strings of a group whose anchors all lie at one offset are equal: each is a repeat.
-        marks.append(large.where("o1 = o2").select("ah", "sh", F.col("s0").alias("from"), (F.col("s0") + 1).alias("to")))
-        halves = large.where("o1 < o2").select(*schema.names).mapInArrow(lambda b: _split(b, length), schema)
-        rows = materialise(halves, "halves")
+        pivot = large.groupBy("key").agg(F.min(F.struct("sh", "ah", "s0", "off", "bytes")).alias("pivot"))
+        large = materialise(large.select(*schema.names).join(pivot, "key"), "pivots")
+        marks.append(materialise(large.mapInArrow(lambda b: _leave_pivot(b, length, True), "ah long, sh long, from int, to int"), "marks"))
+        rows = materialise(large.mapInArrow(lambda b: _leave_pivot(b, length, False), schema), "rest")
     every = marks[0]
     for m in marks[1:]:
         every = every.unionByName(m)
@@ -235,8 +250,8 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", row_key(), "text")
     spans = materialise(repeated_spans(rows.where(F.octet_length("text") >= length).select("rk", "text"), length), "spans")
-    known = filter_table(spans.select(F.col("rk").alias("h")))
-    hit = rows.where(maybe_in(known, F.col("rk"))).join(spans, "rk", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
+    known = filter_cells(spans.select(F.col("rk").alias("h")))
+    hit = maybe_in(rows, F.col("rk"), known).join(spans, "rk", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,5 +272,5 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     changed = hit.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     none = F.lit(0).cast("long")
-    same = rows.where(~maybe_in(known, F.col("rk"))).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    same = maybe_in(rows, F.col("rk"), known, False).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     return changed.unionByName(same)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDS, filter_table, materialise, maybe_in, row_key, text_chunks, tokens
+from .common import WORDS, filter_cells, materialise, maybe_in, row_key, text_chunks, tokens
 from .components import connected_components
 
 #: Rows of one index list that a task compares with each other at most; longer lists are dealt as pairs of blocks.
@@ -192,9 +192,8 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 4, block: int = BLOCK) ->
     first = parts.groupBy("component").agg(F.min("at").alias("first"))
     status = parts.join(first, "component").groupBy(F.col("at.rk").alias("_k")).agg(F.min(F.col("at") == F.col("first")).alias("_stays"), F.count("*").alias("_n"))
     status = materialise(status.where("not _stays or _n > 1"), "status")
-    known = filter_table(status.select(F.col("_k").alias("h")))
+    known = filter_cells(status.select(F.col("_k").alias("h")))
     marked = docs.withColumn("_rk", row_key())
-    maybe = maybe_in(known, F.col("_rk"))
-    joined = marked.where(maybe).join(status, F.col("_rk") == F.col("_k"), "left")
+    joined = maybe_in(marked, F.col("_rk"), known).join(status, F.col("_rk") == F.col("_k"), "left")
     again = joined.where("_stays").dropDuplicates(["_rk"])
-    return marked.where(~maybe).unionByName(joined.where("_k is null").drop("_k", "_stays", "_n")).unionByName(again.drop("_k", "_stays", "_n")).select(*docs.columns)
+    return maybe_in(marked, F.col("_rk"), known, False).unionByName(joined.where("_k is null").drop("_k", "_stays", "_n")).unionByName(again.drop("_k", "_stays", "_n")).select(*docs.columns)
