@@ -127,7 +127,7 @@ def suffixed_ids(new: DataFrame, taken: DataFrame) -> DataFrame:
     rows = plain.withColumn("n", F.row_number().over(w)).join(used.select(F.col("id").alias("base"), F.lit(1).alias("hit")), "base", "left").withColumn("n", F.col("n") + F.coalesce("hit", F.lit(0)))
     # numbers that are taken for each base, from the store and from other plain bases
     first = plain.select(F.col("base").alias("id")).distinct()
-    tails = used.unionByName(first).select(F.regexp_extract("id", r"^(.*)-(\d{1,9})$", 1).alias("base"), F.regexp_extract("id", r"-(\d{1,9})$", 1).cast("int").alias("k")).where("k >= 2").groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("skip"))
+    tails = used.unionByName(first).select(F.regexp_extract("id", r"^(.*)-(\d{1,9})$", 1).alias("base"), F.regexp_extract("id", r"-(\d{1,9})$", 1).try_cast("int").alias("k")).where("k >= 2").groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("skip"))
     rows = rows.join(tails, "base", "left")
     n = F.aggregate(F.coalesce("skip", F.array().cast("array<int>")), F.col("n"), lambda a, k: F.when((a >= 2) & (k <= a), a + 1).otherwise(a))
     return rows.select("key", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n.cast("string"))).alias("id"))

@@ -172,8 +172,8 @@ def status_recompute(s, d):
     return evidence.recompute_status(pre, sets, res).select("id", "new_status")
 
 
-@query(""", both AS (SELECT type, source_id AS s, target_id AS t FROM edges UNION ALL SELECT type, target_id, source_id FROM edges),
-  typed AS (SELECT e.type, a.type AS st, b.type AS tt FROM both e JOIN nodes a ON a.id = e.s JOIN nodes b ON b.id = e.t)
+@query(""", ends AS (SELECT type, source_id AS s, target_id AS t FROM edges UNION ALL SELECT type, target_id, source_id FROM edges),
+  typed AS (SELECT e.type, a.type AS st, b.type AS tt FROM ends e JOIN nodes a ON a.id = e.s JOIN nodes b ON b.id = e.t)
   SELECT type, st AS source_type, tt AS target_type, (type, st, tt) IN (('CALCULATES','rule','entity'),('EXECUTES','role','process'),('EXECUTES','system','process'),('GOVERNS','policy','rule'),('GOVERNS','policy','process'),
     ('DEPENDS_ON','process','process'),('DEPENDS_ON','process','rule'),('DEPENDS_ON','process','entity'),('DEPENDS_ON','process','system'),('PART_OF','entity','entity'),('PART_OF','process','process'),
     ('TRIGGERS','event','process'),('TRIGGERS','event','event'),('TRIGGERS','process','process'),('TRIGGERS','process','event')) AS valid, count(*)::BIGINT AS n FROM typed GROUP BY ALL""")
@@ -208,7 +208,7 @@ _SIM = """CASE WHEN a = b THEN 1.0 ELSE greatest(1 - levenshtein(a, b) / greates
   len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::DOUBLE) END"""
 _NAMES = """labels AS (SELECT min(id) AS id, type, lower(name) AS n FROM nodes WHERE type IN ('entity', 'policy', 'rule', 'event') GROUP BY type, lower(name)),
   sides AS (SELECT *, trim(regexp_replace(n, '[^a-z0-9]+', ' ', 'g')) AS a FROM labels),
-  tok AS (SELECT *, list_distinct(list_transform(string_split(a, ' '), x -> CASE WHEN length(x) > 3 AND x LIKE '%s' THEN x[:-2] ELSE x END)) AS ta FROM sides)"""
+  tok AS (SELECT *, list_distinct(list_transform(string_split(a, ' '), lambda x: CASE WHEN length(x) > 3 AND x LIKE '%s' THEN x[:-2] ELSE x END)) AS ta FROM sides)"""
 
 
 @query(f""", {_NAMES}, pairs AS (SELECT x.id AS aid, y.id AS bid, x.a AS a, y.a AS b, x.ta AS ta, y.ta AS tb FROM tok x JOIN tok y ON x.type = y.type AND x.id < y.id)
@@ -220,7 +220,7 @@ def name_similarity_pairs(s, d):
 
 
 @query(f""", {_NAMES}, ment AS (SELECT DISTINCT p_type AS type0, lower(p_name) || 'x' AS m FROM part),
-  m2 AS (SELECT *, trim(regexp_replace(m, '[^a-z0-9]+', ' ', 'g')) AS b FROM ment), m3 AS (SELECT DISTINCT m, b, list_distinct(list_transform(string_split(b, ' '), x -> CASE WHEN length(x) > 3 AND x LIKE '%s' THEN x[:-2] ELSE x END)) AS tb FROM m2),
+  m2 AS (SELECT *, trim(regexp_replace(m, '[^a-z0-9]+', ' ', 'g')) AS b FROM ment), m3 AS (SELECT DISTINCT m, b, list_distinct(list_transform(string_split(b, ' '), lambda x: CASE WHEN length(x) > 3 AND x LIKE '%s' THEN x[:-2] ELSE x END)) AS tb FROM m2),
   sc AS (SELECT m AS mention_id, id AS node_id, {_SIM} AS score FROM m3 JOIN tok ON tok.type = 'entity')
   SELECT mention_id, node_id, round(score, 4) AS score FROM sc WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, node_id) = 1""")
 def fuzzy_resolution(s, d):
@@ -463,7 +463,7 @@ def spectral_similarity(s, d):
 # ---------------------------------------------------------------------------------------------------------------------
 # Search
 
-_TOK = "list_filter(string_split(trim(regexp_replace(lower(strip_accents({x})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), t -> t <> '')"
+_TOK = "list_filter(string_split(trim(regexp_replace(lower(strip_accents({x})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda t: t <> '')"
 
 
 def _tok(x: str) -> str:
@@ -545,7 +545,7 @@ def retrieval_plan(s, d):
     return retrieve.plan(more, RetrievalConfig(mode="auto"), True)
 
 
-@query(f"""WITH n AS (SELECT DISTINCT p_name AS id, ' ' || trim(regexp_replace(lower(strip_accents(p_name)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' AS t FROM part), g AS (SELECT id, unnest(list_transform(range(1, length(t) - 1), i -> substr(t, i, 3))) AS g FROM n)
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS id, ' ' || trim(regexp_replace(lower(strip_accents(p_name)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' AS t FROM part), g AS (SELECT id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g FROM n)
   SELECT id, (CAST('0x' || substr(sha1(g), 1, 8) AS BIGINT) % 256)::INT AS bucket, count(*)::BIGINT AS n FROM g GROUP BY ALL""", graph=False)
 def hash_embedding(s, d):
     return vectors.hash_counts(read(s, d, "part").select(F.col("p_name").alias("id"), F.col("p_name").alias("text")).distinct())
