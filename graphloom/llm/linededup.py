@@ -39,8 +39,8 @@ def rarity(docs: DataFrame) -> bytes:
     return bytes(table)
 
 
-def tokenised(docs: DataFrame, ranks: bytes, wanted: DataFrame | None, min_words: int) -> DataFrame:
-    """doc_id, rk, line_no, n, keys: lines of at least min_words distinct words, with ordered token keys.
+def tokenised(docs: DataFrame, ranks: bytes, wanted: DataFrame | None) -> DataFrame:
+    """doc_id, rk, line_no, keys: all lines, with the ordered keys of their distinct words.
 
     wanted: filter cells of hashes of (rk, line_no); other lines are left out."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
@@ -53,7 +53,7 @@ def tokenised(docs: DataFrame, ranks: bytes, wanted: DataFrame | None, min_words
         return F.shiftleft(rank.cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit(MASK)))
 
     keys = F.sort_array(F.array_distinct(F.transform(words(F.col("line")), key)))
-    return lines.select("doc_id", "rk", "line_no", keys.alias("keys")).withColumn("n", F.size("keys")).where(F.col("n") >= min_words)
+    return lines.select("doc_id", "rk", "line_no", keys.alias("keys"))
 
 
 def _fits(num: int, den: int, left: str, right: str) -> Column:
@@ -70,12 +70,12 @@ def _fits(num: int, den: int, left: str, right: str) -> Column:
     return (nb * den >= na * num) & (na * den >= nb * num) & (room * (num + den) >= (na + nb) * num) & (bits * (num + den) <= (na + nb) * (den - num))
 
 
-def _later(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ranks: bytes, num: int, den: int, min_words: int) -> DataFrame:
+def _later(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ranks: bytes, num: int, den: int) -> DataFrame:
     """Of pairs (a, b) of classes whose token sets are similar: the class (s1) whose first line is the later one."""
     ends = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct()
     spots = materialise(classes.select("s1", "at").join(ends, "s1"), "ends")
     known = filter_cells(spots.select(F.xxhash64("at.rk", "at.line_no").alias("h")))
-    full = tokenised(docs, ranks, known, min_words).select(F.struct("doc_id", "rk", "line_no").alias("at"), F.xxhash64("keys").alias("s1"), "keys")
+    full = tokenised(docs, ranks, known).select(F.struct("doc_id", "rk", "line_no").alias("at"), F.xxhash64("keys").alias("s1"), "keys")
     full = materialise(full.join(spots, ["s1", "at"], "left_semi").dropDuplicates(["s1"]), "token-sets")
     both = pairs.join(full.select(F.col("s1").alias("a"), F.col("keys").alias("ka"), F.col("at").alias("pa")), "a").join(full.select(F.col("s1").alias("b"), F.col("keys").alias("kb"), F.col("at").alias("pb")), "b")
     similar = both.where(F.size(F.array_intersect("ka", "kb")) * (num + den) >= (F.size("ka") + F.size("kb")) * num)
@@ -87,19 +87,19 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5)
 
     A line goes if any earlier line matches it, so one match is enough. First each class is compared with the earliest class
     at each of its two rarest tokens; that settles most lines of large groups of near copies with a few comparisons each. The
-    full join is then made only for pairs of which at least one line is still unsettled.
+    full join is then made only for pairs whose later line is still unsettled.
     """
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must be within 0.5 and 1")
     num, den = round(threshold * 1000), 1000
     docs = docs.select("doc_id", "text").where("text is not null")
     ranks = rarity(docs)
-    n = F.col("n")
+    n = F.size("keys")
     least = F.floor((n * num + den - 1) / den).cast("int")  # overlap with the shortest partner: ceil(t n)
     prefix = F.transform(F.slice("keys", 1, n - least + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     signature = F.expr("aggregate(keys, 0L, (a, k) -> a | shiftleft(1L, cast(k % 64 as int)))")
-    lines = tokenised(docs, ranks, None, min_words)
-    lines = materialise(lines.select("doc_id", "rk", "line_no", "n", F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), prefix.alias("prefix"), signature.alias("sig")), "lines")
+    lines = materialise(tokenised(docs, ranks, None).select("doc_id", "rk", "line_no", n.alias("n"), F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), prefix.alias("prefix"), signature.alias("sig")), "lines")
+    lines, n = lines.where(F.col("n") >= min_words), F.col("n")
     place = F.struct("doc_id", "rk", "line_no")
     classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", "sig")).alias("m")).select("s1", "n", "m.at", "m.prefix", "m.sig")
     classes = materialise(classes, "classes")
@@ -110,16 +110,18 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5)
     earliest = few.groupBy("token").agg(F.min(F.struct("at", "t")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", "m.t")
     x, y = few.select("token", "t.*").alias("x"), earliest.select("token", "t.*").alias("y")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.s1") != F.col("y.s1")) & fits).select(F.col("x.s1").alias("a"), F.col("y.s1").alias("b"))
-    settled = materialise(_later(docs, classes, materialise(pairs.distinct(), "first-pairs"), ranks, num, den, min_words), "settled")
+    settled = materialise(_later(docs, classes, materialise(pairs.distinct(), "first-pairs"), ranks, num, den), "settled")
 
+    # Of a pair the later line must be unsettled; lines of one document are taken either way.
     open_bit = F.when(F.col("gone"), F.lit(0)).otherwise(F.lit(1 << 61)).cast("long")
     tokens = classes.join(settled.withColumn("gone", F.lit(True)), "s1", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    tokens = tokens.select("s1", "sig", "n", open_bit.alias("open"), F.posexplode("prefix").alias("pos", "token"))
-    tokens = tokens.select("token", "s1", (F.col("open") + n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig")
-    unsettled = (F.col("x.np") >= F.lit(1 << 61)) | (F.col("y.np") >= F.lit(1 << 61))
+    tokens = tokens.select("s1", "sig", "n", F.coalesce("at.doc_id", F.lit(-(1 << 63))).alias("doc"), open_bit.alias("open"), F.posexplode("prefix").alias("pos", "token"))
+    tokens = tokens.select("token", "s1", (F.col("open") + n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig", "doc")
+    later_open = lambda a, b: (F.col(f"{a}.np") >= F.lit(1 << 61)) & (F.col(f"{a}.doc") >= F.col(f"{b}.doc"))
+    unsettled = later_open("x", "y") | later_open("y", "x")
     pairs = tokens.alias("x").join(tokens.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.s1") < F.col("y.s1")) & unsettled & fits)
     pairs = materialise(pairs.select(F.col("x.s1").alias("a"), F.col("y.s1").alias("b")).distinct(), "pairs")
-    later = settled.unionByName(_later(docs, classes, pairs, ranks, num, den, min_words)).distinct()
+    later = settled.unionByName(_later(docs, classes, pairs, ranks, num, den)).distinct()
     # A class's first line stays unless an earlier class matches it; its other lines go.
     stays = classes.select("s1", "at").join(later, "s1", "left_anti")
     return lines.select(place.alias("at"), "s1").join(stays, ["s1", "at"], "left_anti").select("at.*")
