@@ -22,6 +22,8 @@ from .common import byte_at, filter_cells, materialise, maybe_in, row_key
 #: Cells of the table of word counts (a byte each in the plan).
 CELLS = 1 << 16
 MASK = (1 << 48) - 1
+#: The two halves of a 128-bit bitmap of a line's tokens.
+SIGNATURE = ("sig", "sig2")
 
 
 def words(text: Column) -> Column:
@@ -57,7 +59,7 @@ def tokenised(docs: DataFrame, ranks: bytes, wanted: DataFrame | None) -> DataFr
 
 
 def _fits(num: int, den: int, left: str, right: str) -> Column:
-    """Join condition of two token rows (np: size and place, sig: bitmap of tokens): whether the sets can be similar.
+    """Join condition of two token rows (np: size and place, sig and sig2: bitmap of tokens): whether the sets can be similar.
 
     Sizes are within the threshold; what is left after the places leaves room for the overlap; and the bitmaps differ in no
     more bits than the sets may differ in tokens.
@@ -66,7 +68,7 @@ def _fits(num: int, den: int, left: str, right: str) -> Column:
     place = lambda x: F.col(f"{x}.np").bitwiseAND(F.lit((1 << 31) - 1))
     na, nb = size(left), size(right)
     room = F.least(na - place(left), nb - place(right))
-    bits = F.bit_count(F.col(f"{left}.sig").bitwiseXOR(F.col(f"{right}.sig")))
+    bits = sum((F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in SIGNATURE), F.lit(0))
     return (nb * den >= na * num) & (na * den >= nb * num) & (room * (num + den) >= (na + nb) * num) & (bits * (num + den) <= (na + nb) * (den - num))
 
 
@@ -97,16 +99,17 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5)
     n = F.size("keys")
     least = F.floor((n * num + den - 1) / den).cast("int")  # overlap with the shortest partner: ceil(t n)
     prefix = F.transform(F.slice("keys", 1, n - least + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    signature = F.expr("aggregate(keys, 0L, (a, k) -> a | shiftleft(1L, cast(k % 64 as int)))")
-    lines = materialise(tokenised(docs, ranks, None).select("doc_id", "rk", "line_no", n.alias("n"), F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), prefix.alias("prefix"), signature.alias("sig")), "lines")
+    half = "aggregate(keys, 0L, (a, k) -> if((k & 64) = {}, a | shiftleft(1L, cast(k & 63 as int)), a))"
+    signature = [F.expr(half.format(64 * i)).alias(s) for i, s in enumerate(SIGNATURE)]
+    lines = materialise(tokenised(docs, ranks, None).select("doc_id", "rk", "line_no", n.alias("n"), F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), prefix.alias("prefix"), *signature), "lines")
     lines, n = lines.where(F.col("n") >= min_words), F.col("n")
     place = F.struct("doc_id", "rk", "line_no")
-    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", "sig")).alias("m")).select("s1", "n", "m.at", "m.prefix", "m.sig")
+    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", *SIGNATURE)).alias("m")).select("s1", "n", "m.at", "m.prefix", *[f"m.{s}" for s in SIGNATURE])
     classes = materialise(classes, "classes")
     fits = _fits(num, den, "x", "y")
 
-    few = classes.select("s1", "n", "sig", "at", F.posexplode(F.slice("prefix", 1, 2)).alias("pos", "token"))
-    few = few.select("token", "at", F.struct((n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig", "s1").alias("t"))
+    few = classes.select("s1", "n", *SIGNATURE, "at", F.posexplode(F.slice("prefix", 1, 2)).alias("pos", "token"))
+    few = few.select("token", "at", F.struct((n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), *SIGNATURE, "s1").alias("t"))
     earliest = few.groupBy("token").agg(F.min(F.struct("at", "t")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", "m.t")
     x, y = few.select("token", "t.*").alias("x"), earliest.select("token", "t.*").alias("y")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.s1") != F.col("y.s1")) & fits).select(F.col("x.s1").alias("a"), F.col("y.s1").alias("b"))
@@ -115,8 +118,8 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5)
     # Of a pair the later line must be unsettled; lines of one document are taken either way.
     open_bit = F.when(F.col("gone"), F.lit(0)).otherwise(F.lit(1 << 61)).cast("long")
     tokens = classes.join(settled.withColumn("gone", F.lit(True)), "s1", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    tokens = tokens.select("s1", "sig", "n", F.coalesce("at.doc_id", F.lit(-(1 << 63))).alias("doc"), open_bit.alias("open"), F.posexplode("prefix").alias("pos", "token"))
-    tokens = tokens.select("token", "s1", (F.col("open") + n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig", "doc")
+    tokens = tokens.select("s1", *SIGNATURE, "n", F.coalesce("at.doc_id", F.lit(-(1 << 63))).alias("doc"), open_bit.alias("open"), F.posexplode("prefix").alias("pos", "token"))
+    tokens = tokens.select("token", "s1", (F.col("open") + n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), *SIGNATURE, "doc")
     later_open = lambda a, b: (F.col(f"{a}.np") >= F.lit(1 << 61)) & (F.col(f"{a}.doc") >= F.col(f"{b}.doc"))
     unsettled = later_open("x", "y") | later_open("y", "x")
     pairs = tokens.alias("x").join(tokens.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.s1") < F.col("y.s1")) & unsettled & fits)
