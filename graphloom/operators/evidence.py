@@ -25,7 +25,7 @@ def _hundredths() -> Column:
     for k, v in BASE_CONFIDENCE.items():
         base = base.when(source == k, v)
     kinds = F.count_distinct(F.when(supports, source))
-    return F.coalesce(F.least(F.lit(CEILING), F.max(F.when(supports, base)) + SOURCE_BONUS * (kinds - 1)), F.lit(0))
+    return F.least(F.lit(CEILING), F.coalesce(F.max(F.when(supports, base)) + SOURCE_BONUS * (kinds - 1), F.lit(0)))  # least() passes over nulls
 
 
 def _clash() -> Column:

@@ -122,8 +122,8 @@ raw AS (SELECT sha1(type || '|' || source_id || '|' || tt || '/' || target_id) A
   '{"excerpt":"' || excerpt || '","locator":' || locator || ',"source_type":"' || source_type || '","stance":"' || stance || '"}' AS ev_key FROM parts),
 ev AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY owner_id, ev_key ORDER BY o1 NULLS FIRST, o2 NULLS FIRST, o3 NULLS FIRST, o4 NULLS FIRST, o5 NULLS FIRST) = 1),
 scored AS (SELECT owner_id AS id, source_id, type, target_ref, target_id, count(*) AS n_evidence,
-  coalesce(least(99, max(CASE WHEN stance = 'supports' THEN CASE WHEN source_type = 'interview' AND validated_by IS NOT NULL THEN 95 WHEN source_type = 'code' THEN 90 WHEN source_type = 'document' THEN 70 ELSE 60 END END)
-    + 5 * (count(DISTINCT CASE WHEN stance = 'supports' THEN source_type END) - 1)), 0) AS hundredths,
+  least(99, coalesce(max(CASE WHEN stance = 'supports' THEN CASE WHEN source_type = 'interview' AND validated_by IS NOT NULL THEN 95 WHEN source_type = 'code' THEN 90 WHEN source_type = 'document' THEN 70 ELSE 60 END END)
+    + 5 * (count(DISTINCT CASE WHEN stance = 'supports' THEN source_type END) - 1), 0)) AS hundredths,
   max(CASE WHEN stance = 'supports' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN stance = 'contradicts' THEN 1 ELSE 0 END) = 1 AND count(DISTINCT source_type || locator) >= 2 AS clash
   FROM ev GROUP BY ALL),
 edges AS (SELECT id, source_id, type, target_ref, target_id, hundredths / 100.0 AS confidence, CASE WHEN clash THEN 'conflicted' ELSE 'active' END AS status, n_evidence FROM scored),

@@ -264,8 +264,8 @@ def _snapshot(s, d, early: bool) -> DataFrame:
 
 
 def _score_sql(name: str, where: str) -> str:
-    return f"""{name} AS (SELECT source_id, type, target_ref, coalesce(least(99, max(CASE WHEN stance = 'supports' THEN CASE WHEN source_type = 'interview' AND validated_by IS NOT NULL THEN 95 WHEN source_type = 'code' THEN 90 WHEN source_type = 'document' THEN 70 ELSE 60 END END)
-    + 5 * (count(DISTINCT CASE WHEN stance = 'supports' THEN source_type END) - 1)), 0) / 100.0 AS confidence,
+    return f"""{name} AS (SELECT source_id, type, target_ref, least(99, coalesce(max(CASE WHEN stance = 'supports' THEN CASE WHEN source_type = 'interview' AND validated_by IS NOT NULL THEN 95 WHEN source_type = 'code' THEN 90 WHEN source_type = 'document' THEN 70 ELSE 60 END END)
+    + 5 * (count(DISTINCT CASE WHEN stance = 'supports' THEN source_type END) - 1), 0)) / 100.0 AS confidence,
     CASE WHEN max(CASE WHEN stance = 'supports' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN stance = 'contradicts' THEN 1 ELSE 0 END) = 1 AND count(DISTINCT source_type || locator) >= 2 THEN 'conflicted' ELSE 'active' END AS status
     FROM (SELECT * FROM raw WHERE type IN ('GOVERNS', 'DEPENDS_ON') AND {where} QUALIFY row_number() OVER (PARTITION BY owner_id, ev_key ORDER BY o1, o2, o3, o4, o5) = 1) GROUP BY ALL)"""
 
