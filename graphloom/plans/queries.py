@@ -653,7 +653,7 @@ def _html_sql(c: str) -> str:
     c = f"regexp_replace({c}, '<[^>]+>', '', 'g')"
     for entity, sign in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&amp;", "'&'")):
         c = f"replace({c}, '{entity}', {sign})"
-    return f"trim(regexp_replace({c}, '\\n{{3,}}', chr(10) || chr(10), 'g'))"
+    return f"regexp_replace(regexp_replace({c}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
 @query(f"SELECT page_id, sha1({_html_sql('html')}) AS text_sha1 FROM pages", graph=False)

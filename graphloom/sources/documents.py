@@ -56,7 +56,7 @@ def html_text(html: Column | str) -> Column:
     c = F.regexp_replace(c, r"<[^>]+>", "")
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def rule_candidates(files: DataFrame, limit: int | None = 200, after: int = 8, include: str | None = INCLUDE, exclude: str | None = EXCLUDE, signals: dict[str, str] | None = None, changed: DataFrame | None = None) -> DataFrame:
