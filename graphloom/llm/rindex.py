@@ -10,7 +10,8 @@ byte until the next sampled run end. A start whose statistic reaches 200 bytes,
 Anchors with very many snippets are narrowed down first. Each snippet is compared with one of its group, the pivot; strings
 within what the two share are repeats. Any other string holds the first byte to the left, or to the right, at which its
 snippet leaves the pivot; two equal ones leave it at the same place with the same byte, so the hash of what lies between that
-byte and the anchor deals them to smaller groups.
+byte and the anchor deals them to smaller groups. A string that holds both such bytes goes by the left one alone: each place
+of a string is in one group at most, and never meets itself.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def _leave_pivot(batches: Iterator[pa.RecordBatch], length: int, ends: bool) ->
                     out.append((ah, sh, s0 + off - high, s0 + off - low + 1))
                     shared.add((p["ah"], p["sh"], p["s0"] + p_off - high, p["s0"] + p_off - low + 1))
                 continue
-            for side, low, high, around in ((1, max(o1, same[0] + 1), o2, text[off - same[0] - 1 : off + ANCHOR] if same[0] < off else None), (2, o1, min(o2, room - same[1] - 1), text[off : off + ANCHOR + same[1] + 1] if same[1] < len(right) else None)):
+            for side, low, high, around in ((1, max(o1, same[0] + 1), o2, text[off - same[0] - 1 : off + ANCHOR] if same[0] < off else None), (2, o1, min(o2, same[0], room - same[1] - 1), text[off : off + ANCHOR + same[1] + 1] if same[1] < len(right) else None)):
                 a, z = max(0, off - high), min(len(text) - length, off - low)
                 if around is not None and low <= high and a <= z:
                     digest = hashlib.blake2b(around + bytes([side]) + same[side - 1].to_bytes(4, "little"), digest_size=8).digest()

@@ -67,6 +67,31 @@ def test_repeats_match_brute_force(spark, docs, monkeypatch, group):
         assert got == want
 
 
+def hot_phrase(rng):
+    """50 bytes of which one 32-byte substring has so small a hash that it anchors nearly all strings around it."""
+    while True:
+        t = bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(50))
+        at = np.arange(50 - rindex.ANCHOR + 1)
+        if rindex.range_hashes(rindex.prefix_hashes(np.frombuffer(t, np.uint8)), at, at + rindex.ANCHOR).min() < 1 << 50:
+            return t.decode()
+
+
+def check_repeats(spark, texts, length=200):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rindex.remove_repeats(df, length).collect())
+    assert got == [(i, *x) for i, x in enumerate(removed(texts, length))]
+
+
+def test_unique_text_around_a_hot_phrase_stays(spark, monkeypatch):
+    monkeypatch.setattr(rindex, "GROUP", 4)
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    phrase, shared = hot_phrase(rng), noise(160)
+    texts = [noise(180) + phrase + noise(180) for _ in range(20)]
+    texts += [noise(90) + shared + phrase + noise(90) for _ in range(6)] + [noise(90) + phrase + shared + noise(90) for _ in range(6)]
+    check_repeats(spark, texts)
+
+
 def test_repeats_of_odd_rows(odd, none):
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in rindex.remove_repeats(odd).collect()), key=str)
     want = sorted(((i, *x[:3]) for (i, _), x in zip(ODD, removed([t for _, t in ODD], 200))), key=str)
