@@ -5,7 +5,7 @@ have equal anchors at equal places, so all places of a string meet under its anc
 that share an anchor form one snippet; equal snippets are one with a count. For anchors that have several different snippets,
 a run-compressed Burrows-Wheeler transform of the snippets' suffixes is built: only at the ends of its runs are the longest
 common prefixes with the neighbours computed; from there matching statistics stream through each snippet, falling by one a
-byte until the next sampled run end. A start whose statistic reaches 200 bytes, or whose snippet has copies, is a repeat.
+byte until the next sampled run end. A start whose statistic reaches 200 bytes is a repeat, and so is every start of a snippet that has copies, whatever its group.
 
 Anchors with very many snippets are narrowed down first. Each snippet is compared with one of its group, the pivot; strings
 within what the two share are repeats. Any other string holds the first byte to the left, or to the right, at which its
@@ -136,8 +136,10 @@ def _index(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         reach = matching_statistics([r[5] for r in rows], counts) >= length
         out, at = [], 0
         for (_, ah, sh, s0, c, _), n in zip(rows, counts):
-            hit = np.ones(n, bool) if c > 1 else reach[at : at + n]
+            hit = reach[at : at + n]
             at += n
+            if c > 1:  # marked as a whole already
+                continue
             edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
             out += [(ah, sh, s0 + int(a), s0 + int(b)) for a, b in zip(edge[::2], edge[1::2])]
         columns = list(zip(*out)) or [(), (), (), ()]
@@ -213,18 +215,18 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     copies = materialise(copies.select("ah", "sh", "c", "one.*"), "copies")
     kinds = copies.groupBy("ah").agg(F.count("*").alias("kinds"))
     copies = materialise(copies.join(kinds, "ah"), "kinds")
-    lone = copies.where("kinds = 1 and c > 1").select("ah", "sh", F.lit(0).alias("from"), F.col("count").alias("to"))
+    again = copies.where("c > 1").select("ah", "sh", F.lit(0).alias("from"), F.col("count").alias("to"))
     rows = _cut_bytes(docs, copies.where("kinds > 1"), length)
     rows = rows.select(F.col("ah").alias("key"), "ah", "sh", F.lit(0).alias("s0"), F.lit(0).alias("o1"), F.lit(length - ANCHOR).alias("o2"), "off", "c", "bytes")
-    marks = [lone]
+    marks = [again]
     rows = materialise(rows, "snippets")
     schema = rows.schema
     while True:
-        groups = rows.groupBy("key").agg(F.count("*").alias("rows"), F.sum("c").alias("all"))
+        groups = rows.groupBy("key").agg(F.count("*").alias("rows"))
         state = groups.agg(F.max("rows")).head()[0]
         if state is None:
             break
-        dealt = rows if state <= GROUP else rows.join(groups.where((F.col("rows") <= GROUP) & (F.col("all") > 1)).select("key"), "key")
+        dealt = rows.join(groups.where((F.col("rows") <= GROUP) & (F.col("rows") > 1)).select("key"), "key")
         dealt = dealt.select("key", "ah", "sh", "s0", "c", "bytes").repartition("key").sortWithinPartitions("key")
         marks.append(materialise(dealt.mapInArrow(lambda b: _index(b, length), "ah long, sh long, from int, to int"), "marks"))
         if state <= GROUP:

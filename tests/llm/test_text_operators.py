@@ -92,6 +92,16 @@ def test_unique_text_around_a_hot_phrase_stays(spark, monkeypatch):
     check_repeats(spark, texts)
 
 
+def test_copies_of_a_pivot_go(spark, monkeypatch):
+    monkeypatch.setattr(rindex, "GROUP", 4)
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    phrase = hot_phrase(rng)
+    texts = [noise(100) + phrase + noise(100) for _ in range(12)]
+    check_repeats(spark, texts + texts)  # whichever text is the pivot, it has a copy
+    check_repeats(spark, texts + texts[:6])
+
+
 def test_repeats_of_odd_rows(odd, none):
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in rindex.remove_repeats(odd).collect()), key=str)
     want = sorted(((i, *x[:3]) for (i, _), x in zip(ODD, removed([t for _, t in ODD], 200))), key=str)
