@@ -106,9 +106,10 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5)
     place = F.struct("doc_id", "rk", "line_no")
     classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", *SIGNATURE)).alias("m")).select("s1", "n", "m.at", "m.prefix", *[f"m.{s}" for s in SIGNATURE])
     classes = materialise(classes, "classes")
+    paired = classes.where(n * (den - num) >= num)  # smaller sets match equal ones alone: n / (n + 1) is under the threshold
     fits = _fits(num, den, "x", "y")
 
-    few = classes.select("s1", "n", *SIGNATURE, "at", F.posexplode(F.slice("prefix", 1, 2)).alias("pos", "token"))
+    few = paired.select("s1", "n", *SIGNATURE, "at", F.posexplode(F.slice("prefix", 1, 2)).alias("pos", "token"))
     few = few.select("token", "at", F.struct((n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), *SIGNATURE, "s1").alias("t"))
     earliest = few.groupBy("token").agg(F.min(F.struct("at", "t")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", "m.t")
     x, y = few.select("token", "t.*").alias("x"), earliest.select("token", "t.*").alias("y")
@@ -117,7 +118,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5)
 
     # Of a pair the later line must be unsettled; lines of one document are taken either way.
     open_bit = F.when(F.col("gone"), F.lit(0)).otherwise(F.lit(1 << 61)).cast("long")
-    tokens = classes.join(settled.withColumn("gone", F.lit(True)), "s1", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    tokens = paired.join(settled.withColumn("gone", F.lit(True)), "s1", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     tokens = tokens.select("s1", *SIGNATURE, "n", F.coalesce("at.doc_id", F.lit(-(1 << 63))).alias("doc"), open_bit.alias("open"), F.posexplode("prefix").alias("pos", "token"))
     tokens = tokens.select("token", "s1", (F.col("open") + n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), *SIGNATURE, "doc")
     later_open = lambda a, b: (F.col(f"{a}.np") >= F.lit(1 << 61)) & (F.col(f"{a}.doc") >= F.col(f"{b}.doc"))
@@ -137,7 +138,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) ->
     distinct words, lower-cased. Lines match if the Jaccard similarity of their token sets is `threshold` or more. A line is
     earlier by doc_id (null first), then by the text's hash for rows of one doc_id, then by line number. Every line that
     matches any earlier line of the input goes, whether that line stays or not. Lines of fewer than `min_words` distinct words
-    always stay, blank ones too. Rows equal in doc_id and text are one document and get one result. Null and empty texts stay
+    always stay; with 1, blank ones alone. Rows equal in doc_id and text are one document and get one result. Null and empty texts stay
     as they are, with n_lines 0.
     """
     docs = docs.drop("n_lines", "n_removed")

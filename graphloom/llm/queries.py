@@ -60,7 +60,7 @@ def op9_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_words=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 

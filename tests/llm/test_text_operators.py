@@ -451,6 +451,19 @@ def test_lines_match_brute_force(spark):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out.collect()} == plain_lines(rows)
 
 
+def test_query_takes_short_lines(spark, tmp_path):
+    from graphloom.llm.queries import QUERIES
+
+    rng = random.Random(13)
+    rows = [(i, "\n".join(words(rng, rng.randrange(0, 6), 7) for _ in range(6))) for i in range(30)]
+    rows += [(100, "a b c d\n\u4e2d\u6587\u5b57\nhttps://example.org/x"), (101, "a b c d e\n\n\u4e2d\u6587\u5b57"), (102, "https://example.org/x\na b c\nC B A a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in QUERIES["op10_line_set_similarity"](spark, str(tmp_path)).collect()}
+    want = {i: (a, b, hashlib.sha256(t.encode()).hexdigest()) for i, (a, b, t) in plain_lines(rows, least=1).items()}
+    lines = {i: (0 if not t else want[i][0], *want[i][1:]) for i, t in rows}
+    assert got == lines and got[101][1] == 2 and got[102][1] == 2
+
+
 def test_lines_of_odd_rows(spark, odd, none):
     same = "a line of several words that comes again"
     df = odd.select("doc_id", "text", "rk").unionByName(spark.createDataFrame([(20, f"{same}\n\n{same}", 1), (21, same, 1), (21, same, 1), (21, same + "\nother", 2)], "doc_id long, text string, rk int"))
