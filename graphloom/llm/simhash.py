@@ -189,6 +189,11 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 4, block: int = BLOCK) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", row_key(), "text")
     prints = materialise(with_fingerprint(rows, "doc_id", "rk"), "fingerprints")
     parts = materialise(prints.join(_components(prints, bits, block), "fp").select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk").alias("at")), "parts")
+    return keep_first(docs, parts)
+
+
+def keep_first(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of docs that stay when one of each component does; parts (component, at: none, doc_id, rk) has all rows."""
     first = parts.groupBy("component").agg(F.min("at").alias("first"))
     status = parts.join(first, "component").groupBy(F.col("at.rk").alias("_k")).agg(F.min(F.col("at") == F.col("first")).alias("_stays"), F.count("*").alias("_n"))
     status = materialise(status.where("not _stays or _n > 1"), "status")

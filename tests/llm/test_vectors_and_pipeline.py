@@ -90,3 +90,40 @@ def test_pipeline_stages(spark, tmp_path):
     assert 5 not in seen[3] and len(seen[3]) == len(seen[2]) - 1
     assert seen[4].keys() == seen[3].keys()
     assert {r.doc_id for r in p.run(spark, str(tmp_path)).collect()} == set(seen[4])
+
+
+def test_near_copies_of_similarity_08_go(spark):
+    from corpus_pipeline import drop_near_copies
+
+    rng = random.Random(14)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows = []
+    for n in [1, 3, 5, 6, 20, 60, 100, 200, 300, 500]:
+        base = say(n)
+        rows.append(base)
+        for edits in (0, 1, 2, 3, 5, 8, 12):
+            w = list(rows[-1] if edits % 2 else base)
+            for _ in range(edits):
+                w[rng.randrange(n)] = "changed%d" % rng.randrange(1000)
+            rows.append([x.upper() for x in w] if edits == 3 else w)
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)] + [(900, ""), (901, None), (902, " \t"), (None, "only without an id here"), (5, "one more row of an id"), (5, "one more row of an id")]
+
+    def sets(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    own, part = [sets(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(own[a] & own[b]) * 5 >= len(own[a] | own[b]) * 4 and part[a] != part[b]:
+                part = [part[b] if x == part[a] else x for x in part]
+    want, seen = [], set()
+    for k in order:
+        if part[k] not in seen:
+            seen.add(part[k])
+            want.append(rows[k])
+    got = drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str) and len(want) < len(rows) - 20
+    assert drop_near_copies(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
