@@ -439,7 +439,7 @@ def pagerank_1_round(s, d):
 @query()
 def pagerank(s, d):
     adj = cut(traversal.adjacency(_edges(s, d)), "adjacency")
-    return iterate.pagerank(_seeds(s, d, "policy"), adj, rounds=10).select("query_id", "id", F.round("rank", 8).alias("rank"))
+    return iterate.pagerank(_seeds(s, d, "policy"), adj).select("query_id", "id", F.round("rank", 8).alias("rank"))
 
 
 @query()
@@ -454,9 +454,8 @@ def k_paths(s, d):
 
 @query()
 def spectral_similarity(s, d):
-    """Structural vectors of nations, regions, rules and parts' graph."""
-    e = _edges(s, d).where("type in ('CALCULATES', 'PART_OF')")
-    out = iterate.spectral_embedding(cut(traversal.adjacency(e), "adjacency"), 8, 4, 10)
+    """Structural vectors of all nodes with edges."""
+    out = iterate.spectral_embedding(cut(traversal.adjacency(_edges(s, d)), "adjacency"))
     return out.select("id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("length"))
 
 
@@ -621,10 +620,8 @@ def mmr_seeds(s, d):
 
 @query()
 def similar_nodes(s, d):
-    e = _edges(s, d).where("type in ('CALCULATES', 'PART_OF')")
-    adj = cut(traversal.adjacency(e), "adjacency")
     n = project.nodes(s, d).where("type in ('entity', 'rule')")
-    out = retrieve.similar_nodes(_origins(s, d, "rule"), n, e, spectral=iterate.spectral_embedding(adj, 8, 4, 5))
+    out = retrieve.similar_nodes(_origins(s, d, "rule"), n, cut(_edges(s, d), "edges"))
     return out.select("origin", "id", F.round("score", 4).alias("score"), "rank")
 
 

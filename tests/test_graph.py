@@ -395,3 +395,33 @@ def test_sections_html_and_candidates(spark):
     assert [r.doc_id for r in batches.unique_ids(spark.createDataFrame([("X", 1), ("x 2", 2), ("X", 3), ("X", 4)], "name string, pos int")).orderBy("pos").collect()] == ["x", "x-2", "x-3", "x-4"]
     chunks = batches.chunk(spark.range(10).withColumnRenamed("id", "k"), 4, ["k"])
     assert sorted(len(r.rows) for r in chunks.collect()) == [2, 4, 4]
+
+
+def whole_graph(spark, monkeypatch):
+    """Registered queries over a small graph with an edge of each kind of the projection."""
+    from graphloom.plans import queries
+
+    kinds = [("event-e", "TRIGGERS", "process-o"), ("policy-p", "GOVERNS", "process-o"), ("process-o", "DEPENDS_ON", "entity-part-1"), ("role-c", "EXECUTES", "process-o"), ("rule-r", "CALCULATES", "entity-part-1"), ("entity-nation-1", "PART_OF", "entity-region-1")]
+    rows = [(f"{k:02d}", a, t, b.split("-")[0] + "/" + b, b, 0.9, "active") for k, (a, t, b) in enumerate(kinds)]
+    e = spark.createDataFrame(rows, "id string, source_id string, type string, target_ref string, target_id string, confidence double, status string")
+    ids = sorted({x for a, _, b in kinds for x in (a, b)})
+    n = spark.createDataFrame([(x, x.split("-")[0], x) for x in ids], "id string, type string, name string")
+    monkeypatch.setattr(queries.project, "edges", lambda s, d: e)
+    monkeypatch.setattr(queries.project, "nodes", lambda s, d: n)
+    return queries.QUERIES, ids
+
+
+def test_registered_iterations_take_all_edges_and_defaults(spark, monkeypatch):
+    queries, ids = whole_graph(spark, monkeypatch)
+    seen = []
+
+    def vectors_of(adj, *args, **kw):
+        seen.append((adj.select("src").distinct().count(), args, kw))
+        return adj.select(F.col("src").alias("id"), F.array(F.lit(1.0)).alias("vector")).distinct()
+
+    monkeypatch.setattr(iterate, "spectral_embedding", vectors_of)
+    monkeypatch.setattr(retrieve, "spectral_embedding", vectors_of)
+    monkeypatch.setattr(iterate, "pagerank", lambda seeds, adj, *args, **kw: seen.append((adj.select("src").distinct().count(), args, kw)) or seeds.withColumnRenamed("score", "rank"))
+    for name in ("pagerank", "spectral_similarity", "similar_nodes"):
+        queries[name](spark, "").collect()
+    assert seen == [(len(ids), (), {})] * 3
