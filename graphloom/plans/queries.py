@@ -444,12 +444,14 @@ def pagerank(s, d):
 
 @query()
 def k_paths(s, d):
-    """Strongest paths between nations and regions, and from every event to every policy by two hops."""
+    """Strongest paths of up to six hops between nations and regions, and from every event to every policy."""
     e, n = cut(_edges(s, d), "edges"), project.nodes(s, d)
     regions = n.where("id like 'entity-region-%'").select(F.col("id").alias("target"))
     nations = n.where("id like 'entity-nation-%'").select(F.col("id").alias("source"))
-    pairs = nations.join(regions, F.lit(True))
-    return iterate.strongest_paths(pairs, n, e, 3, 4).select("source", "target", "rank", "strength", "hops")
+    policies = _origins(s, d, "policy").select(F.col("origin").alias("target"))
+    events = _origins(s, d, "event").select(F.col("origin").alias("source"))
+    pairs = nations.join(regions, F.lit(True)).unionByName(events.join(policies, F.lit(True)))
+    return iterate.strongest_paths(pairs, n, e).select("source", "target", "rank", "strength", "hops")
 
 
 @query()

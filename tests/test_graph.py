@@ -425,3 +425,9 @@ def test_registered_iterations_take_all_edges_and_defaults(spark, monkeypatch):
     for name in ("pagerank", "spectral_similarity", "similar_nodes"):
         queries[name](spark, "").collect()
     assert seen == [(len(ids), (), {})] * 3
+
+
+def test_registered_paths_ask_events_to_policies(spark, monkeypatch):
+    queries, _ = whole_graph(spark, monkeypatch)
+    got = {(r.source, r.target): r.hops for r in queries["k_paths"](spark, "").collect()}
+    assert got == {("event-e", "policy-p"): 2, ("entity-nation-1", "entity-region-1"): 1}
