@@ -22,9 +22,12 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set (tests), a temporary one is set for the session."""
+    """The folder that driver and executors share, which spark.checkpoint.dir names. Only a local session, whose driver and
+    executors are one process, may leave it unset: a temporary folder is set for it then."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,13 +41,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends here, and a lost executor loses nothing."""
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Deletes a folder by Hadoop's file system, wherever it lies."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `materialise` has written for these, once nothing that is still to run reads them."""
+    for t in tables:
+        spark = t.sparkSession
+        there = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

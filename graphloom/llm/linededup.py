@@ -1,13 +1,18 @@
 """Line de-duplication by an exact set-similarity join (numbered operator 10), in DataFrame functions alone.
 
 A line's tokens are its distinct words, ordered by rarity. Two lines whose Jaccard similarity is t or more share a token among
-the first n - ceil(t n) + 1 of each, at places that leave room for the overlap needed, and their sizes are within a factor t;
-so lines are joined on single tokens of these prefixes, with the length and positional filters as join conditions, and only
-the pairs left are verified on whole token sets. Equal token sets are one class throughout: copies of a line are counted and
+the first n - ceil(t n) + 1 of each, at places that leave room for the overlap needed, and their sizes are within a factor t.
+Candidates pass these prefix, length and positional filters and a bound on the bits by which bitmaps of the tokens differ;
+they are verified on the words themselves. Equal token sets are one class throughout: copies of a line are counted and
 ordered, never paired.
 
+A line goes if any earlier line matches it, so one match is enough, and most of the pairs within a large group of near copies
+needn't be made. First each class is compared, under every token of its prefix, with the first class there and with the two
+before it: that is complete for tokens of up to four classes, and settles nearly all members of large groups. Only classes that
+are still unsettled then join with all earlier ones under the tokens of more than four classes.
+
 Rarity comes from a table of word counts of bounded size (words that share a cell add up), which is exact enough to order by:
-any fixed order gives right results. Words of like counts go longest first.
+any fixed order gives right results.
 """
 
 from __future__ import annotations
@@ -15,142 +20,206 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import byte_at, filter_cells, materialise, maybe_in, row_key
+from .common import byte_at, discard, filter_cells, materialise, maybe_in, row_key
 
-#: Cells of the table of word counts (a byte each in the plan).
-CELLS = 1 << 16
+#: Cells of the tables of word counts and of token counts (a byte each in the plan).
+CELLS = 1 << 18
+#: Classes under one token that one task puts in order; more are dealt by a hash.
+HOT = 250_000
 MASK = (1 << 48) - 1
-#: The two halves of a 128-bit bitmap of a line's tokens.
-SIGNATURE = ("sig", "sig2")
+#: Distinct words from which a line has a bitmap of 128 bits, rather than 64.
+LONG = 48
 
 
-def words(text: Column) -> Column:
-    """Words of a text, lower-cased: what white space parts."""
-    return F.filter(F.split(F.translate(F.lower(text), "\n\r\t\x0b\x0c", " " * 5), " "), lambda w: w != "")
+def split_words(line: Column) -> Column:
+    """Words of a line, lower-cased: what white space parts. Blanks in a row part empty words."""
+    other = "\r\t\x0b\x0c"
+    odd = F.contains(line, F.lit(other[0]))
+    for c in other[1:]:
+        odd = odd | F.contains(line, F.lit(c))
+    return F.split(F.lower(F.when(odd, F.translate(line, other, " " * len(other))).otherwise(line)), " ")
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """Per cell 1 + log2 of the count of all words that hash to it."""
-    word = docs.select(F.explode(F.split(F.translate(F.lower("text"), "\n\r\t\x0b\x0c", " " * 5), " ")).alias("w")).where("w <> ''")
-    counts = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").alias("n")).toPandas()  # CELLS rows at most
-    table = bytearray(CELLS)
-    for cell, n in zip(counts["cell"], counts["n"]):
+def word_set(line: Column) -> Column:
+    return F.array_remove(F.array_distinct(split_words(line)), "")
+
+
+def line_rows(docs: DataFrame) -> DataFrame:
+    """rk, doc_id, line_no, line: the lines of docs (doc_id, text)."""
+    return docs.select(row_key(), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+def _cell(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
+
+
+def _logs(counts: DataFrame) -> bytes:
+    """A table from cell to 1 + log2 of the count n of rows (cell, n); CELLS rows at most reach the driver."""
+    found, table = counts.toPandas(), bytearray(CELLS)
+    for cell, n in zip(found["cell"], found["n"]):
         table[cell] = min(127, 1 + int(math.log2(n)))
     return bytes(table)
 
 
-def tokenised(docs: DataFrame, ranks: bytes, wanted: DataFrame | None) -> DataFrame:
-    """doc_id, rk, line_no, keys: all lines, with the ordered keys of their distinct words.
+def rarity(docs: DataFrame) -> bytes:
+    """Per cell 1 + log2 of the count of all words that hash to it."""
+    words = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.explode(split_words(F.col("line"))).alias("w"))
+    return _logs(words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count("*").alias("n")))
 
-    wanted: filter cells of hashes of (rk, line_no); other lines are left out."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    if wanted is not None:
-        lines = maybe_in(lines, F.xxhash64("rk", "line_no"), wanted)
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = byte_at(ranks, F.pmod(h, F.lit(CELLS))) * 128 + (127 - F.least(F.length(w), F.lit(127)))
-        return F.shiftleft(rank.cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit(MASK)))
+def tokenised(docs: DataFrame, ranks: bytes, num: int, den: int) -> DataFrame:
+    """doc_id, rk, line_no, n (distinct words), s1 and s2 (hashes of the token set), prefix, sig and sig2 (bitmaps)."""
 
-    keys = F.sort_array(F.array_distinct(F.transform(words(F.col("line")), key)))
-    return lines.select("doc_id", "rk", "line_no", keys.alias("keys"))
+    def key(h: Column) -> Column:
+        return F.shiftleft(byte_at(ranks, _cell(h)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit(MASK)))
 
+    hashes = F.array_remove(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    rows = line_rows(docs).select("doc_id", "rk", "line_no", F.sort_array(F.transform(hashes, key)).alias("keys")).withColumn("n", F.size("keys"))
+    least = F.floor((F.col("n").cast("long") * num + den - 1) / den).cast("int")  # overlap with the shortest partner: ceil(t n)
+    prefix = F.transform(F.slice("keys", 1, F.col("n") - least + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    bits = "aggregate({}, 0L, (a, k) -> a | shiftleft(1L, cast(k & 63 as int)))"
+    half = "aggregate(keys, 0L, (a, k) -> if((k & 64) = {}, a | shiftleft(1L, cast(k & 63 as int)), a))"
+    sig = F.when(F.col("n") < LONG, F.expr(bits.format("keys"))).otherwise(F.expr(half.format(0)))
+    sig2 = F.when(F.col("n") < LONG, F.lit(0).cast("long")).otherwise(F.expr(half.format(64)))
+    return rows.select("doc_id", "rk", "line_no", "n", F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), prefix.alias("prefix"), sig.alias("sig"), sig2.alias("sig2"))
+
+
+def _size(np: Column) -> Column:
+    return F.shiftright(np, 31).bitwiseAND(F.lit((1 << 30) - 1))
+
+
+def _difference(x: str, y: str) -> Column:
+    """A bound from below on the number of tokens by which two sets differ, from their bitmaps."""
+    a, b = ([F.col(f"{s}.{c}") for c in ("sig", "sig2")] for s in (x, y))
+    both = F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
+    folded = F.bit_count(a[0].bitwiseOR(a[1]).bitwiseXOR(b[0].bitwiseOR(b[1])))
+    return F.when((_size(F.col(f"{x}.np")) < LONG) | (_size(F.col(f"{y}.np")) < LONG), folded).otherwise(both)
 
-def _fits(num: int, den: int, left: str, right: str) -> Column:
-    """Join condition of two token rows (np: size and place, sig and sig2: bitmap of tokens): whether the sets can be similar.
+
+def _fits(num: int, den: int, x: str, y: str) -> Column:
+    """Whether two sets (np: size and place of the shared token, sig, sig2) can be similar.
 
     Sizes are within the threshold; what is left after the places leaves room for the overlap; and the bitmaps differ in no
     more bits than the sets may differ in tokens.
     """
-    size = lambda x: F.shiftright(F.col(f"{x}.np"), 31).bitwiseAND(F.lit((1 << 30) - 1))
-    place = lambda x: F.col(f"{x}.np").bitwiseAND(F.lit((1 << 31) - 1))
-    na, nb = size(left), size(right)
-    room = F.least(na - place(left), nb - place(right))
-    bits = sum((F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in SIGNATURE), F.lit(0))
-    return (nb * den >= na * num) & (na * den >= nb * num) & (room * (num + den) >= (na + nb) * num) & (bits * (num + den) <= (na + nb) * (den - num))
-
-
-def _later(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ranks: bytes, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) of classes whose token sets are similar: the class (s1) whose first line is the later one."""
-    ends = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct()
-    spots = materialise(classes.select("s1", "at").join(ends, "s1"), "ends")
-    known = filter_cells(spots.select(F.xxhash64("at.rk", "at.line_no").alias("h")))
-    full = tokenised(docs, ranks, known).select(F.struct("doc_id", "rk", "line_no").alias("at"), F.xxhash64("keys").alias("s1"), "keys")
-    full = materialise(full.join(spots, ["s1", "at"], "left_semi").dropDuplicates(["s1"]), "token-sets")
-    both = pairs.join(full.select(F.col("s1").alias("a"), F.col("keys").alias("ka"), F.col("at").alias("pa")), "a").join(full.select(F.col("s1").alias("b"), F.col("keys").alias("kb"), F.col("at").alias("pb")), "b")
-    similar = both.where(F.size(F.array_intersect("ka", "kb")) * (num + den) >= (F.size("ka") + F.size("kb")) * num)
-    return similar.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("s1")).distinct()
-
-
-def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
-    """doc_id, rk, line_no of the lines that match an earlier line; see `dedup_lines`.
-
-    A line goes if any earlier line matches it, so one match is enough. First each class is compared with the earliest class
-    at each of its two rarest tokens; that settles most lines of large groups of near copies with a few comparisons each. The
-    full join is then made only for pairs whose later line is still unsettled.
+    place = lambda s: F.col(f"{s}.np").bitwiseAND(F.lit((1 << 31) - 1))
+    nx, ny = _size(F.col(f"{x}.np")), _size(F.col(f"{y}.np"))
+    room = F.least(nx - place(x), ny - place(y))
+    sizes = (ny * den >= nx * num) & (nx * den >= ny * num)
+    return sizes & (room * (num + den) >= (nx + ny) * num) & (_difference(x, y) * (num + den) <= (nx + ny) * (den - num))
+
+
+def _later(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (x, y) of classes whose word sets are similar: s1 of the class whose first line is the later one.
+
+    The lines of the classes are read from docs again. A pair's y goes to x with its words, so that a class that many are
+    compared with is read once.
     """
+    place = F.struct(F.col("doc_id").alias("doc_id"), "rk", "line_no")
+    spots = classes.select("s1", place.alias("at"))
+    both = pairs.join(spots.toDF("x", "px"), "x").join(spots.toDF("y", "py"), "y")
+    both = materialise(both.select("x", "y", "px", "py", F.when(F.col("px") > F.col("py"), F.col("x")).otherwise(F.col("y")).alias("later")), "placed-pairs")
+    ends = both.select("px").union(both.select("py")).toDF("at")
+    known = filter_cells(ends.select(F.xxhash64("at.rk", "at.line_no").alias("h")))
+    lines = maybe_in(line_rows(docs).select("rk", "line_no", "line"), F.xxhash64("rk", "line_no"), known)
+    lines = lines.repartition("rk", "line_no")
+    y = both.select(F.col("py.rk").alias("rk"), F.col("py.line_no").alias("line_no"), "x", "y", "later").join(lines, ["rk", "line_no"])
+    x = both.select(F.col("px.rk").alias("rk"), F.col("px.line_no").alias("line_no"), "x").distinct().join(lines, ["rk", "line_no"])
+    met = y.select("x", "later", F.col("line").alias("ly")).join(x.select("x", F.col("line").alias("lx")), "x")
+    met = met.select("later", word_set(F.col("lx")).alias("wx"), word_set(F.col("ly")).alias("wy"))
+    similar = met.where(F.size(F.array_intersect("wx", "wy")).cast("long") * (num + den) >= (F.size("wx") + F.size("wy")).cast("long") * num)
+    out = materialise(similar.select(F.col("later").alias("s1")).distinct(), "later")
+    discard(both, known)
+    return out
+
+
+def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1) -> DataFrame:
+    """doc_id, rk, line_no of the lines that match an earlier line; see `dedup_lines`."""
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must be within 0.5 and 1")
     num, den = round(threshold * 1000), 1000
     docs = docs.select("doc_id", "text").where("text is not null")
-    ranks = rarity(docs)
-    n = F.size("keys")
-    least = F.floor((n * num + den - 1) / den).cast("int")  # overlap with the shortest partner: ceil(t n)
-    prefix = F.transform(F.slice("keys", 1, n - least + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    half = "aggregate(keys, 0L, (a, k) -> if((k & 64) = {}, a | shiftleft(1L, cast(k & 63 as int)), a))"
-    signature = [F.expr(half.format(64 * i)).alias(s) for i, s in enumerate(SIGNATURE)]
-    lines = materialise(tokenised(docs, ranks, None).select("doc_id", "rk", "line_no", n.alias("n"), F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), prefix.alias("prefix"), *signature), "lines")
+    lines = materialise(tokenised(docs, rarity(docs), num, den), "lines")
     lines, n = lines.where(F.col("n") >= min_words), F.col("n")
     place = F.struct("doc_id", "rk", "line_no")
-    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", *SIGNATURE)).alias("m")).select("s1", "n", "m.at", "m.prefix", *[f"m.{s}" for s in SIGNATURE])
-    classes = materialise(classes, "classes")
-    paired = classes.where(n * (den - num) >= num)  # smaller sets match equal ones alone: n / (n + 1) is under the threshold
-    fits = _fits(num, den, "x", "y")
-
-    few = paired.select("s1", "n", *SIGNATURE, "at", F.posexplode(F.slice("prefix", 1, 2)).alias("pos", "token"))
-    few = few.select("token", "at", F.struct((n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), *SIGNATURE, "s1").alias("t"))
-    earliest = few.groupBy("token").agg(F.min(F.struct("at", "t")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", "m.t")
-    x, y = few.select("token", "t.*").alias("x"), earliest.select("token", "t.*").alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.s1") != F.col("y.s1")) & fits).select(F.col("x.s1").alias("a"), F.col("y.s1").alias("b"))
-    settled = materialise(_later(docs, classes, materialise(pairs.distinct(), "first-pairs"), ranks, num, den), "settled")
-
-    # Of a pair the later line must be unsettled; lines of one document are taken either way.
-    open_bit = F.when(F.col("gone"), F.lit(0)).otherwise(F.lit(1 << 61)).cast("long")
-    tokens = paired.join(settled.withColumn("gone", F.lit(True)), "s1", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    tokens = tokens.select("s1", *SIGNATURE, "n", F.coalesce("at.doc_id", F.lit(-(1 << 63))).alias("doc"), open_bit.alias("open"), F.posexplode("prefix").alias("pos", "token"))
-    tokens = tokens.select("token", "s1", (F.col("open") + n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), *SIGNATURE, "doc")
-    later_open = lambda a, b: (F.col(f"{a}.np") >= F.lit(1 << 61)) & (F.col(f"{a}.doc") >= F.col(f"{b}.doc"))
-    unsettled = later_open("x", "y") | later_open("y", "x")
-    pairs = tokens.alias("x").join(tokens.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.s1") < F.col("y.s1")) & unsettled & fits)
-    pairs = materialise(pairs.select(F.col("x.s1").alias("a"), F.col("y.s1").alias("b")).distinct(), "pairs")
-    later = settled.unionByName(_later(docs, classes, pairs, ranks, num, den)).distinct()
+    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", "sig", "sig2")).alias("m"))
+    classes = materialise(classes.select("s1", "n", "m.at.*", "m.prefix", "m.sig", "m.sig2"), "classes")
+
+    def tokens(some: DataFrame) -> DataFrame:
+        """token, doc, t: s1, np and bitmaps, for each token of a prefix. Smaller sets match equal ones alone: n / (n + 1) is
+        under the threshold."""
+        some = some.where(n * (den - num) >= num)
+        rows = some.select("s1", "n", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "sig", "sig2", F.posexplode("prefix").alias("pos", "token"))
+        return rows.select("token", "doc", "s1", (n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig", "sig2")
+
+    prefix = classes.where(n * (den - num) >= num).select(F.explode("prefix").alias("token"))
+    often = _logs(prefix.groupBy(_cell(F.col("token")).alias("cell")).agg(F.count("*").alias("n")))
+    level = max(1, int(math.log2(HOT)) + 1)
+    parts = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), byte_at(often, _cell(F.col("token"))) - level)).cast("long")
+    rows = tokens(classes).withColumn("part", F.pmod("s1", parts) if any(x > level for x in often) else F.lit(0).cast("long"))
+    rows = rows.select("token", "part", "doc", F.struct("s1", "np", "sig", "sig2").alias("y"))
+    at = W.partitionBy("token", "part").orderBy("doc", "y.s1")
+    met = rows.select("token", "y", F.row_number().over(at).alias("nth"), F.first("y").over(at).alias("first"), F.lag("y", 1).over(at).alias("before"), F.lag("y", 2).over(at).alias("before2"))
+    none = F.lit(None).cast(met.schema["y"].dataType)
+    fifth = F.when(F.col("nth") == 5, F.struct(F.lit(None).cast("long").alias("s1"), *[F.lit(0).cast("long").alias(c) for c in ("np", "sig", "sig2")]))
+    others = F.array(F.when(F.col("nth") > 1, F.col("first")).otherwise(none), F.when(F.col("nth") > 2, F.col("before")).otherwise(none), F.when(F.col("nth") > 3, F.col("before2")).otherwise(none), fifth)
+    met = met.where("nth > 1").select("token", "y", F.explode(others).alias("x")).where(F.col("x").isNotNull() & (F.col("x.s1").isNull() | ((F.col("x.s1") != F.col("y.s1")) & _fits(num, den, "x", "y"))))
+    more = F.col("x.s1").isNull()
+    met = met.select(F.when(~more, F.col("y.s1")).alias("y"), F.col("x.s1").alias("x"), F.when(~more, _difference("x", "y")).alias("bits"), F.when(more, F.col("token")).alias("token"))
+    met = materialise(met.distinct(), "neighbours")
+
+    pairs, long = met.where("x is not null").select("x", "y", "bits"), met.where("x is null").select("token")
+    nearest = F.col("bits").cast("long") * (1 << 54) + F.col("x").bitwiseAND(F.lit((1 << 54) - 1))
+    best = materialise(pairs.groupBy("y").agg(F.min_by("x", nearest).alias("x")), "nearest")
+    settled = _later(docs, classes, best, num, den)
+
+    marked = classes.join(settled.withColumn("gone", F.lit(True)), "s1", "left")
+    shared = filter_cells(long.select(F.xxhash64("token").alias("h")))
+    marked = materialise(marked.select(*classes.columns, F.col("gone").isNull().alias("open")), "marked")
+    left = maybe_in(tokens(marked.where("open")), F.xxhash64("token"), shared)
+    right = maybe_in(tokens(marked), F.xxhash64("token"), shared)
+    # Of two classes in one document either may be the later one.
+    rest = left.alias("y").join(right.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") <= F.col("y.doc")) & (F.col("x.s1") != F.col("y.s1")) & _fits(num, den, "x", "y"))
+    rest = rest.select("x.s1", "y.s1").toDF("x", "y")
+    others = pairs.select("x", "y").join(marked.where("open").select(F.col("s1").alias("y")), "y", "left_semi").select("x", "y")
+    rest = rest.unionByName(others).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    tried = best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    rest = materialise(rest.join(tried, ["x", "y"], "left_anti"), "pairs")
+    later = settled.unionByName(_later(docs, classes, rest, num, den)).distinct()
     # A class's first line stays unless an earlier class matches it; its other lines go.
-    stays = classes.select("s1", "at").join(later, "s1", "left_anti")
-    return lines.select(place.alias("at"), "s1").join(stays, ["s1", "at"], "left_anti").select("at.*")
+    stays = classes.select("s1", place.alias("at")).join(later, "s1", "left_anti")
+    gone = materialise(lines.select(place.alias("at"), "s1").join(stays, ["s1", "at"], "left_anti").select("at.*"), "repeated")
+    discard(classes, met, best, settled, marked, rest, shared)
+    return gone
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1) -> DataFrame:
     """docs (doc_id, text, ...) with the lines taken out of text that match an earlier line, and all other columns.
 
     Added columns (replaced if there): n_lines and n_removed, both long. Lines are what newlines part; their tokens are
     distinct words, lower-cased. Lines match if the Jaccard similarity of their token sets is `threshold` or more. A line is
     earlier by doc_id (null first), then by the text's hash for rows of one doc_id, then by line number. Every line that
     matches any earlier line of the input goes, whether that line stays or not. Lines of fewer than `min_words` distinct words
-    always stay; with 1, blank ones alone. Rows equal in doc_id and text are one document and get one result. Null and empty texts stay
-    as they are, with n_lines 0.
+    always stay: blank ones, by default. Rows equal in doc_id and text are one document and get one result. A document that
+    loses all its lines gets an empty text. Null and empty texts stay as they are, with n_lines 0.
     """
     docs = docs.drop("n_lines", "n_removed")
     gone = materialise(repeated_lines(docs, threshold, min_words).groupBy("doc_id", "rk").agg(F.collect_set("line_no").alias("gone")), "gone")
     known = filter_cells(gone.select(F.col("rk").alias("h")))
-    rows = docs.withColumn("_rk", row_key())
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), F.col("gone").alias("_gone"))
-    split = F.split("text", "\n", -1)
-    hit = maybe_in(rows, F.col("_rk"), known).alias("r").join(gone.alias("g"), (F.col("r._rk") == F.col("g._rk")) & F.col("r.doc_id").cast("long").eqNullSafe(F.col("g._id")), "left").select("r.*", "_gone")
-    stays = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), F.array_contains("_gone", i).alias("gone"))), lambda s: ~s["gone"])
-    hit = hit.withColumn("_lines", F.size(split)).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda s: s["x"]), "\n")))
-    whole = maybe_in(rows, F.col("_rk"), known, False).withColumn("_lines", F.size(split)).withColumn("_gone", F.array().cast("array<int>"))
-    out = hit.unionByName(whole, allowMissingColumns=True)
-    lines = F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.when(F.coalesce(F.size("_gone"), F.lit(0)) > 0, F.col("_lines")).otherwise(F.lit(0))).otherwise(F.col("_lines"))
-    return out.select(*docs.columns, lines.cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), row_key())
+    split = F.split("row.text", "\n", -1)
+    total = F.when(F.coalesce(F.col("row.text"), F.lit("")) == "", F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines")
+
+    def named(text: Column, removed: Column) -> list[Column]:
+        return [*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], total, removed.cast("long").alias("n_removed")]
+
+    theirs = gone.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "gone")
+    same = (F.col("rk") == F.col("_rk")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    hit = maybe_in(rows, F.col("rk"), known).join(theirs, same, "left")
+    stays = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), F.array_contains("gone", i).alias("gone"))), lambda s: ~s["gone"])
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(stays, lambda s: s["x"]), "\n"))
+    hit = hit.select(*named(text, F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))))
+    return hit.unionByName(maybe_in(rows, F.col("rk"), known, False).select(*named(F.col("row.text"), F.lit(0))))

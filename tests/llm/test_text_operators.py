@@ -419,7 +419,7 @@ def test_token_shards_round_trip(spark, docs, odd, none):
 # -- 10 ---------------------------------------------------------------------------------------------------------------
 
 
-def plain_lines(rows, t=0.8, least=5):
+def plain_lines(rows, t=0.8, least=1):
     lines = []
     for i, text in sorted(rows):
         for k, x in enumerate(text.split("\n")):
@@ -433,22 +433,27 @@ def plain_lines(rows, t=0.8, least=5):
     return {i: (len(text.split("\n")), len(gone[i]), "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[i])) for i, text in rows}
 
 
-def test_lines_match_brute_force(spark):
+@pytest.mark.parametrize(("hot", "least"), [(250_000, 1), (4, 5)])
+def test_lines_match_brute_force(spark, monkeypatch, hot, least):
+    monkeypatch.setattr(linededup, "HOT", hot)
     rng = random.Random(10)
-    pool = [words(rng, rng.randrange(3, 30), 90) for _ in range(40)]
+    pool = [words(rng, rng.randrange(3, 30), 90) for _ in range(40)] + [words(rng, rng.randrange(50, 90), 900) for _ in range(10)]
+    hub = [f"w{k}" for k in range(30)]  # near copies of one line, by up to eight words apart from each other
     rows = []
     for i in range(80):
         own = []
         for _ in range(rng.randrange(1, 6)):
             w = rng.choice(pool).split() if rng.random() < 0.7 else words(rng, rng.randrange(3, 25), 90).split()
+            if rng.random() < 0.3:
+                w = list(hub)
             for _ in range(rng.randrange(0, 4)):
-                w[rng.randrange(len(w))] = f"w{rng.randrange(90)}"
+                w[rng.randrange(len(w))] = f"w{rng.randrange(900)}"
             own.append(" ".join(w) if rng.random() < 0.8 else " ".join(sorted(w)).upper())
         rows.append((i, "\n".join(own)))
     df = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, gone string, n_removed int")
-    out = linededup.dedup_lines(df)
+    out = linededup.dedup_lines(df, min_words=least)
     assert out.columns == ["doc_id", "text", "gone", "n_lines", "n_removed"]
-    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out.collect()} == plain_lines(rows)
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out.collect()} == plain_lines(rows, least=least)
 
 
 def test_query_takes_short_lines(spark, tmp_path):
@@ -459,7 +464,7 @@ def test_query_takes_short_lines(spark, tmp_path):
     rows += [(100, "a b c d\n\u4e2d\u6587\u5b57\nhttps://example.org/x"), (101, "a b c d e\n\n\u4e2d\u6587\u5b57"), (102, "https://example.org/x\na b c\nC B A a")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in QUERIES["op10_line_set_similarity"](spark, str(tmp_path)).collect()}
-    want = {i: (a, b, hashlib.sha256(t.encode()).hexdigest()) for i, (a, b, t) in plain_lines(rows, least=1).items()}
+    want = {i: (a, b, hashlib.sha256(t.encode()).hexdigest()) for i, (a, b, t) in plain_lines(rows).items()}
     lines = {i: (0 if not t else want[i][0], *want[i][1:]) for i, t in rows}
     assert got == lines and got[101][1] == 2 and got[102][1] == 2
 
