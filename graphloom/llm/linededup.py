@@ -6,10 +6,10 @@ Candidates pass these prefix, length and positional filters and a bound on the b
 they are verified on the words themselves. Equal token sets are one class throughout: copies of a line are counted and
 ordered, never paired.
 
-A line goes if any earlier line matches it, so one match is enough, and most of the pairs within a large group of near copies
-needn't be made. First each class is compared, under every token of its prefix, with the first class there and with the two
-before it: that is complete for tokens of up to four classes, and settles nearly all members of large groups. Only classes that
-are still unsettled then join with all earlier ones under the tokens of more than four classes.
+A line goes if any earlier line matches it, so one match is enough, and pairs are never written out: semi-joins under the prefix
+tokens find the classes that have an earlier candidate, then the classes that are candidates of those, and at last, with the
+words of these few classes at hand, the classes that have an earlier match. A member of a large group of near copies is done
+with at the first match; it is looked up under its rarest tokens first, and under all only if that finds none.
 
 Rarity comes from a table of word counts of bounded size (words that share a cell add up), which is exact enough to order by:
 any fixed order gives right results.
@@ -20,15 +20,14 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import byte_at, discard, filter_cells, materialise, maybe_in, row_key
 
-#: Cells of the tables of word counts and of token counts (a byte each in the plan).
+#: Cells of the table of word counts (a byte each in the plan).
 CELLS = 1 << 18
-#: Classes under one token that one task puts in order; more are dealt by a hash.
-HOT = 250_000
+#: Tokens of a prefix under which verified matches are looked for first.
+RAREST = 4
 MASK = (1 << 48) - 1
 #: Distinct words from which a line has a bitmap of 128 bits, rather than 64.
 LONG = 48
@@ -56,18 +55,14 @@ def _cell(h: Column) -> Column:
     return h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
-def _logs(counts: DataFrame) -> bytes:
-    """A table from cell to 1 + log2 of the count n of rows (cell, n); CELLS rows at most reach the driver."""
-    found, table = counts.toPandas(), bytearray(CELLS)
-    for cell, n in zip(found["cell"], found["n"]):
-        table[cell] = min(127, 1 + int(math.log2(n)))
-    return bytes(table)
-
-
 def rarity(docs: DataFrame) -> bytes:
     """Per cell 1 + log2 of the count of all words that hash to it."""
     words = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.explode(split_words(F.col("line"))).alias("w"))
-    return _logs(words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count("*").alias("n")))
+    found = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count("*").alias("n")).toPandas()  # CELLS rows at most
+    table = bytearray(CELLS)
+    for cell, n in zip(found["cell"], found["n"]):
+        table[cell] = min(127, 1 + int(math.log2(n)))
+    return bytes(table)
 
 
 def tokenised(docs: DataFrame, ranks: bytes, num: int, den: int) -> DataFrame:
@@ -88,7 +83,11 @@ def tokenised(docs: DataFrame, ranks: bytes, num: int, den: int) -> DataFrame:
 
 
 def _size(np: Column) -> Column:
-    return F.shiftright(np, 31).bitwiseAND(F.lit((1 << 30) - 1))
+    return F.shiftright(np, 31)
+
+
+def _place(np: Column) -> Column:
+    return np.bitwiseAND(F.lit((1 << 31) - 1))
 
 
 def _difference(x: str, y: str) -> Column:
@@ -99,40 +98,27 @@ def _difference(x: str, y: str) -> Column:
     return F.when((_size(F.col(f"{x}.np")) < LONG) | (_size(F.col(f"{y}.np")) < LONG), folded).otherwise(both)
 
 
-def _fits(num: int, den: int, x: str, y: str) -> Column:
-    """Whether two sets (np: size and place of the shared token, sig, sig2) can be similar.
+def _candidates(num: int, den: int, x: str, y: str) -> Column:
+    """Whether rows of one token (np: size and place of the token, sig, sig2) can be of similar sets.
 
     Sizes are within the threshold; what is left after the places leaves room for the overlap; and the bitmaps differ in no
     more bits than the sets may differ in tokens.
     """
-    place = lambda s: F.col(f"{s}.np").bitwiseAND(F.lit((1 << 31) - 1))
     nx, ny = _size(F.col(f"{x}.np")), _size(F.col(f"{y}.np"))
-    room = F.least(nx - place(x), ny - place(y))
-    sizes = (ny * den >= nx * num) & (nx * den >= ny * num)
-    return sizes & (room * (num + den) >= (nx + ny) * num) & (_difference(x, y) * (num + den) <= (nx + ny) * (den - num))
-
+    room = F.least(nx - _place(F.col(f"{x}.np")), ny - _place(F.col(f"{y}.np")))
+    fits = (ny * den >= nx * num) & (nx * den >= ny * num) & (room * (num + den) >= (nx + ny) * num)
+    same = (F.col(f"{x}.token") == F.col(f"{y}.token")) & (F.col(f"{x}.s1") != F.col(f"{y}.s1"))
+    return same & fits & (_difference(x, y) * (num + den) <= (nx + ny) * (den - num))
 
-def _later(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (x, y) of classes whose word sets are similar: s1 of the class whose first line is the later one.
 
-    The lines of the classes are read from docs again. A pair's y goes to x with its words, so that a class that many are
-    compared with is read once.
-    """
-    place = F.struct(F.col("doc_id").alias("doc_id"), "rk", "line_no")
-    spots = classes.select("s1", place.alias("at"))
-    both = pairs.join(spots.toDF("x", "px"), "x").join(spots.toDF("y", "py"), "y")
-    both = materialise(both.select("x", "y", "px", "py", F.when(F.col("px") > F.col("py"), F.col("x")).otherwise(F.col("y")).alias("later")), "placed-pairs")
-    ends = both.select("px").union(both.select("py")).toDF("at")
-    known = filter_cells(ends.select(F.xxhash64("at.rk", "at.line_no").alias("h")))
+def _word_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """s1, at, words of the wanted classes (s1), from their first lines, which are read from docs again."""
+    spots = materialise(classes.join(wanted.distinct(), "s1", "left_semi").select("s1", "doc_id", "rk", "line_no"), "spots")
+    known = filter_cells(spots.select(F.xxhash64("rk", "line_no").alias("h")))
     lines = maybe_in(line_rows(docs).select("rk", "line_no", "line"), F.xxhash64("rk", "line_no"), known)
-    lines = lines.repartition("rk", "line_no")
-    y = both.select(F.col("py.rk").alias("rk"), F.col("py.line_no").alias("line_no"), "x", "y", "later").join(lines, ["rk", "line_no"])
-    x = both.select(F.col("px.rk").alias("rk"), F.col("px.line_no").alias("line_no"), "x").distinct().join(lines, ["rk", "line_no"])
-    met = y.select("x", "later", F.col("line").alias("ly")).join(x.select("x", F.col("line").alias("lx")), "x")
-    met = met.select("later", word_set(F.col("lx")).alias("wx"), word_set(F.col("ly")).alias("wy"))
-    similar = met.where(F.size(F.array_intersect("wx", "wy")).cast("long") * (num + den) >= (F.size("wx") + F.size("wy")).cast("long") * num)
-    out = materialise(similar.select(F.col("later").alias("s1")).distinct(), "later")
-    discard(both, known)
+    found = lines.join(spots, ["rk", "line_no"]).select("s1", F.struct("doc_id", "rk", "line_no").alias("at"), word_set(F.col("line")).alias("words"))
+    out = materialise(found.dropDuplicates(["s1"]), "word-sets")  # repeated rows have the same lines
+    discard(spots, known)
     return out
 
 
@@ -147,52 +133,33 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
     place = F.struct("doc_id", "rk", "line_no")
     classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", "sig", "sig2")).alias("m"))
     classes = materialise(classes.select("s1", "n", "m.at.*", "m.prefix", "m.sig", "m.sig2"), "classes")
+    # Smaller sets match equal ones alone: n / (n + 1) is under the threshold.
+    tokens = classes.where(n * (den - num) >= num).select("s1", "n", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "sig", "sig2", F.posexplode("prefix").alias("pos", "token"))
+    tokens = tokens.select("token", "doc", "s1", (n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig", "sig2")
 
-    def tokens(some: DataFrame) -> DataFrame:
-        """token, doc, t: s1, np and bitmaps, for each token of a prefix. Smaller sets match equal ones alone: n / (n + 1) is
-        under the threshold."""
-        some = some.where(n * (den - num) >= num)
-        rows = some.select("s1", "n", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "sig", "sig2", F.posexplode("prefix").alias("pos", "token"))
-        return rows.select("token", "doc", "s1", (n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig", "sig2")
-
-    prefix = classes.where(n * (den - num) >= num).select(F.explode("prefix").alias("token"))
-    often = _logs(prefix.groupBy(_cell(F.col("token")).alias("cell")).agg(F.count("*").alias("n")))
-    level = max(1, int(math.log2(HOT)) + 1)
-    parts = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), byte_at(often, _cell(F.col("token"))) - level)).cast("long")
-    rows = tokens(classes).withColumn("part", F.pmod("s1", parts) if any(x > level for x in often) else F.lit(0).cast("long"))
-    rows = rows.select("token", "part", "doc", F.struct("s1", "np", "sig", "sig2").alias("y"))
-    at = W.partitionBy("token", "part").orderBy("doc", "y.s1")
-    met = rows.select("token", "y", F.row_number().over(at).alias("nth"), F.first("y").over(at).alias("first"), F.lag("y", 1).over(at).alias("before"), F.lag("y", 2).over(at).alias("before2"))
-    none = F.lit(None).cast(met.schema["y"].dataType)
-    fifth = F.when(F.col("nth") == 5, F.struct(F.lit(None).cast("long").alias("s1"), *[F.lit(0).cast("long").alias(c) for c in ("np", "sig", "sig2")]))
-    others = F.array(F.when(F.col("nth") > 1, F.col("first")).otherwise(none), F.when(F.col("nth") > 2, F.col("before")).otherwise(none), F.when(F.col("nth") > 3, F.col("before2")).otherwise(none), fifth)
-    met = met.where("nth > 1").select("token", "y", F.explode(others).alias("x")).where(F.col("x").isNotNull() & (F.col("x.s1").isNull() | ((F.col("x.s1") != F.col("y.s1")) & _fits(num, den, "x", "y"))))
-    more = F.col("x.s1").isNull()
-    met = met.select(F.when(~more, F.col("y.s1")).alias("y"), F.col("x.s1").alias("x"), F.when(~more, _difference("x", "y")).alias("bits"), F.when(more, F.col("token")).alias("token"))
-    met = materialise(met.distinct(), "neighbours")
-
-    pairs, long = met.where("x is not null").select("x", "y", "bits"), met.where("x is null").select("token")
-    nearest = F.col("bits").cast("long") * (1 << 54) + F.col("x").bitwiseAND(F.lit((1 << 54) - 1))
-    best = materialise(pairs.groupBy("y").agg(F.min_by("x", nearest).alias("x")), "nearest")
-    settled = _later(docs, classes, best, num, den)
-
-    marked = classes.join(settled.withColumn("gone", F.lit(True)), "s1", "left")
-    shared = filter_cells(long.select(F.xxhash64("token").alias("h")))
-    marked = materialise(marked.select(*classes.columns, F.col("gone").isNull().alias("open")), "marked")
-    left = maybe_in(tokens(marked.where("open")), F.xxhash64("token"), shared)
-    right = maybe_in(tokens(marked), F.xxhash64("token"), shared)
     # Of two classes in one document either may be the later one.
-    rest = left.alias("y").join(right.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") <= F.col("y.doc")) & (F.col("x.s1") != F.col("y.s1")) & _fits(num, den, "x", "y"))
-    rest = rest.select("x.s1", "y.s1").toDF("x", "y")
-    others = pairs.select("x", "y").join(marked.where("open").select(F.col("s1").alias("y")), "y", "left_semi").select("x", "y")
-    rest = rest.unionByName(others).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    tried = best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = materialise(rest.join(tried, ["x", "y"], "left_anti"), "pairs")
-    later = settled.unionByName(_later(docs, classes, rest, num, den)).distinct()
+    order = F.col("x.doc") <= F.col("y.doc")
+    later = tokens.alias("y").join(tokens.alias("x"), _candidates(num, den, "x", "y") & order, "left_semi")
+    later = materialise(later, "later")
+    shared = filter_cells(later.select(F.xxhash64("token").alias("h")))
+    earlier = maybe_in(tokens, F.xxhash64("token"), shared).alias("x").join(later.alias("y"), _candidates(num, den, "x", "y") & order, "left_semi")
+    earlier = materialise(earlier, "earlier")
+    sets = _word_sets(docs, classes, later.select("s1").union(earlier.select("s1")))
+
+    def matched(some: DataFrame) -> DataFrame:
+        """s1 of the classes of some (rows of later) that have an earlier match."""
+        y = some.join(sets, "s1").alias("y")
+        x = earlier.join(some.select("token").distinct(), "token", "left_semi").join(sets, "s1").alias("x")
+        similar = F.size(F.array_intersect("x.words", "y.words")).cast("long") * (num + den) >= (F.size("x.words") + F.size("y.words")).cast("long") * num
+        before = F.col("x.at") < F.col("y.at")
+        return materialise(y.join(x, _candidates(num, den, "x", "y") & before & similar, "left_semi").select("s1").distinct(), "matched")
+
+    found = matched(later.where(_place(F.col("np")) < RAREST))
+    rest = matched(later.join(found, "s1", "left_anti"))
     # A class's first line stays unless an earlier class matches it; its other lines go.
-    stays = classes.select("s1", place.alias("at")).join(later, "s1", "left_anti")
+    stays = classes.select("s1", place.alias("at")).join(found.unionByName(rest), "s1", "left_anti")
     gone = materialise(lines.select(place.alias("at"), "s1").join(stays, ["s1", "at"], "left_anti").select("at.*"), "repeated")
-    discard(classes, met, best, settled, marked, rest, shared)
+    discard(classes, later, shared, earlier, sets, found, rest)
     return gone
 
 
