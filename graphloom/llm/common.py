@@ -47,11 +47,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes what `materialise` has written for these, once nothing that is still to run reads them."""
+    """Deletes what `materialise` has written for these, once nothing that is still to run reads them. The driver's garbage is
+    collected too, as Spark keeps shuffle files of finished jobs until then."""
+    spark = SparkSession.active()
     for t in tables:
-        spark = t.sparkSession
         there = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
         there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,6 +145,10 @@ def tokens(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = WORDS) -
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+#: Bytes with A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """links (a long, b long, no nulls) -> (id, component): the smallest id that each linked id reaches.
 
     Alternates large-star and small-star steps until the links don't change; every step is a minimum per node (with map-side
     combining) and a join that Spark can split where a node has very many links. Each round is written to the shared folder.
+    The number of links never grows and labels only fall, so the rounds end, after a few more than the logarithm of the longest path.
     Links from an id to itself and repeated links don't matter; ids with no other link don't appear.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct(), "links")
     before = None
-    for _ in range(max_rounds):
+    while True:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).head()
         if state == before:
             break

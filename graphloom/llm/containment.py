@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_classes, materialise, prefix_hashes, range_hashes, shingle_hashes, text_chunks, tokens
+from .common import LOWER, byte_classes, filter_cells, materialise, maybe_in, prefix_hashes, range_hashes, row_key, shingle_hashes, text_chunks, tokens
 
 WORDS_IN_SHINGLE = 5
 FUNCTIONS = 64
@@ -31,18 +32,16 @@ _B = _rng.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32)
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("containment", T.DoubleType())]))
 #: 0 blanks and ASCII punctuation, 1 letters, digits and bytes of longer UTF-8 sequences.
 KINDS = byte_classes(other=bytes(c for c in range(128) if not chr(c).isalnum()))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(starts, ends, documents, hashes) of words: runs of letters and digits, lower-cased in A-Z."""
     starts, ends, doc = tokens(data, offsets, KINDS)
-    return starts, ends, doc, range_hashes(prefix_hashes(_LOWER[data]), starts, ends)
+    return starts, ends, doc, range_hashes(prefix_hashes(LOWER[data]), starts, ends)
 
 
 def exact_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> set[bytes]:
-    own = [_LOWER[data[a:b]].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+    own = [LOWER[data[a:b]].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
     return {b" ".join(own[i : i + k]) for i in range(len(own) - k + 1)}
 
 
@@ -153,33 +152,41 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
     Shingles are 5 words, or all words of a shorter item, which then matches where these words stand in a row. Items without
     words match nothing; null and empty texts hold nothing. A repeated item (same id or not) matches as often as it is
-    there. Items are taken in blocks of about `block_items`; the documents are read once for each block, so what is sent to
-    the executors is bounded however many items there are.
+    there. Items are taken in blocks of about `block_items`. Each block is a job of its own, which reads the documents and
+    writes what it finds; its broadcast is freed before the next, so driver and executors hold one block at a time, however
+    many items there are. Rows equal in doc_id and text are one document and get one result.
     """
     items = materialise(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "items")
     blocks = max(1, -(-items.count() // block_items))
     docs = docs.drop(out)
-    position = docs.columns.index("text")
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), row_key(), "text")
+    parts = []
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toPandas()
-        index = ContainmentIndex(Items.of([None if x != x else int(x) for x in own["item_id"].astype(object)], own["text"].tolist()), threshold)
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
+        index = ContainmentIndex(Items.of(own["item_id"].to_pylist(), own["text"].to_pylist()), threshold)
         index.short = {k: dict(v) for k, v in index.short.items()}
         sent = docs.sparkSession.sparkContext.broadcast(index)
-        name = out if block == 0 else f"{out}_{block}"
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows: list[list[dict]] = [[] for _ in range(b.num_rows)]
-                for first, _, data, offsets in text_chunks(b.column(position)):
+                hits: dict[int, list[dict]] = {}
+                for first, _, data, offsets in text_chunks(b.column(2)):
                     for d, found in sent.value.matches(data, offsets).items():
-                        rows[first + d] = [{"item_id": i, "containment": c} for i, c in found]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], names=[*b.schema.names, name])
-
-        docs = docs.mapInArrow(search, T.StructType([*docs.schema.fields, T.StructField(name, LEAKS)]))
-        if block:
-            docs = docs.withColumn(out, F.array_sort(F.concat(out, name))).drop(name)
-    return docs
+                        hits[first + d] = [{"item_id": i, "containment": c} for i, c in found]
+                at = pa.array(list(hits), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(list(hits.values()), kind)], names=["id", "rk", "found"])
+
+        some = texts.mapInArrow(search, T.StructType([*texts.schema.fields[:2], T.StructField("found", LEAKS)]))
+        parts.append(materialise(some.dropDuplicates(["id", "rk"]), "leaks"))
+        sent.destroy()
+    lists = reduce(DataFrame.unionByName, parts).groupBy("id", "rk").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    known = filter_cells(lists.select(F.col("rk").alias("h")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), row_key())
+    hit = maybe_in(rows, F.col("rk"), known).alias("r").join(lists.alias("l"), F.col("r.id").eqNullSafe(F.col("l.id")) & (F.col("r.rk") == F.col("l.rk")), "left")
+    none = F.array().cast(LEAKS)
+    hit = hit.select("row.*", F.coalesce("found", none).alias(out))
+    return hit.unionByName(maybe_in(rows, F.col("rk"), known, False).select("row.*", none.alias(out)))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:

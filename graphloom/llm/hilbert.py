@@ -97,7 +97,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 4, d
 
     Rows with a null vec_id or embedding, a null or non-finite component, only zeros, or another length than most rows take no
     part. Equal vectors are searched for once, by their k + 1 smallest ids, of which any query can use k at most; repeated
-    rows count once. window: the share of an ordering that a query is compared with. Curves are fitted on `sample` rows.
+    rows count once. window: the share of an ordering that a query is compared
+    with, in whole blocks and one block more; it is widened where it would hold fewer than k + 1 vectors. Curves are fitted on `sample` rows.
     """
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     good = good.where("vec_id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x != 0)")
@@ -125,13 +126,24 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 4, d
     blocks = max(8, -(-count // block_rows))
     placed = classes.select("same", "asks", "v").mapInArrow(place, "curve int, place long, same string, asks boolean, v array<double>")
     placed = materialise(placed.repartitionByRange(curves * blocks, "curve", "place", "same").withColumn("block", F.spark_partition_id()), "curves")
-    ends: dict[int, list[int]] = {}
-    for r in placed.groupBy("curve", "block").agg(F.count(F.when(F.col("asks"), 1)).alias("n")).collect():  # a row for each block
-        ends.setdefault(r.curve, []).append(r.block)
+    ends: dict[int, dict[int, int]] = {}
+    for r in placed.groupBy("curve", "block").agg(F.count("*").alias("n")).collect():  # a row for each block
+        ends.setdefault(r.curve, {})[r.block] = r.n
+
+    def enough(width: int) -> bool:
+        """Whether so many blocks in a row hold k + 1 vectors, wherever they lie."""
+        for own in ends.values():
+            sizes = [own.get(b, 0) for b in range(min(own), max(own) + 1)]
+            if width < len(sizes) and min(sum(sizes[i : i + width]) for i in range(len(sizes) - width + 1)) <= k:
+                return False
+        return True
+
+    longest_curve = max(max(own) - min(own) + 1 for own in ends.values())
+    least = next(w for w in range(1, longest_curve + 1) if enough(w))
     first = F.create_map(*[F.lit(x) for c in sorted(ends) for x in (c, min(ends[c]))])
     size = F.create_map(*[F.lit(x) for c in sorted(ends) for x in (c, max(ends[c]) - min(ends[c]) + 1)])
     queries = placed.where("asks").select("curve", "block", F.col("same").alias("query"), F.col("v").alias("q"))
-    width = F.least(F.col("size"), F.ceil(F.col("size") * window).cast("int") + 1)
+    width = F.least(F.col("size"), F.greatest(F.lit(least), F.ceil(F.col("size") * window).cast("int") + 1))
     queries = queries.withColumn("first", first[F.col("curve")]).withColumn("size", size[F.col("curve")]).withColumn("width", width)
     left = F.greatest(F.col("first"), F.least(F.col("block") - F.floor(F.col("width") / 2).cast("int"), F.col("first") + F.col("size") - F.col("width")))
     parts = max(1, int(-(-classes.where("asks").count() * (window + 2 / blocks) // block_queries)))

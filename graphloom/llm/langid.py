@@ -42,13 +42,13 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tu
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """probability: buckets x languages."""
+    """probability: buckets x languages. penalty: of each further language, times the log of the number of n-grams. EM ends
+    when no proportion of a document moves by more than `tolerance` in a round."""
 
     languages: tuple[str, ...]
     probability: np.ndarray
     penalty: float = 8.0
-    rounds: int = 12
-    most: int = 3
+    tolerance: float = 1e-3
 
     def proportions(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Documents x languages: proportions of the chosen languages, 0 for others; all 0 without n-grams."""
@@ -69,34 +69,57 @@ class LanguageModel:
         return out
 
     def _em(self, p: np.ndarray, count: np.ndarray, doc: np.ndarray, cut: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = np.add.reduceat(count, cut)[:, None]
-        for k in range(self.rounds + 1):
-            joint = p * share[doc]
-            like = joint.sum(1)
-            if k == self.rounds or share.shape[1] == 1:
-                return share, np.add.reduceat(count * np.log(like), cut)
-            joint *= (count / like)[:, None]
-            share = np.add.reduceat(joint, cut, axis=0) / total
-        raise AssertionError
+        """Proportions and log likelihoods of all documents, from the proportions to start with. Documents that have settled
+        drop out of further rounds."""
+        n = len(cut)
+        share, like = share.copy(), np.empty(n)
+        if share.shape[1] == 1:
+            return share, np.add.reduceat(count * np.log(p[:, 0]), cut)
+        moving = np.arange(n)
+        while len(moving):
+            before = share[moving]
+            joint = p * before[doc]
+            total = joint.sum(1)
+            like[moving] = np.add.reduceat(count * np.log(total), cut)
+            joint *= (count / total)[:, None]
+            after = np.add.reduceat(joint, cut, axis=0)
+            after /= after.sum(1, keepdims=True)
+            share[moving] = after
+            on = np.abs(after - before).max(1) > self.tolerance
+            if not on.all():
+                rows = on[doc]
+                p, count, moving = p[rows], count[rows], moving[on]
+                doc = (np.cumsum(on) - 1)[doc[rows]]
+                cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
+        return share, like
 
     def _mixtures(self, p: np.ndarray, count: np.ndarray, doc: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """The best of 1 to `most` languages, taken in the order of the proportions that all languages together get."""
+        """The best number of languages, taken in the order of the proportions that all languages together get. Documents for
+        which a further language doesn't pay are done."""
         n, many = len(cut), len(self.languages)
         share, _ = self._em(p, count, doc, cut, np.full((n, many), 1 / many))
         order = np.argsort(-share, axis=1, kind="stable")
         total = np.add.reduceat(count, cut)
         best, out = np.full(n, np.inf), np.zeros((n, many))
-        for k in range(1, min(self.most, many) + 1):
-            few = order[:, :k]
+        open_ = np.arange(n)
+        for k in range(1, many + 1):
+            few = order[open_, :k]
             own = np.take_along_axis(p, few[doc], axis=1)
-            start = np.take_along_axis(share, few, axis=1) + 1e-3
+            start = np.take_along_axis(share[open_], few, axis=1) + 1e-3
             part, like = self._em(own, count, doc, cut, start / start.sum(1, keepdims=True))
-            cost = -2 * like + self.penalty * k * np.log(total + 1)
-            better = cost < best
-            best[better] = cost[better]
-            chosen = np.zeros((n, many))
-            np.put_along_axis(chosen, few, part, axis=1)
-            out[better] = chosen[better]
+            cost = -2 * like + self.penalty * k * np.log(total[open_] + 1)
+            better = cost < best[open_]
+            here = open_[better]
+            best[here] = cost[better]
+            out[here] = 0
+            out[here[:, None], few[better]] = part[better]
+            if not better.any():
+                break
+            if not better.all():
+                rows = better[doc]
+                p, count, open_ = p[rows], count[rows], here
+                doc = (np.cumsum(better) - 1)[doc[rows]]
+                cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         return out
 
 

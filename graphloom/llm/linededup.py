@@ -2,7 +2,7 @@
 
 A line's tokens are its distinct words, ordered by rarity. Two lines whose Jaccard similarity is t or more share a token among
 the first n - ceil(t n) + 1 of each, at places that leave room for the overlap needed, and their sizes are within a factor t.
-Candidates pass these prefix, length and positional filters and a bound on the bits by which bitmaps of the tokens differ;
+Candidates pass these prefix, length and positional filters and a bound on the bits by which 64 parities of the tokens differ;
 they are verified on the words themselves. Equal token sets are one class throughout: copies of a line are counted and
 ordered, never paired.
 
@@ -29,8 +29,6 @@ CELLS = 1 << 18
 #: Tokens of a prefix under which verified matches are looked for first.
 RAREST = 4
 MASK = (1 << 48) - 1
-#: Distinct words from which a line has a bitmap of 128 bits, rather than 64.
-LONG = 48
 
 
 def split_words(line: Column) -> Column:
@@ -66,7 +64,10 @@ def rarity(docs: DataFrame) -> bytes:
 
 
 def tokenised(docs: DataFrame, ranks: bytes, num: int, den: int) -> DataFrame:
-    """doc_id, rk, line_no, n (distinct words), s1 and s2 (hashes of the token set), prefix, sig and sig2 (bitmaps)."""
+    """doc_id, rk, line_no, n (distinct words), s1 and s2 (hashes of the token set), prefix, sig.
+
+    sig: 64 bits, each the parity of the number of tokens that hash to it. Sets that differ in d tokens differ in d bits at most,
+    and large sets don't fill it up."""
 
     def key(h: Column) -> Column:
         return F.shiftleft(byte_at(ranks, _cell(h)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit(MASK)))
@@ -75,11 +76,8 @@ def tokenised(docs: DataFrame, ranks: bytes, num: int, den: int) -> DataFrame:
     rows = line_rows(docs).select("doc_id", "rk", "line_no", F.sort_array(F.transform(hashes, key)).alias("keys")).withColumn("n", F.size("keys"))
     least = F.floor((F.col("n").cast("long") * num + den - 1) / den).cast("int")  # overlap with the shortest partner: ceil(t n)
     prefix = F.transform(F.slice("keys", 1, F.col("n") - least + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    bits = "aggregate({}, 0L, (a, k) -> a | shiftleft(1L, cast(k & 63 as int)))"
-    half = "aggregate(keys, 0L, (a, k) -> if((k & 64) = {}, a | shiftleft(1L, cast(k & 63 as int)), a))"
-    sig = F.when(F.col("n") < LONG, F.expr(bits.format("keys"))).otherwise(F.expr(half.format(0)))
-    sig2 = F.when(F.col("n") < LONG, F.lit(0).cast("long")).otherwise(F.expr(half.format(64)))
-    return rows.select("doc_id", "rk", "line_no", "n", F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), prefix.alias("prefix"), sig.alias("sig"), sig2.alias("sig2"))
+    sig = F.expr("aggregate(keys, 0L, (a, k) -> a ^ shiftleft(1L, cast(k & 63 as int)))")
+    return rows.select("doc_id", "rk", "line_no", "n", F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), prefix.alias("prefix"), sig.alias("sig"))
 
 
 def _size(np: Column) -> Column:
@@ -90,25 +88,18 @@ def _place(np: Column) -> Column:
     return np.bitwiseAND(F.lit((1 << 31) - 1))
 
 
-def _difference(x: str, y: str) -> Column:
-    """A bound from below on the number of tokens by which two sets differ, from their bitmaps."""
-    a, b = ([F.col(f"{s}.{c}") for c in ("sig", "sig2")] for s in (x, y))
-    both = F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
-    folded = F.bit_count(a[0].bitwiseOR(a[1]).bitwiseXOR(b[0].bitwiseOR(b[1])))
-    return F.when((_size(F.col(f"{x}.np")) < LONG) | (_size(F.col(f"{y}.np")) < LONG), folded).otherwise(both)
-
-
 def _candidates(num: int, den: int, x: str, y: str) -> Column:
-    """Whether rows of one token (np: size and place of the token, sig, sig2) can be of similar sets.
+    """Whether rows of one token (np: size and place of the token, sig) can be of similar sets.
 
-    Sizes are within the threshold; what is left after the places leaves room for the overlap; and the bitmaps differ in no
+    Sizes are within the threshold; what is left after the places leaves room for the overlap; and the parities differ in no
     more bits than the sets may differ in tokens.
     """
     nx, ny = _size(F.col(f"{x}.np")), _size(F.col(f"{y}.np"))
     room = F.least(nx - _place(F.col(f"{x}.np")), ny - _place(F.col(f"{y}.np")))
     fits = (ny * den >= nx * num) & (nx * den >= ny * num) & (room * (num + den) >= (nx + ny) * num)
     same = (F.col(f"{x}.token") == F.col(f"{y}.token")) & (F.col(f"{x}.s1") != F.col(f"{y}.s1"))
-    return same & fits & (_difference(x, y) * (num + den) <= (nx + ny) * (den - num))
+    bits = F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig")))
+    return same & fits & (bits * (num + den) <= (nx + ny) * (den - num))
 
 
 def _word_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -131,16 +122,18 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
     lines = materialise(tokenised(docs, rarity(docs), num, den), "lines")
     lines, n = lines.where(F.col("n") >= min_words), F.col("n")
     place = F.struct("doc_id", "rk", "line_no")
-    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", "sig", "sig2")).alias("m"))
-    classes = materialise(classes.select("s1", "n", "m.at.*", "m.prefix", "m.sig", "m.sig2"), "classes")
+    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", "sig")).alias("m"))
+    classes = materialise(classes.select("s1", "n", "m.at.*", "m.prefix", "m.sig"), "classes")
+    discard()
     # Smaller sets match equal ones alone: n / (n + 1) is under the threshold.
-    tokens = classes.where(n * (den - num) >= num).select("s1", "n", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "sig", "sig2", F.posexplode("prefix").alias("pos", "token"))
-    tokens = tokens.select("token", "doc", "s1", (n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig", "sig2")
+    tokens = classes.where(n * (den - num) >= num).select("s1", "n", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "sig", F.posexplode("prefix").alias("pos", "token"))
+    tokens = tokens.select("token", "doc", "s1", (n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig")
 
     # Of two classes in one document either may be the later one.
     order = F.col("x.doc") <= F.col("y.doc")
     later = tokens.alias("y").join(tokens.alias("x"), _candidates(num, den, "x", "y") & order, "left_semi")
     later = materialise(later, "later")
+    discard()
     shared = filter_cells(later.select(F.xxhash64("token").alias("h")))
     earlier = maybe_in(tokens, F.xxhash64("token"), shared).alias("x").join(later.alias("y"), _candidates(num, den, "x", "y") & order, "left_semi")
     earlier = materialise(earlier, "earlier")

@@ -1,6 +1,6 @@
 """Best-fit packing of documents into bins of several permitted lengths (numbered operator 6).
 
-Documents are cut into pieces of at most the longest permitted length; pieces are dealt by a hash over blocks of a bounded
+The token ids of documents are cut into pieces of at most the longest permitted length; pieces are dealt by a hash over blocks of a bounded
 number of rows, and each block is packed by itself, so no task holds more than a block. A block wastes at most its last few
 bins, a share that doesn't grow with the input.
 """
@@ -8,16 +8,20 @@ bins, a share that doesn't grow with the input.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, prefix_hashes, range_hashes, text_chunks, tokens
 
 CAPACITIES = (512, 1024, 2048, 4096)
-SCHEMA = "doc_id long, piece int, start long, length int, bin_id long, bin_offset int, capacity int"
+#: Ids that `hashed_words` gives to words.
+VOCABULARY = 1 << 16
+SCHEMA = "doc_id long, piece int, start long, length int, bin_id long, bin_offset int, capacity int, ids array<int>"
 
 
 def bin_cost(capacity: int, overhead: float, attention: float) -> float:
@@ -61,40 +65,74 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, overhea
     return (best[1], best[2]) if best else ([], [])
 
 
-def word_tokens(text: Column) -> Column:
-    """Tokens of a text for packing: its words, and one that ends it."""
-    return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
+def hashed_words() -> Callable[[pa.RecordBatch, int], pa.Array]:
+    """A tokenizer for packing without a vocabulary: each word's id is 2 plus its hash in VOCABULARY buckets; id 1 ends a text."""
 
+    def encode(b: pa.RecordBatch, column: int) -> pa.Array:
+        ids, sizes = [], []
+        for first, end, data, offsets in text_chunks(b.column(column)):
+            starts, ends, doc = tokens(data, offsets)
+            h = (range_hashes(prefix_hashes(data), starts, ends) % np.uint64(VOCABULARY)).astype(np.int32) + 2
+            count = np.bincount(doc, minlength=end - first) + 1
+            out = np.ones(count.sum(), np.int32)
+            out[np.arange(len(h)) + doc] = h
+            ids.append(out)
+            sizes.append(count)
+        offsets = np.r_[0, np.cumsum(np.concatenate(sizes) if sizes else [])].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
 
-def best_fit_packing(docs: DataFrame, length: Column | None = None, capacities: Sequence[int] = CAPACITIES, block_rows: int = 4096, overhead: float = 64.0, attention: float = 1e-5) -> DataFrame:
-    """Packs every document of docs (doc_id, text, ...) into bins; see `pack` for the rule.
+    return encode
 
-    Returns a row for each piece: doc_id, piece (from 0), start (first token of the piece in its document), length, bin_id,
-    bin_offset (its first token in the bin), capacity of the bin.
 
-    length: a column of token counts, `word_tokens` of text by default. A document of null or empty text has the one token
-    that ends it. A count that is null or below 1 counts as 1. A document longer than the largest capacity is cut there;
-    all its tokens are packed. Repeated rows and repeated or null doc_ids are packed as often as they occur. Ties in length
-    go by doc_id (null first), then piece. An empty table gives an empty result. Other columns don't matter.
+def best_fit_packing(
+    docs: DataFrame, encode: Callable[[pa.RecordBatch, int], pa.Array] | None = None, capacities: Sequence[int] = CAPACITIES,
+    block_rows: int = 4096, overhead: float = 64.0, attention: float = 1e-5,
+) -> DataFrame:
+    """Packs the token ids of every document of docs (doc_id, text, ...) into bins; see `pack` for the rule.
+
+    Returns a row for each piece: doc_id, piece (from 0), start (first token of the piece in its document), length, bin_id,
+    bin_offset (its first token in the bin), capacity of the bin, and ids, the piece's token ids: a bin's sequence is its
+    pieces' ids by bin_offset, padded to the capacity.
+
+    encode: from an Arrow batch and the place of its text column to a list of token ids for each row, `hashed_words` by
+    default; an empty list counts as the one id 1. A document of null or empty text has the one token that ends it. A document
+    longer than the largest capacity is cut there; all its tokens are packed. Repeated rows and repeated or null doc_ids are
+    packed as often as they occur. Ties in length go by doc_id (null first), then piece. An empty table gives an empty result.
+    Other columns don't matter.
     """
-    most = max(capacities)
-    n = F.greatest(F.coalesce(word_tokens(F.col("text")) if length is None else length.cast("long"), F.lit(1)), F.lit(1))
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"), F.monotonically_increasing_id().alias("row")), "lengths")
-    pieces = rows.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / most).cast("int"))).alias("piece"))
-    pieces = pieces.withColumn("start", F.col("piece").cast("long") * most).withColumn("length", F.least(F.lit(most), F.col("n") - F.col("start")).cast("int"))
-    count = rows.agg(F.sum(((F.col("n") + (most - 1)) / most).cast("long"))).head()[0] or 0
-    blocks = max(1, -(-count // block_rows))
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("row", "piece"), F.lit(blocks)))
-    caps = tuple(capacities)
-
-    def pack_block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], na_position="first", ignore_index=True)
-        bins, size = pack(rows["length"].tolist(), caps, overhead, attention)
-        out = rows[["doc_id", "piece", "start", "length"]].copy()
-        out["bin_id"] = pd.Series(bins, dtype="int64") + (int(rows["block"].iloc[0]) << 32)
-        out["bin_offset"] = (rows.groupby(pd.Series(bins))["length"].cumsum() - rows["length"]).astype("int32")
-        out["capacity"] = pd.Series([size[b] for b in bins], dtype="int32")
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
-
-    return pieces.select("doc_id", "piece", "start", "length", "row", "block").groupBy("block").applyInPandas(pack_block, SCHEMA)
+    most, caps, encode = max(capacities), tuple(capacities), encode or hashed_words()
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = encode(b, 1)
+            values, edges = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+            size = np.diff(edges)
+            pieces = np.maximum(1, -(-size // most))
+            at = np.repeat(np.arange(len(size)), pieces)
+            piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            length = np.clip(size[at] - piece * most, 0, most)
+            if (length == 0).any():  # an empty list
+                values = np.insert(values, (edges[at] + piece * most)[length == 0], 1)
+                length = np.maximum(length, 1)
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(values.astype(np.int32)))
+            columns = [b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(piece * most), pa.array(length.astype(np.int32)), ids]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "piece", "start", "length", "ids"])
+
+    pieces = materialise(numbered.mapInArrow(cut, "doc_id long, row long, piece int, start long, length int, ids array<int>"), "pieces")
+    blocks = max(1, -(-pieces.count() // block_rows))
+
+    def pack_block(rows: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start")).combine_chunks()
+        bins, size = pack(rows["length"].to_pylist(), caps, overhead, attention)
+        used, offset = [0] * len(size), []
+        for b, n in zip(bins, rows["length"].to_pylist()):
+            offset.append(used[b])
+            used[b] += n
+        first = rows["block"][0].as_py() << 32
+        placed = [pa.array([first + b for b in bins], pa.int64()), pa.array(offset, pa.int32()), pa.array([size[b] for b in bins], pa.int32())]
+        return pa.table([*(rows[c] for c in ("doc_id", "piece", "start", "length")), *placed, rows["ids"]], names=["doc_id", "piece", "start", "length", "bin_id", "bin_offset", "capacity", "ids"])
+
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("row", "piece"), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(pack_block, SCHEMA)

@@ -4,8 +4,9 @@ Two generative models over hashed n-grams, one of labelled good text and one of
 weight: the log of the ratio of its likelihoods. Gumbel noise on the log weights and a cut at the k-th largest make a sample
 without replacement in proportion to the weights.
 
-A plain sum of log ratios is ruled by length: long good texts spread over hundreds of log units. So the weight is that of a
-text of `SCALE` n-grams with the document's mean, drawn towards 0 by `PRIOR` n-grams of ratio one.
+A plain sum of log ratios is ruled by length: long good texts spread over hundreds of log units, where noise decides nothing. So
+the sum is tempered: the weight is that of a stretch of `SCALE` n-grams, about a sentence, with the document's mean, drawn towards
+0 by `PRIOR` n-grams of ratio one. Good and bad texts then lie a few units of noise apart, and those between are sampled.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, byte_classes, materialise, prefix_hashes, range_hashes, shingle_hashes, text_chunks, tokens
 
 BITS = 16
-SCALE, PRIOR = 1000.0, 100.0
+SCALE, PRIOR = 30.0, 25.0
 #: 0 white space, 1 ASCII punctuation, 2 letters, digits and all bytes of longer UTF-8 sequences.
 KINDS = byte_classes(space=SPACE, punctuation=bytes(c for c in range(33, 127) if not chr(c).isalnum()))
 

@@ -44,7 +44,8 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+    packed = packing.best_fit_packing(table(spark, sf_dir, "documents"))
+    return packed.withColumn("ids_crc32", F.crc32(F.array_join("ids", ",").cast("binary"))).drop("ids")
 
 
 def op7_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

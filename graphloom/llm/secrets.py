@@ -2,9 +2,13 @@
 
 Patterns give the base spans. Beside them, every long run of key characters is a candidate: its encoding is inferred from the
 characters that it has, and three tests ask whether it could be uniform random in that alphabet (chi-squared uniformity, runs
-about the median, serial correlation). A likelihood ratio against ordinary words, in which characters keep their class
-(lower case, capitals, digits, signs), bounds the chance that a word looks so random. Candidates that the battery doesn't
-reject and whose bound passes the Benjamini-Hochberg procedure among candidates of like length are added as spans.
+about the median, serial correlation). Fisher's method combines their p-values into one.
+
+Random strings have p-values spread evenly over 0 to 1, all else has them near 0. So within each band of lengths the count of
+p-values over a half tells how many random strings there are, and with it which share of those over any threshold is not random:
+the least threshold at which that share, the false-discovery rate, is small enough is taken. Short words can pass for random
+by these tests alone; candidates take part only if a likelihood ratio against ordinary words, in which characters keep their class
+(lower case, capitals, digits, signs), bounds the chance that a word looks so random.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 #: Length bands of candidates, by their least length.
 BANDS = (20, 32, 64, 128)
-#: -log10 of a bound is kept in steps of a twentieth, up to this many.
-CELLS = 2000
+#: Cells of combined p-values.
+CELLS = 200
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int) -> list[Column]:
@@ -53,7 +57,8 @@ def _spans(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def battery(candidates: DataFrame, token: str = "kept") -> DataFrame:
-    """Adds to each candidate: encoding, n, the three tests' z values, and word_bound (-log10 of the chance of a word)."""
+    """Adds to each candidate: encoding, n, the three tests' z values, p_random (their p-values combined), and word_bound (-log10
+    of the chance of a word)."""
     c, out = F.col, candidates.withColumn("_body", F.regexp_replace(token, "=+$", ""))
     out = out.withColumn("encoding", F.when(c("_body").rlike("^[0-9]+$"), "decimal").when(c("_body").rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(c("_body").rlike("^([a-z]+|[A-Z]+)$"), "letters").when(c("_body").rlike("^[A-Z2-7]+$"), "base32").when(c("_body").rlike("^([a-z0-9]+|[A-Z0-9]+)$"), "base36").otherwise("base64"))
     sizes = {"decimal": 10, "hex": 16, "letters": 26, "base32": 32, "base36": 36, "base64": 64}
@@ -88,29 +93,53 @@ def battery(candidates: DataFrame, token: str = "kept") -> DataFrame:
     out = out.withColumn("_kinds", F.transform("_x", kind))
     word = total(F.zip_with(behind("_kinds"), ahead("_kinds"), lambda a, b: F.log(F.when(a == b, 0.95).otherwise(0.05 / 3) / width(b))), lambda x: x)
     out = out.withColumn("word_bound", F.greatest(F.lit(0.0), (-(c("n") - 1) * F.log("_k") - word) / math.log(10)))
+    out = out.withColumn("p_random", combined(*[two_sided(c(z)) for z in ("z_uniform", "z_runs", "z_serial")]))
     return out.drop(*[x for x in out.columns if x.startswith("_")])
 
 
-def discovered(candidates: DataFrame, rate: float = 0.01, z_most: float = 3.3) -> DataFrame:
-    """Candidates (with `battery`'s columns) that the battery doesn't reject and that are no words, at a false-discovery rate
-    of `rate` among the candidates of each length band."""
+def two_sided(z: Column) -> Column:
+    """The chance of a normal deviate of |z| or more, by a logistic approximation that is right to 0.0003."""
+    a = F.least(F.abs(z), F.lit(30.0))
+    return 2 / (1 + F.exp(1.5976 * a + 0.07056 * a * a * a))
+
+
+def combined(*p: Column) -> Column:
+    """Fisher's method for three p-values: the chance of a chi-squared of 6 degrees of freedom of -2 sum(log p) or more."""
+    half = -sum((F.log(F.greatest(x, F.lit(1e-300))) for x in p), F.lit(0.0))
+    return F.exp(-half) * (1 + half + half * half / 2)
+
+
+def threshold(counts: dict[int, int], rate: float) -> int | None:
+    """From counts of p-values by cell (of CELLS): the least cell from which on at most `rate` of all aren't random.
+
+    Evenly spread p-values are twice those over a half, and one more as a count is known only so well."""
+    random = 2 * (sum(n for x, n in counts.items() if x >= CELLS // 2) + 1)
+    above, least = 0, None
+    for x in range(CELLS - 1, -1, -1):
+        above += counts.get(x, 0)
+        if above and 1 - (1 - x / CELLS) * random / above <= rate:
+            least = x
+    return least
+
+
+def discovered(candidates: DataFrame, rate: float = 0.01, level: float = 0.001, word: float = 4.0) -> DataFrame:
+    """Candidates (with `battery`'s columns) that pass for random at a false-discovery rate of `rate` among the candidates of each
+    length band.
+
+    Only candidates that aren't rejected at `level` count, and only those whose word_bound is `word` or more: a word looks so
+    random in one of 10,000 cases at most, by default."""
     band = F.element_at(F.filter(F.array(*map(F.lit, BANDS)), lambda b: b <= F.greatest("n", F.lit(BANDS[0]))), -1)
-    cell = F.least(F.floor(F.col("word_bound") * 20), F.lit(CELLS)).cast("int")
-    tested = candidates.withColumn("_band", band).withColumn("_cell", cell)
+    cell = F.least(F.floor(F.col("p_random") * CELLS), F.lit(CELLS - 1)).cast("int")
+    tested = candidates.where(F.col("word_bound") >= word).withColumn("_band", band).withColumn("_cell", cell)
     counts: dict[int, dict[int, int]] = {}
     for r in tested.groupBy("_band", "_cell").count().collect():  # bands times cells at most
         counts.setdefault(r["_band"], {})[r["_cell"]] = r["count"]
     passes = F.lit(False)
     for b, own in counts.items():
-        m, above, least = sum(own.values()), 0, None
-        for x in sorted(own, reverse=True):
-            above += own[x]
-            if 10 ** (-x / 20) <= rate * above / m:
-                least = x
+        least = threshold(own, rate)
         if least is not None:
             passes = passes | ((F.col("_band") == b) & (F.col("_cell") >= least))
-    random = F.greatest(F.abs("z_uniform"), F.abs("z_runs"), F.abs("z_serial")) <= z_most
-    return tested.where(passes & random).drop("_band", "_cell")
+    return tested.where(passes & (F.col("p_random") >= level)).drop("_band", "_cell")
 
 
 def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:

@@ -18,13 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDS, filter_cells, materialise, maybe_in, row_key, text_chunks, tokens
+from .common import LOWER, WORDS, filter_cells, materialise, maybe_in, row_key, text_chunks, tokens
 from .components import connected_components
+from .neardup import similar_groups
 
 #: Rows of one index list that a task compares with each other at most; longer lists are dealt as pairs of blocks.
 BLOCK = 1024
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def triples() -> list[tuple[int, int, int]]:
@@ -50,7 +49,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = 4, seed: in
     kept = full.copy()
     kept[1:] |= full[:-1]  # the first blank after a word stays, as a space
     before = np.concatenate([[0], np.cumsum(kept)])
-    text = np.where(full, _LOWER[data], np.uint8(32))[kept].tobytes()
+    text = np.where(full, LOWER[data], np.uint8(32))[kept].tobytes()
     at, to = before[starts].tolist(), before[ends].tolist()
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     count = np.diff(np.append(first, len(doc)))
@@ -71,13 +70,13 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = 4, seed: in
     return out
 
 
-def with_fingerprint(docs: DataFrame, *ids: str) -> DataFrame:
-    """docs (ids..., text) -> (ids..., fp long); null or empty text has fingerprint 0."""
+def with_fingerprint(docs: DataFrame, *ids: str, words: int = 4) -> DataFrame:
+    """docs (ids..., text) -> (ids..., fp long) from shingles of so many words; null or empty text has fingerprint 0."""
     schema = T.StructType([*(docs.schema[c] for c in ids), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [fingerprints(data, offsets) for _, _, data, offsets in text_chunks(b.column(len(ids)))]
+            parts = [fingerprints(data, offsets, words) for _, _, data, offsets in text_chunks(b.column(len(ids)))]
             fp = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(ids)], pa.array(fp)], names=[*ids, "fp"])
 
@@ -183,22 +182,41 @@ def simhash_components(docs: DataFrame, bits: int = 4, block: int = BLOCK) -> Da
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
-    """The rows of docs (doc_id, text, ...), with their columns, that stay when one row of each component does: that with the
-    smallest doc_id (null last; ties by a hash of the text, then any of equal rows)."""
+def merge_groups(parts: DataFrame, others: DataFrame) -> DataFrame:
+    """parts and others (component, at: none, doc_id, rk), each with all rows -> parts with components joined where others' are
+    one."""
+    both = parts.select(F.col("at.rk").alias("rk"), F.col("component").alias("a")).join(others.select(F.col("at.rk").alias("rk"), F.col("component").alias("b")), "rk")
+    both = materialise(both.select("a", "b").distinct(), "both")
+    least = both.groupBy("b").agg(F.min("a").alias("least"), F.count("*").alias("n")).where("n > 1")
+    merged = connected_components(both.join(least, "b").select("a", F.col("least").alias("b")))
+    out = parts.join(merged.withColumnRenamed("component", "whole"), parts["component"] == merged["id"], "left")
+    return materialise(out.select(F.coalesce("whole", "component").alias("component"), "at"), "parts")
+
+
+def drop_near_duplicates(docs: DataFrame, bits: int = 4, words: int = 5, similarity: float | None = 0.8, block: int = BLOCK) -> DataFrame:
+    """The rows of docs (doc_id, text, ...), with their columns, that stay when one row of each group does: that with the
+    smallest doc_id (null last; ties by a hash of the text, then any of equal rows).
+
+    Documents are linked if their fingerprints differ in at most `bits` bits, and also, as fingerprints tell only part of the
+    pairs of middling similarity, if the exact Jaccard similarity of their shingle sets is `similarity` or more (None: not).
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", row_key(), "text")
-    prints = materialise(with_fingerprint(rows, "doc_id", "rk"), "fingerprints")
-    parts = materialise(prints.join(_components(prints, bits, block), "fp").select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk").alias("at")), "parts")
+    prints = materialise(with_fingerprint(rows, "doc_id", "rk", words=words), "fingerprints")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk").alias("at")
+    parts = materialise(prints.join(_components(prints, bits, block), "fp").select("component", at), "parts")
+    if similarity is not None:
+        parts = merge_groups(parts, similar_groups(rows, similarity, words))
     return keep_first(docs, parts)
 
 
 def keep_first(docs: DataFrame, parts: DataFrame) -> DataFrame:
     """The rows of docs that stay when one of each component does; parts (component, at: none, doc_id, rk) has all rows."""
-    first = parts.groupBy("component").agg(F.min("at").alias("first"))
-    status = parts.join(first, "component").groupBy(F.col("at.rk").alias("_k")).agg(F.min(F.col("at") == F.col("first")).alias("_stays"), F.count("*").alias("_n"))
-    status = materialise(status.where("not _stays or _n > 1"), "status")
-    known = filter_cells(status.select(F.col("_k").alias("h")))
-    marked = docs.withColumn("_rk", row_key())
-    joined = maybe_in(marked, F.col("_rk"), known).join(status, F.col("_rk") == F.col("_k"), "left")
-    again = joined.where("_stays").dropDuplicates(["_rk"])
-    return maybe_in(marked, F.col("_rk"), known, False).unionByName(joined.where("_k is null").drop("_k", "_stays", "_n")).unionByName(again.drop("_k", "_stays", "_n")).select(*docs.columns)
+    first = parts.groupBy("component").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first")
+    grouped = parts.join(materialise(first, "first"), "component")  # Spark can split a large component's rows
+    status = grouped.groupBy(F.col("at.rk").alias("k")).agg(F.min(F.col("at") == F.col("first")).alias("stays"))
+    status = materialise(status, "status")
+    known = filter_cells(status.select(F.col("k").alias("h")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key())
+    joined = maybe_in(rows, F.col("rk"), known).join(status, F.col("rk") == F.col("k"), "left")
+    again = joined.where("stays").dropDuplicates(["rk"])
+    return maybe_in(rows, F.col("rk"), known, False).select("row.*").unionByName(joined.where("k is null").select("row.*")).unionByName(again.select("row.*"))

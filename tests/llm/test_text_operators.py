@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -183,6 +184,39 @@ def test_resampling_keeps_good_text(labelled):
     assert len([k for k in kept if k < 1000]) >= 198 and len([k for k in kept if k >= 1000]) <= 2
 
 
+def test_weights_match_plain_counts(labelled):
+    """Log weights from counts of unigrams and bigrams in plain dictionaries."""
+    df, labels = labelled
+    texts, label = {r.doc_id: r.text for r in df.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    half = {r.label_id for r in labels.select(F.col("doc_id").alias("label_id")).where(F.pmod(F.xxhash64("label_id", F.lit(7)), F.lit(2)) == 0).collect()}
+
+    def buckets(t):
+        own = re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+", t)
+        return [cell(w.encode()) for w in own] + [cell(f"{a} {b}".encode()) for a, b in zip(own, own[1:])]
+
+    def cell(raw):
+        return int(quality.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0][-1])
+
+    every, target = collections.Counter(), collections.Counter()
+    for i, t in texts.items():
+        b = buckets(t)
+        every.update(b)
+        if i in half and label[i] == 1:
+            target.update(b)
+    n, m, size = sum(every.values()), sum(target.values()), 1 << quality.BITS
+    got = {r.doc_id: r.log_weight for r in quality.importance_resample(df, labels, k=len(texts)).collect()}
+    for i, t in texts.items():
+        b = buckets(t)
+        ratio = sum(np.log((target[x] + 1) / (m + size)) - np.log((every[x] + 1) / (n + size)) for x in b)
+        assert abs(got[i] - quality.SCALE * ratio / (len(b) + quality.PRIOR)) < 1e-6
+
+
+def test_noise_decides_between_close_weights(spark, labelled):
+    df, labels = labelled
+    kept = [{r.doc_id for r in quality.importance_resample(df, labels, k=100, seed=s).select("doc_id").collect()} for s in (1, 2)]
+    assert len(kept[0] & kept[1]) < 95 and all(len(x) == 100 for x in kept)
+
+
 def test_resampling_takes_the_k_largest_keys(labelled):
     df, labels = labelled
     every = quality.importance_resample(df, labels, k=260).collect()
@@ -227,6 +261,37 @@ def test_languages_of_held_out_and_mixed_text(spark):
     assert got[503].lang_pred != "und" and got[None].lang_pred == "bb" and got[None].held_out is False
 
 
+def plain_mixture(p, count, most, penalty=8.0):
+    """The cheapest set of languages, by plain expectation-maximisation run to its end."""
+
+    def em(cols):
+        share = np.full(len(cols), 1 / len(cols))
+        for _ in range(5000):
+            joint = p[:, cols] * share
+            share = (joint / joint.sum(1, keepdims=True) * count[:, None]).sum(0) / count.sum()
+        return share, (count * np.log((p[:, cols] * share).sum(1))).sum()
+
+    order = np.argsort(-em(list(range(most)))[0], kind="stable")
+    tried = []
+    for k in range(1, most + 1):
+        share, like = em(list(order[:k]))
+        tried.append((-2 * like + penalty * k * np.log(count.sum() + 1), dict(zip(order[:k].tolist(), share))))
+    return min(tried, key=lambda x: x[0])[1]
+
+
+def test_mixtures_match_plain_em():
+    rng = np.random.default_rng(44)
+    p = rng.dirichlet(np.full(60, 0.3), 5).T + 1e-4
+    model = langid.LanguageModel(tuple("abcde"), p / p.sum(0), tolerance=1e-7)
+    for k in range(1, 6):  # mixtures of one to all five
+        count = np.round(model.probability[:, :k].mean(1) * 4000)
+        count[count == 0] = 1
+        got = model._mixtures(model.probability, count, np.zeros(60, int), np.array([0]))[0]
+        want = plain_mixture(model.probability, count, 5)
+        assert set(np.flatnonzero(got).tolist()) == set(want) == set(range(k))
+        assert all(abs(got[j] - w) < 1e-3 for j, w in want.items())
+
+
 def test_languages_without_training_rows(odd, none):
     out = langid.predict_held_out(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert len(out) == len(ODD) and {r.lang_pred for r in out} == {"und"}
@@ -295,9 +360,28 @@ def test_one_of_each_group_stays(spark, odd, none):
     assert out.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == [(1, rows[0][1]), (9, rows[4][1]), (None, rows[5][1])]
     assert simhash.drop_near_duplicates(none).count() == 0
+    assert simhash.drop_near_duplicates(odd).columns == odd.columns
     assert simhash.drop_near_duplicates(odd).count() == len({fingerprint(t) for _, t in ODD})
 
 
+def test_near_copies_that_fingerprints_miss(spark):
+    """Groups by links of either kind, against a plain version."""
+    rng = random.Random(55)
+    rows, texts = [], [words(rng, 60) for _ in range(12)]
+    for t in texts:
+        for _ in range(5):
+            w = t.split()
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = words(rng, 1)
+            rows.append((len(rows), " ".join(w)))
+    five = {i: {" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    fp = {i: int(simhash.fingerprints(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)[0]) for i, t in rows}
+    near = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4 or len(five[a] & five[b]) >= 0.8 * len(five[a] | five[b])
+    part = components([(a, b) for a in five for b in five if a < b and near(a, b)], five)
+    got = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(part.values()) and len(got) < len(rows)
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 40)] + [(5, 5), (2000, 1999)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -349,6 +433,13 @@ def test_packing_places_every_token(spark, docs, odd, none):
     for r in df.collect():
         want[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) + 1
     assert n == want
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    word = {}  # equal words have equal ids, and the texts come back from them
+    for r in sorted(rows, key=lambda r: (r.doc_id or 0, r.piece)):
+        assert len(r.ids) == r.length
+        if (r.doc_id or 0) > 10:
+            own = [*re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id]), None][r.start : r.start + r.length]
+            assert all(word.setdefault(w, i) == i and (i == 1) == (w is None) for w, i in zip(own, r.ids, strict=True))
     by_bin = collections.defaultdict(list)
     for r in rows:
         by_bin[r.bin_id].append(r)
@@ -360,6 +451,26 @@ def test_packing_places_every_token(spark, docs, odd, none):
     assert packing.best_fit_packing(none).count() == 0
 
 
+def test_packing_of_ties_null_and_large_ids(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a b c"), (None, "a b c"), (big, "a b c"), (3, None)], "doc_id long, text string")
+    rows = packing.best_fit_packing(df, capacities=(4, 8)).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 4), (3, 1), (big, 4), (big, 4)]
+    none = lambda b, c: pa.array([[]] * b.num_rows, pa.list_(pa.int32()))
+    assert [r.ids for r in packing.best_fit_packing(df, none, capacities=(4, 8)).collect()] == [[1]] * 4
+
+
+def test_blocks_cost_little_more_than_one(spark):
+    rng = random.Random(66)
+    df = spark.createDataFrame([(k, words(rng, int(rng.paretovariate(0.9) * 30) % 5000)) for k in range(1500)], "doc_id long, text string")
+
+    def cost(block_rows):
+        bins = packing.best_fit_packing(df, block_rows=block_rows).select("bin_id", "capacity").distinct().collect()
+        return sum(packing.bin_cost(r.capacity, 64.0, 1e-5) for r in bins)
+
+    assert cost(300) <= 1.05 * cost(1 << 20)
+
+
 # -- 7 ----------------------------------------------------------------------------------------------------------------
 
 PATTERNS = (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+"))
@@ -478,3 +589,20 @@ def test_lines_of_odd_rows(spark, odd, none):
     assert got == sorted([(f"{same}\n", 1), ("", 1), ("", 1), ("other", 1)])
     assert {r.doc_id: (r.text, r.n_lines) for r in out if r.doc_id in (1, 2)} == {1: (None, 0), 2: ("", 0)}
     assert linededup.dedup_lines(none).count() == 0
+
+
+def test_randomness_threshold_and_p_values(spark):
+    rng = random.Random(77)
+    even, low = [rng.random() for _ in range(4000)], [rng.random() * 0.2 for _ in range(4000)]
+    counts = collections.Counter(int(p * secrets.CELLS) for p in even + low)
+    least = secrets.threshold(counts, 0.05) / secrets.CELLS
+    taken = [p for p in low if p >= least]
+    assert 0.1 < least <= 0.21 and len(taken) <= 0.08 * (len(taken) + sum(p >= least for p in even))
+    assert secrets.threshold({0: 50}, 0.01) is None and secrets.threshold({}, 0.01) is None
+    from math import erfc, exp, log, sqrt
+
+    rows = spark.createDataFrame([(z,) for z in (0.0, 0.5, -1.0, 2.0, 3.0)], "z double").select("z", secrets.two_sided(F.col("z")).alias("p")).collect()
+    assert all(abs(r.p - erfc(abs(r.z) / sqrt(2))) < 5e-4 for r in rows)
+    p = spark.range(1).select(secrets.combined(F.lit(0.5), F.lit(0.1), F.lit(0.9)).alias("p")).head().p
+    x = -log(0.5 * 0.1 * 0.9)
+    assert abs(p - exp(-x) * (1 + x + x * x / 2)) < 1e-12
