@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from graphloom.llm import hilbert
+from graphloom.llm import hilbert, simhash
 from graphloom.llm.queries import ORACLES, QUERIES
 
 
@@ -85,8 +85,9 @@ def test_pipeline_stages(spark, tmp_path):
             assert here.columns == docs.columns
         seen.append({r.doc_id: r for r in here.collect()})
     assert {i for i in seen[0] if i < 300} >= {i for i, _ in good if i < 200} and not [i for i in seen[0] if i >= 300]
-    assert seen[1].keys() == seen[0].keys() and seen[1][8].text == good[8][1].rsplit("\n", 1)[0] and seen[1][7].text == good[7][1]
-    assert 200 not in seen[2] and 9 in seen[2]
+    assert seen[1].keys() == seen[0].keys() - {200} and seen[1][8].text == good[8][1].rsplit("\n", 1)[0] and seen[1][7].text == good[7][1]
+    assert seen[1][201].text is None and seen[1][202].text == ""
+    assert seen[2].keys() == seen[1].keys() - {202} and 9 in seen[2]  # texts without words are alike
     assert 5 not in seen[3] and len(seen[3]) == len(seen[2]) - 1
     assert seen[4].keys() == seen[3].keys()
     assert {r.doc_id for r in p.run(spark, str(tmp_path)).collect()} == set(seen[4])
@@ -115,9 +116,12 @@ def test_near_copies_of_similarity_08_go(spark):
 
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     own, part = [sets(t) for _, t in rows], list(range(len(rows)))
+    raw = [(t or "").encode() for _, t in rows]
+    fp = [int(simhash.fingerprints(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 5)[0]) for t in raw]
     for a in range(len(rows)):
         for b in range(a):
-            if len(own[a] & own[b]) * 5 >= len(own[a] | own[b]) * 4 and part[a] != part[b]:
+            near = len(own[a] & own[b]) * 5 >= len(own[a] | own[b]) * 4 or (fp[a] ^ fp[b]).bit_count() <= 4
+            if near and part[a] != part[b]:
                 part = [part[b] if x == part[a] else x for x in part]
     want, seen = [], set()
     for k in order:
@@ -127,3 +131,29 @@ def test_near_copies_of_similarity_08_go(spark):
     got = drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str) and len(want) < len(rows) - 20
     assert drop_near_copies(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null ids in every stage, repeated rows, and tables without rows."""
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "some words that stand here in a row and are long enough"
+    rows = [(None, text, None, None, None), (None, text, None, None, None), (3, None, "en", "s", 0), (4, text + " and quite a few more of them besides", "en", "s", 3)]
+    for name, own in (("some", rows), ("none", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(own, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(7, None)] if own else [], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        got = p.run(spark, at).collect()
+        assert {r.doc_id for r in got} == ({None, 3, 4} if own else set())
+
+
+def test_small_tables_are_searched_whole(spark):
+    rng = np.random.default_rng(2)
+    for n in (2, 22, 60):
+        rows = [(k, [float(np.float32(c)) for c in v]) for k, v in enumerate(rng.standard_normal((n, 8)))]
+        got = {}
+        for r in sorted(hilbert.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect(), key=lambda r: (r.query_id, r.rank)):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert {q: len(v) for q, v in got.items()} == {q: min(20, n - 1) for q in range(0, n, 20)}
