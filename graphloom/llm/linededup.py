@@ -8,8 +8,8 @@ ordered, never paired.
 
 A line goes if any earlier line matches it, so one match is enough, and pairs are never written out: semi-joins under the prefix
 tokens find the classes that have an earlier candidate, then the classes that are candidates of those, and at last, with the
-words of these few classes at hand, the classes that have an earlier match. A member of a large group of near copies is done
-with at the first match; it is looked up under its rarest tokens first, and under all only if that finds none.
+texts of these few classes at hand, the classes that have an earlier match. A member of a large group of near copies is done
+with at the first match; it is looked up under its rarest shared token first, and under all only if that finds none.
 
 Rarity comes from a table of word counts of bounded size (words that share a cell add up), which is exact enough to order by:
 any fixed order gives right results.
@@ -26,8 +26,6 @@ from .common import byte_at, discard, filter_cells, materialise, maybe_in, row_k
 
 #: Cells of the table of word counts (a byte each in the plan).
 CELLS = 1 << 18
-#: Tokens of a prefix under which verified matches are looked for first.
-RAREST = 4
 MASK = (1 << 48) - 1
 
 
@@ -102,13 +100,13 @@ def _candidates(num: int, den: int, x: str, y: str) -> Column:
     return same & fits & (bits * (num + den) <= (nx + ny) * (den - num))
 
 
-def _word_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """s1, at, words of the wanted classes (s1), from their first lines, which are read from docs again."""
+def _first_lines(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """s1, at, line of the wanted classes (s1): their first lines, which are read from docs again."""
     spots = materialise(classes.join(wanted.distinct(), "s1", "left_semi").select("s1", "doc_id", "rk", "line_no"), "spots")
     known = filter_cells(spots.select(F.xxhash64("rk", "line_no").alias("h")))
     lines = maybe_in(line_rows(docs).select("rk", "line_no", "line"), F.xxhash64("rk", "line_no"), known)
-    found = lines.join(spots, ["rk", "line_no"]).select("s1", F.struct("doc_id", "rk", "line_no").alias("at"), word_set(F.col("line")).alias("words"))
-    out = materialise(found.dropDuplicates(["s1"]), "word-sets")  # repeated rows have the same lines
+    found = lines.join(spots, ["rk", "line_no"]).select("s1", F.struct("doc_id", "rk", "line_no").alias("at"), "line")
+    out = materialise(found.dropDuplicates(["s1"]), "first-lines")  # repeated rows have the same lines
     discard(spots, known)
     return out
 
@@ -137,22 +135,24 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
     shared = filter_cells(later.select(F.xxhash64("token").alias("h")))
     earlier = maybe_in(tokens, F.xxhash64("token"), shared).alias("x").join(later.alias("y"), _candidates(num, den, "x", "y") & order, "left_semi")
     earlier = materialise(earlier, "earlier")
-    sets = _word_sets(docs, classes, later.select("s1").union(earlier.select("s1")))
+    texts = _first_lines(docs, classes, later.select("s1").union(earlier.select("s1")))
 
     def matched(some: DataFrame) -> DataFrame:
         """s1 of the classes of some (rows of later) that have an earlier match."""
-        y = some.join(sets, "s1").alias("y")
-        x = earlier.join(some.select("token").distinct(), "token", "left_semi").join(sets, "s1").alias("x")
-        similar = F.size(F.array_intersect("x.words", "y.words")).cast("long") * (num + den) >= (F.size("x.words") + F.size("y.words")).cast("long") * num
+        y = some.join(texts, "s1").alias("y")
+        x = earlier.join(some.select("token").distinct(), "token", "left_semi").join(texts, "s1").alias("x")
+        wx, wy = word_set(F.col("x.line")), word_set(F.col("y.line"))
+        similar = F.size(F.array_intersect(wx, wy)).cast("long") * (num + den) >= (F.size(wx) + F.size(wy)).cast("long") * num
         before = F.col("x.at") < F.col("y.at")
         return materialise(y.join(x, _candidates(num, den, "x", "y") & before & similar, "left_semi").select("s1").distinct(), "matched")
 
-    found = matched(later.where(_place(F.col("np")) < RAREST))
+    rarest = later.groupBy("s1").agg(F.min("np").alias("np"))  # under their rarest token first
+    found = matched(later.join(rarest, ["s1", "np"]))
     rest = matched(later.join(found, "s1", "left_anti"))
     # A class's first line stays unless an earlier class matches it; its other lines go.
     stays = classes.select("s1", place.alias("at")).join(found.unionByName(rest), "s1", "left_anti")
     gone = materialise(lines.select(place.alias("at"), "s1").join(stays, ["s1", "at"], "left_anti").select("at.*"), "repeated")
-    discard(classes, later, shared, earlier, sets, found, rest)
+    discard(classes, later, shared, earlier, texts, found, rest)
     return gone
 
 
