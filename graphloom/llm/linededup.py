@@ -2,7 +2,7 @@
 
 A line's tokens are its distinct words, ordered by rarity. Two lines whose Jaccard similarity is t or more share a token among
 the first n - ceil(t n) + 1 of each, at places that leave room for the overlap needed, and their sizes are within a factor t.
-Candidates pass these prefix, length and positional filters and a bound on the bits by which 64 parities of the tokens differ;
+Candidates pass these prefix, length and positional filters and a bound on the bits by which parities of the tokens differ;
 they are verified on the words themselves. Equal token sets are one class throughout: copies of a line are counted and
 ordered, never paired.
 
@@ -27,6 +27,8 @@ from .common import byte_at, discard, filter_cells, materialise, maybe_in, row_k
 #: Cells of the table of word counts (a byte each in the plan).
 CELLS = 1 << 18
 MASK = (1 << 48) - 1
+#: Distinct words from which a line has 128 parities, rather than 64.
+LONG = 48
 
 
 def split_words(line: Column) -> Column:
@@ -62,10 +64,10 @@ def rarity(docs: DataFrame) -> bytes:
 
 
 def tokenised(docs: DataFrame, ranks: bytes, num: int, den: int) -> DataFrame:
-    """doc_id, rk, line_no, n (distinct words), s1 and s2 (hashes of the token set), prefix, sig.
+    """doc_id, rk, line_no, n (distinct words), s1 and s2 (hashes of the token set), prefix, sig, sig2.
 
-    sig: 64 bits, each the parity of the number of tokens that hash to it. Sets that differ in d tokens differ in d bits at most,
-    and large sets don't fill it up."""
+    sig, sig2: 128 bits, each the parity of the number of tokens that hash to it. Sets that differ in d tokens differ in d bits at
+    most, and large sets don't fill them up. Smaller sets have the 64 bits of both halves together, in sig alone."""
 
     def key(h: Column) -> Column:
         return F.shiftleft(byte_at(ranks, _cell(h)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit(MASK)))
@@ -74,8 +76,11 @@ def tokenised(docs: DataFrame, ranks: bytes, num: int, den: int) -> DataFrame:
     rows = line_rows(docs).select("doc_id", "rk", "line_no", F.sort_array(F.transform(hashes, key)).alias("keys")).withColumn("n", F.size("keys"))
     least = F.floor((F.col("n").cast("long") * num + den - 1) / den).cast("int")  # overlap with the shortest partner: ceil(t n)
     prefix = F.transform(F.slice("keys", 1, F.col("n") - least + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    sig = F.expr("aggregate(keys, 0L, (a, k) -> a ^ shiftleft(1L, cast(k & 63 as int)))")
-    return rows.select("doc_id", "rk", "line_no", "n", F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), prefix.alias("prefix"), sig.alias("sig"))
+    bit = "shiftleft(1L, cast(k & 63 as int))"
+    half = f"aggregate(keys, 0L, (a, k) -> if((k & 64) = {{}}, a ^ {bit}, a))"
+    sig = F.when(F.col("n") < LONG, F.expr(f"aggregate(keys, 0L, (a, k) -> a ^ {bit})")).otherwise(F.expr(half.format(0)))
+    sig2 = F.when(F.col("n") < LONG, F.lit(0).cast("long")).otherwise(F.expr(half.format(64)))
+    return rows.select("doc_id", "rk", "line_no", "n", F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), prefix.alias("prefix"), sig.alias("sig"), sig2.alias("sig2"))
 
 
 def _size(np: Column) -> Column:
@@ -87,7 +92,7 @@ def _place(np: Column) -> Column:
 
 
 def _candidates(num: int, den: int, x: str, y: str) -> Column:
-    """Whether rows of one token (np: size and place of the token, sig) can be of similar sets.
+    """Whether rows of one token (np: size and place of the token, sig, sig2) can be of similar sets.
 
     Sizes are within the threshold; what is left after the places leaves room for the overlap; and the parities differ in no
     more bits than the sets may differ in tokens.
@@ -96,7 +101,8 @@ def _candidates(num: int, den: int, x: str, y: str) -> Column:
     room = F.least(nx - _place(F.col(f"{x}.np")), ny - _place(F.col(f"{y}.np")))
     fits = (ny * den >= nx * num) & (nx * den >= ny * num) & (room * (num + den) >= (nx + ny) * num)
     same = (F.col(f"{x}.token") == F.col(f"{y}.token")) & (F.col(f"{x}.s1") != F.col(f"{y}.s1"))
-    bits = F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig")))
+    one, two = (F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in ("sig", "sig2"))
+    bits = F.when((nx < LONG) | (ny < LONG), F.bit_count(one.bitwiseXOR(two))).otherwise(F.bit_count(one) + F.bit_count(two))
     return same & fits & (bits * (num + den) <= (nx + ny) * (den - num))
 
 
@@ -120,31 +126,33 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
     lines = materialise(tokenised(docs, rarity(docs), num, den), "lines")
     lines, n = lines.where(F.col("n") >= min_words), F.col("n")
     place = F.struct("doc_id", "rk", "line_no")
-    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", "sig")).alias("m"))
-    classes = materialise(classes.select("s1", "n", "m.at.*", "m.prefix", "m.sig"), "classes")
+    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", "sig", "sig2")).alias("m"))
+    classes = materialise(classes.select("s1", "n", "m.at.*", "m.prefix", "m.sig", "m.sig2"), "classes")
     discard()
     # Smaller sets match equal ones alone: n / (n + 1) is under the threshold.
-    tokens = classes.where(n * (den - num) >= num).select("s1", "n", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "sig", F.posexplode("prefix").alias("pos", "token"))
-    tokens = tokens.select("token", "doc", "s1", (n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig")
+    tokens = classes.where(n * (den - num) >= num).select("s1", "n", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "sig", "sig2", F.posexplode("prefix").alias("pos", "token"))
+    tokens = tokens.select("token", "doc", "s1", (n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig", "sig2")
 
     # Of two classes in one document either may be the later one.
     order = F.col("x.doc") <= F.col("y.doc")
     later = tokens.alias("y").join(tokens.alias("x"), _candidates(num, den, "x", "y") & order, "left_semi")
     later = materialise(later, "later")
     discard()
-    shared = filter_cells(later.select(F.xxhash64("token").alias("h")))
-    earlier = maybe_in(tokens, F.xxhash64("token"), shared).alias("x").join(later.alias("y"), _candidates(num, den, "x", "y") & order, "left_semi")
-    earlier = materialise(earlier, "earlier")
-    texts = _first_lines(docs, classes, later.select("s1").union(earlier.select("s1")))
 
     def matched(some: DataFrame) -> DataFrame:
         """s1 of the classes of some (rows of later) that have an earlier match."""
-        y = some.join(texts, "s1").alias("y")
-        x = earlier.join(some.select("token").distinct(), "token", "left_semi").join(texts, "s1").alias("x")
+        some = materialise(some, "open")
+        shared = filter_cells(some.select(F.xxhash64("token").alias("h")))
+        earlier = maybe_in(tokens, F.xxhash64("token"), shared).alias("x").join(some.alias("y"), _candidates(num, den, "x", "y") & order, "left_semi")
+        earlier = materialise(earlier, "earlier")
+        texts = _first_lines(docs, classes, some.select("s1").union(earlier.select("s1")))
+        y, x = some.join(texts, "s1").alias("y"), earlier.join(texts, "s1").alias("x")
         wx, wy = word_set(F.col("x.line")), word_set(F.col("y.line"))
         similar = F.size(F.array_intersect(wx, wy)).cast("long") * (num + den) >= (F.size(wx) + F.size(wy)).cast("long") * num
         before = F.col("x.at") < F.col("y.at")
-        return materialise(y.join(x, _candidates(num, den, "x", "y") & before & similar, "left_semi").select("s1").distinct(), "matched")
+        out = materialise(y.join(x, _candidates(num, den, "x", "y") & before & similar, "left_semi").select("s1").distinct(), "matched")
+        discard(some, shared, earlier, texts)
+        return out
 
     rarest = later.groupBy("s1").agg(F.min("np").alias("np"))  # under their rarest token first
     found = matched(later.join(rarest, ["s1", "np"]))
@@ -152,7 +160,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
     # A class's first line stays unless an earlier class matches it; its other lines go.
     stays = classes.select("s1", place.alias("at")).join(found.unionByName(rest), "s1", "left_anti")
     gone = materialise(lines.select(place.alias("at"), "s1").join(stays, ["s1", "at"], "left_anti").select("at.*"), "repeated")
-    discard(classes, later, shared, earlier, texts, found, rest)
+    discard(classes, later, found, rest)
     return gone
 
 
