@@ -18,12 +18,12 @@ def singular_tokens(c: Column | str) -> Column:
 
 
 def name_similarity(a: Column | str, b: Column | str) -> Column:
-    """1 for equal normal forms, 0 if one is empty; else the larger of edit similarity and token Jaccard."""
+    """1 for equal normal forms, 0 if one alone is empty; else the larger of edit similarity and token Jaccard."""
     x, y, s, t = normalize_text(a), normalize_text(b), singular_tokens(a), singular_tokens(b)
     edit = 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))
     union = F.size(F.array_union(s, t))
     jaccard = F.when(union > 0, F.size(F.array_intersect(s, t)) / union).otherwise(0.0)
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(F.greatest(edit, jaccard))
+    return F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).otherwise(F.greatest(edit, jaccard))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

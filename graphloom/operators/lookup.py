@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_line
 from ..schemas import REVIEW_THRESHOLD
+from .shared import cut
 
 
 def list_nodes(nodes: DataFrame, types: Sequence[str] | None = None, limit: int = 1000, offset: int = 0) -> DataFrame:
@@ -34,6 +35,16 @@ def ordered_edges(edges: DataFrame) -> DataFrame:
     return edges.orderBy("source_id", "type", "target_ref")
 
 
+def numbered_edges(edges: DataFrame) -> DataFrame:
+    """All edges with seq, their place in that order from 1: sorted by ranges, and numbered from the sizes of the ranges before."""
+    order = ("source_id", "type", "target_ref")
+    rows = edges.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    rows = cut(rows.withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ordered")
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_range").withColumn("seq", F.col("_before") + F.col("_nth") + 1).drop("_range", "_nth", "_before")
+
+
 def edges_of(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges of each node in ids (id): node_id, direction (out, then in); a loop is reported once, as out."""
     own = ids.select(F.col("id").alias("node_id")).distinct()

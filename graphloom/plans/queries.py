@@ -12,7 +12,7 @@ from ..functions.similarity import name_similarity, round4
 from ..functions.text import embedding_text, match_keys, segments, slug, tokens
 from ..operators import diff, evidence, iterate, lookup, resolve, retrieve, review, search, traversal, validate, vectors
 from ..operators.shared import cut
-from ..schemas import RetrievalConfig, ontology
+from ..schemas import RetrievalConfig
 from ..sources import batches, documents
 from . import project
 from .project import read, sql
@@ -33,8 +33,8 @@ def query(sql_text: str | None = None, graph: bool = True) -> Callable[[Query],
     return add
 
 
-def _edges(s: SparkSession, d: str) -> DataFrame:
-    return project.edges(s, d)
+def _edges(s: SparkSession, d: str, *types: str) -> DataFrame:
+    return project.edges(s, d, *types)
 
 
 def _origins(s: SparkSession, d: str, type_: str) -> DataFrame:
@@ -80,11 +80,9 @@ def nodes_by_ref(s, d):
     return lookup.get_nodes(project.nodes(s, d), _edges(s, d).select(F.col("target_ref").alias("ref")).distinct()).select("id", "type", "name")
 
 
-@query("SELECT row_number() OVER (ORDER BY source_id, type, target_ref)::INT AS seq, id FROM edges WHERE type = 'PART_OF'")
+@query("SELECT row_number() OVER (ORDER BY source_id, type, target_ref) AS seq, id FROM edges")
 def edges_in_order(s, d):
-    from pyspark.sql import Window as W
-    e = _edges(s, d).where("type = 'PART_OF'")
-    return lookup.ordered_edges(e).select(F.row_number().over(W.orderBy("source_id", "type", "target_ref")).alias("seq"), "id")
+    return lookup.numbered_edges(_edges(s, d)).select("seq", "id")
 
 
 @query("""SELECT n.id AS node_id, 'out' AS direction, e.id FROM nodes n JOIN edges e ON e.source_id = n.id WHERE n.type = 'system'
@@ -100,7 +98,7 @@ def low_confidence_edges(s, d):
 
 @query("SELECT id, type FROM nodes WHERE id NOT IN (SELECT source_id FROM edges WHERE type = 'DEPENDS_ON') AND id NOT IN (SELECT target_id FROM edges WHERE type = 'DEPENDS_ON')")
 def isolated_nodes(s, d):
-    return lookup.isolated(project.nodes(s, d), _edges(s, d).where("type = 'DEPENDS_ON'"), None).select("id", "type")
+    return lookup.isolated(project.nodes(s, d), _edges(s, d, "DEPENDS_ON"), None).select("id", "type")
 
 
 @query("SELECT owner_id, ev_key, run FROM ev WHERE owner_id IN (SELECT id FROM edges WHERE status = 'conflicted')")
@@ -117,7 +115,7 @@ def subgraph_filter(s, d):
 
 @query("SELECT e.id AS node_id, n.type, n.name, trim(split_part(n.description, chr(10), 1)) AS summary FROM (SELECT DISTINCT target_id AS id FROM edges WHERE type = 'GOVERNS') e JOIN nodes n USING (id)")
 def hits_with_nodes(s, d):
-    hits = _edges(s, d).where("type = 'GOVERNS'").select(F.col("target_id").alias("node_id")).distinct()
+    hits = _edges(s, d, "GOVERNS").select(F.col("target_id").alias("node_id")).distinct()
     return lookup.with_nodes(hits, project.nodes(s, d)).select("node_id", "type", "name", "summary")
 
 
@@ -179,11 +177,11 @@ def status_recompute(s, d):
     ('TRIGGERS','event','process'),('TRIGGERS','event','event'),('TRIGGERS','process','process'),('TRIGGERS','process','event')) AS valid, count(*)::BIGINT AS n FROM typed GROUP BY ALL""")
 def ontology_violations(s, d):
     e, n = _edges(s, d), project.nodes(s, d)
-    both = e.select("type", F.col("source_id").alias("s"), F.col("target_id").alias("t")).unionByName(e.select("type", F.col("target_id").alias("s"), F.col("source_id").alias("t")))
-    end = lambda a, t: n.select(F.col("id").alias(a), F.col("type").alias(t))
-    typed = both.join(end("s", "source_type"), "s").join(end("t", "target_type"), "t")
-    known = F.broadcast(ontology(s).select(F.col("edge_type").alias("type"), "source_type", "target_type", F.lit(True).alias("known")))
-    return typed.join(known, ["type", "source_type", "target_type"], "left").groupBy("type", "source_type", "target_type", F.coalesce("known", F.lit(False)).alias("valid")).agg(F.count("*").alias("n"))
+    run, ends = F.lit("all").alias("run_id"), ("source_id", "target_id")
+    way = lambda a, b: e.select(run, "type", F.col(a).alias("source_mention"), F.col(b).alias("target_mention"))
+    checked = validate.check_ends(way(*ends).unionByName(way(*ends[::-1])), n.select(run, "type", F.col("id").alias("mention")))
+    one = checked.select("type", F.element_at("source_types", 1).alias("source_type"), F.element_at("target_types", 1).alias("target_type"), (F.size("reasons") == 0).alias("valid"))
+    return one.groupBy("type", "source_type", "target_type", "valid").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -632,9 +630,10 @@ def similar_nodes(s, d):
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-  h AS (SELECT *, regexp_matches(line, '^#{1,4}\\s+\\S') AS is_h FROM l), p AS (SELECT *, sum(is_h::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM h),
-  s AS (SELECT doc_id, part, max(CASE WHEN is_h THEN trim(regexp_extract(line, '^#{1,4}\\s+(.*)$', 1)) END) AS head, string_agg(CASE WHEN NOT is_h THEN line END, chr(10) ORDER BY pos) AS content FROM p GROUP BY ALL)
-  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INT AS section, coalesce(head, 'introducción') AS heading, sha1(content) AS content FROM s WHERE content IS NOT NULL AND NOT regexp_full_match(content, '\\s*')""", graph=False)
+  h AS (SELECT *, regexp_matches(line, '^#{1,4}\\s+[^\\r]*$') AS is_h FROM l), p AS (SELECT *, sum(is_h::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM h),
+  s AS (SELECT doc_id, part, max(CASE WHEN is_h THEN regexp_replace(regexp_extract(line, '^#{1,4}\\s+(.*)$', 1), '^\\s+|\\s+$', '', 'g') END) AS head,
+    regexp_replace(string_agg(CASE WHEN NOT is_h THEN line END, chr(10) ORDER BY pos), '^\\s+|\\s+$', '', 'g') AS content FROM p GROUP BY ALL)
+  SELECT doc_id, part::INT AS section, coalesce(head, 'introducción') AS heading, sha1(content) AS content FROM s WHERE content <> ''""", graph=False)
 def doc_sections(s, d):
     return documents.sections(read(s, d, "documents")).select("doc_id", "section", "heading", F.sha1("content").alias("content"))
 

@@ -16,22 +16,25 @@ SIGNALS = {
     "domain-error-message": r"""(?i)["'`][^"'`]*(no se puede|no permitido|requiere|debe |bloqueado|rechazado|not allowed|requires|must )[^"'`]*["'`]""",
     "calculation": r"(?i)\b(calcular?|calc|compute|aplicar|apply)\w*\s*\(",
 }
+# Files that are looked at, and folders that aren't.
 INCLUDE = r"\.(ts|tsx|js|jsx|py|java|cs|go|rb|php)$"
 EXCLUDE = r"(node_modules|dist|build|\.git|test|spec|__tests__|migrations|vendor)"
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, section, heading, label, content. A line of one to four # and a blank starts a section;
-    numbers count up from 0, which is the introduction if text precedes the first heading; blank sections drop."""
+    """docs (doc_id, text) -> doc_id, section, heading, label, content. A line of one to four # and a blank starts a section, whose
+    number is the number of headings so far; what precedes the first is the introduction, number 0. Contents are trimmed; blank
+    sections drop, but their headings count."""
     line = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    heading = F.regexp_extract("line", r"^#{1,4}\s+(.*)$", 1)
-    line = line.withColumn("is_heading", F.col("line").rlike(r"^#{1,4}\s+\S").cast("int")).withColumn("head", F.when(F.col("line").rlike(r"^#{1,4}\s+\S"), F.trim(heading)))
+    pattern = r"^#{1,4}\s+(.*)\z"
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
+    line = line.withColumn("is_heading", F.col("line").rlike(pattern).cast("int"))
+    line = line.withColumn("head", F.when(F.col("is_heading") == 1, trimmed(F.regexp_extract("line", pattern, 1))))
     w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     line = line.withColumn("part", F.sum("is_heading").over(w))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_heading") == 0, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    part = line.groupBy("doc_id", "part").agg(F.max("head").alias("head"), body.alias("content")).where(~F.col("content").rlike(r"^\s*$"))
-    number = F.row_number().over(W.partitionBy("doc_id").orderBy("part")) - 1
-    out = part.withColumn("section", number).withColumn("heading", F.coalesce("head", F.lit(INTRODUCTION)))
+    part = line.groupBy("doc_id", "part").agg(F.max("head").alias("head"), trimmed(body).alias("content")).where("content <> ''")
+    out = part.withColumn("section", F.col("part").cast("int")).withColumn("heading", F.coalesce("head", F.lit(INTRODUCTION)))
     return out.select("doc_id", "section", "heading", F.concat(F.col("section").cast("string"), F.lit(". "), F.col("heading")).alias("label"), "content")
 
 

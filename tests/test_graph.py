@@ -384,7 +384,9 @@ def test_stream_equals_one_batch(spark, tmp_path):
 
 def test_sections_html_and_candidates(spark):
     docs = spark.createDataFrame([("d", "intro\n# Uno\ntexto\n\n## Vacío\n  \n### Dos\nmás")], "doc_id string, text string")
-    assert [(r.section, r.label, r.content) for r in documents.sections(docs).orderBy("section").collect()] == [(0, "0. introducción", "intro"), (1, "1. Uno", "texto\n"), (2, "2. Dos", "más")]
+    assert [(r.section, r.label, r.content) for r in documents.sections(docs).orderBy("section").collect()] == [(0, "0. introducción", "intro"), (1, "1. Uno", "texto"), (3, "3. Dos", "más")]
+    manual = spark.createDataFrame([("m", "# Manual\nuno\n## Pagos\n dos \n#### \ntres\n##### cinco")], "doc_id string, text string")
+    assert [(r.label, r.content) for r in documents.sections(manual).orderBy("section").collect()] == [("1. Manual", "uno"), ("2. Pagos", "dos"), ("3. ", "tres\n##### cinco")]
     assert documents.titles(docs).head().title == "Uno"
     html = "<h1 class=a>T</h1><p>a &amp;lt; b</p><ul><li>x<li>y</ul><script>no()</script><td>c</td>"
     assert value(spark, documents.html_text(F.lit(html))) == "# T\n\na &lt; b\n\n- x\n- y\n c"
