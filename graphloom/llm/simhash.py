@@ -193,12 +193,13 @@ def merge_groups(parts: DataFrame, others: DataFrame) -> DataFrame:
     return materialise(out.select(F.coalesce("whole", "component").alias("component"), "at"), "parts")
 
 
-def drop_near_duplicates(docs: DataFrame, bits: int = 4, words: int = 5, similarity: float | None = 0.8, block: int = BLOCK) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, bits: int = 4, words: int = 5, similarity: float | None = None, block: int = BLOCK) -> DataFrame:
     """The rows of docs (doc_id, text, ...), with their columns, that stay when one row of each group does: that with the
     smallest doc_id (null last; ties by a hash of the text, then any of equal rows).
 
-    Documents are linked if their fingerprints differ in at most `bits` bits, and also, as fingerprints tell only part of the
-    pairs of middling similarity, if the exact Jaccard similarity of their shingle sets is `similarity` or more (None: not).
+    Documents are linked if their fingerprints differ in at most `bits` of 64 bits. Fingerprints tell only part of the pairs of
+    middling similarity: with `similarity`, documents whose shingle sets have that Jaccard similarity or more are linked too,
+    every pair of them. That costs a comparison for each pair of a group that is nearly, but not quite, so similar.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", row_key(), "text")
     prints = materialise(with_fingerprint(rows, "doc_id", "rk", words=words), "fingerprints")

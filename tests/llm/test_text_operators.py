@@ -378,7 +378,7 @@ def test_near_copies_that_fingerprints_miss(spark):
     fp = {i: int(simhash.fingerprints(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)[0]) for i, t in rows}
     near = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4 or len(five[a] & five[b]) >= 0.8 * len(five[a] | five[b])
     part = components([(a, b) for a in five for b in five if a < b and near(a, b)], five)
-    got = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
     assert got == set(part.values()) and len(got) < len(rows)
 
 

@@ -94,8 +94,6 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_near_copies_of_similarity_08_go(spark):
-    from corpus_pipeline import drop_near_copies
-
     rng = random.Random(14)
     say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
     rows = []
@@ -128,9 +126,9 @@ def test_near_copies_of_similarity_08_go(spark):
         if part[k] not in seen:
             seen.add(part[k])
             want.append(rows[k])
-    got = drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str) and len(want) < len(rows) - 20
-    assert drop_near_copies(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+    assert simhash.drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string"), similarity=0.8).count() == 0
 
 
 def test_pipeline_of_odd_tables(spark, tmp_path):
