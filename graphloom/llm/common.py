@@ -72,15 +72,15 @@ def byte_at(table: bytes, at: Column) -> Column:
     return F.ascii(F.substring(F.lit(bytearray(table)), at.cast("int") + 1, F.lit(1)).cast("string"))
 
 
-def filter_cells(hashes: DataFrame) -> DataFrame:
-    """The hash cells of column h, as a small table on storage (FILTER_CELLS rows at most)."""
-    cells = hashes.select(F.pmod("h", F.lit(FILTER_CELLS)).cast("int").alias("_cell")).groupBy("_cell").agg(F.lit(1))
+def filter_cells(hashes: DataFrame, size: int = FILTER_CELLS) -> DataFrame:
+    """The hash cells of column h, as a small table on storage (`size` rows at most)."""
+    cells = hashes.select(F.pmod("h", F.lit(size)).cast("int").alias("_cell")).groupBy("_cell").agg(F.lit(1))
     return materialise(cells.select("_cell"), "cells")
 
 
-def maybe_in(rows: DataFrame, h: Column, cells: DataFrame, found: bool = True) -> DataFrame:
-    """Rows whose hash falls in one of the cells; found=False: those that surely weren't among the hashed."""
-    return rows.join(F.broadcast(cells), F.pmod(h, F.lit(FILTER_CELLS)).cast("int") == F.col("_cell"), "left_semi" if found else "left_anti")
+def maybe_in(rows: DataFrame, h: Column, cells: DataFrame, found: bool = True, size: int = FILTER_CELLS) -> DataFrame:
+    """Rows whose hash falls in one of the cells (of so many); found=False: those that surely weren't among the hashed."""
+    return rows.join(F.broadcast(cells), F.pmod(h, F.lit(size)).cast("int") == F.col("_cell"), "left_semi" if found else "left_anti")
 
 
 def row_key() -> Column:

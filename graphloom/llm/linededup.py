@@ -26,6 +26,8 @@ from .common import byte_at, discard, filter_cells, materialise, maybe_in, row_k
 
 #: Cells of the table of word counts (a byte each in the plan).
 CELLS = 1 << 18
+#: Cells of the filter on tokens: so many rows, of an integer each, are broadcast at most.
+TOKEN_CELLS = 1 << 22
 MASK = (1 << 48) - 1
 #: Distinct words from which a line has 128 parities, rather than 64.
 LONG = 48
@@ -142,8 +144,8 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
     def matched(some: DataFrame) -> DataFrame:
         """s1 of the classes of some (rows of later) that have an earlier match."""
         some = materialise(some, "open")
-        shared = filter_cells(some.select(F.xxhash64("token").alias("h")))
-        earlier = maybe_in(tokens, F.xxhash64("token"), shared).alias("x").join(some.alias("y"), _candidates(num, den, "x", "y") & order, "left_semi")
+        shared = filter_cells(some.select(F.xxhash64("token").alias("h")), TOKEN_CELLS)
+        earlier = maybe_in(tokens, F.xxhash64("token"), shared, size=TOKEN_CELLS).alias("x").join(some.alias("y"), _candidates(num, den, "x", "y") & order, "left_semi")
         earlier = materialise(earlier, "earlier")
         texts = _first_lines(docs, classes, some.select("s1").union(earlier.select("s1")))
         y, x = some.join(texts, "s1").alias("y"), earlier.join(texts, "s1").alias("x")
