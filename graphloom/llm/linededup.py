@@ -26,8 +26,8 @@ from .common import byte_at, discard, filter_cells, materialise, maybe_in, row_k
 
 #: Cells of the table of word counts (a byte each in the plan).
 CELLS = 1 << 18
-#: Cells of the filter on tokens: so many rows, of an integer each, are broadcast at most.
-TOKEN_CELLS = 1 << 22
+#: Bytes of the bitmap that tells which tokens may be wanted, of seven bits each (in the plan).
+BITMAP = 1 << 18
 MASK = (1 << 48) - 1
 #: Distinct words from which a line has 128 parities, rather than 64.
 LONG = 48
@@ -65,6 +65,22 @@ def rarity(docs: DataFrame) -> bytes:
     return bytes(table)
 
 
+def bitmap(tokens: DataFrame) -> bytes:
+    """Marks the tokens (column token); BITMAP rows at most reach the driver."""
+    cell = F.pmod(F.xxhash64("token"), F.lit(7 * BITMAP))
+    bits = tokens.select(F.floor(cell / 7).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1), (cell % 7).cast("int")).alias("bit"))
+    found, table = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas(), bytearray(BITMAP)
+    for at, b in zip(found["at"], found["bits"]):
+        table[at] = b
+    return bytes(table)
+
+
+def marked(token: Column, table: bytes) -> Column:
+    """Whether a bitmap has a token: always for those that it was made of, seldom for others while it isn't full."""
+    cell = F.pmod(F.xxhash64(token), F.lit(7 * BITMAP))
+    return byte_at(table, F.floor(cell / 7)).bitwiseAND(F.call_function("shiftleft", F.lit(1), (cell % 7).cast("int"))) != 0
+
+
 def tokenised(docs: DataFrame, ranks: bytes, num: int, den: int) -> DataFrame:
     """doc_id, rk, line_no, n (distinct words), s1 and s2 (hashes of the token set), prefix, sig, sig2.
 
@@ -144,8 +160,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
     def matched(some: DataFrame) -> DataFrame:
         """s1 of the classes of some (rows of later) that have an earlier match."""
         some = materialise(some, "open")
-        shared = filter_cells(some.select(F.xxhash64("token").alias("h")), TOKEN_CELLS)
-        earlier = maybe_in(tokens, F.xxhash64("token"), shared, size=TOKEN_CELLS).alias("x").join(some.alias("y"), _candidates(num, den, "x", "y") & order, "left_semi")
+        earlier = tokens.where(marked(F.col("token"), bitmap(some))).alias("x").join(some.alias("y"), _candidates(num, den, "x", "y") & order, "left_semi")
         earlier = materialise(earlier, "earlier")
         texts = _first_lines(docs, classes, some.select("s1").union(earlier.select("s1")))
         y, x = some.join(texts, "s1").alias("y"), earlier.join(texts, "s1").alias("x")
@@ -153,7 +168,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
         similar = F.size(F.array_intersect(wx, wy)).cast("long") * (num + den) >= (F.size(wx) + F.size(wy)).cast("long") * num
         before = F.col("x.at") < F.col("y.at")
         out = materialise(y.join(x, _candidates(num, den, "x", "y") & before & similar, "left_semi").select("s1").distinct(), "matched")
-        discard(some, shared, earlier, texts)
+        discard(some, earlier, texts)
         return out
 
     rarest = later.groupBy("s1").agg(F.min("np").alias("np"))  # under their rarest token first
