@@ -116,6 +116,13 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         first = end
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for work that holds several copies of a batch or gives its texts back."""
+    for b in batches:
+        for first in range(0, b.num_rows, rows):
+            yield b.slice(first, rows)
+
+
 def byte_classes(**members: bytes) -> np.ndarray:
     """A table from byte to class: members' classes count up from 0; bytes that none has get the next class."""
     out = np.full(256, len(members), np.uint8)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prefix_hashes, range_hashes, text_chunks, tokens
+from .common import materialise, prefix_hashes, range_hashes, slices, text_chunks, tokens
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Ids that `hashed_words` gives to words.
@@ -104,7 +104,7 @@ def best_fit_packing(
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lists = encode(b, 1)
             values, edges = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
             size = np.diff(edges)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, byte_classes, materialise, prefix_hashes, range_hashes, shingle_hashes, text_chunks, tokens
+from .common import SPACE, byte_classes, materialise, prefix_hashes, range_hashes, shingle_hashes, slices, text_chunks, tokens
 
 BITS = 16
 SCALE, PRIOR = 30.0, 25.0
@@ -58,7 +58,7 @@ def with_log_weight(docs: DataFrame, model: QualityModel, text: str = "text", ou
     position = docs.columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.log_weights(b.column(position)))], names=[*b.schema.names, out])
 
     return docs.mapInArrow(score, docs.drop(out).schema.add(out, "double"))
