@@ -37,8 +37,17 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows for the session, unless it has a number of its own: 10,000 whole texts, Spark's default, are tens of
+    MB, which JVM and Python hold several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends here, and a lost executor loses nothing."""
+    bound_batches(df.sparkSession)
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
