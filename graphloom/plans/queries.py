@@ -322,16 +322,26 @@ def stale_edges(s, d):
     return review.mark_stale(e, live, live.where("run >= '1997'")).select("id", F.col("status").alias("new_status"))
 
 
+def merged_suppliers(s, d) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The merges of each nation's suppliers into its first one, and what they make of the graph."""
+    from pyspark.sql import Window as W
+
+    none = F.lit(None).cast("string")
+    n = project.nodes(s, d).withColumn("attrs", none)
+    ev = cut(project.evidence(s, d).withColumn("pos", F.lit(0)), "evidence")
+    e = cut(_edges(s, d).withColumn("attrs", none), "edges")
+    sup = read(s, d, "supplier").select("s_suppkey", F.min("s_suppkey").over(W.partitionBy("s_nationkey")).alias("into")).where("s_suppkey <> into")
+    name = lambda c: F.concat(F.lit("system-supplier-"), F.col(c).cast("string"))
+    asked = sup.select(F.col("s_suppkey").cast("string").alias("id"), name("s_suppkey").alias("source"), name("into").alias("into"))
+    alias = n.where("alias is not null").select(F.col("id").alias("node_id"), F.lit(0).alias("pos"), "alias")
+    return asked, review.accept_merges(n, alias, e, ev, asked)
+
+
 @query(""", m AS (SELECT 'system-supplier-' || s_suppkey AS source, 'system-supplier-' || min(s_suppkey) OVER (PARTITION BY s_nationkey) AS target FROM supplier),
   moved AS (SELECT sha1(r.type || '|' || r.source_id || '|' || split_part(r.target_ref, '/', 1) || '/' || coalesce(m.target, r.target_id)) AS id, r.* EXCLUDE (owner_id) FROM raw r JOIN (SELECT owner_id, ev_key, min(o1) FROM ev GROUP BY ALL) k USING (owner_id, ev_key) LEFT JOIN m ON r.target_id = m.source),
   dist AS (SELECT DISTINCT id, ev_key FROM moved) SELECT id, count(*)::BIGINT AS n_evidence FROM dist GROUP BY id""")
 def merge_accept(s, d):
-    n, e, ev = project.nodes(s, d).withColumn("attrs", F.lit(None).cast("string")), cut(_edges(s, d).withColumn("attrs", F.lit(None).cast("string")), "edges"), cut(project.evidence(s, d).withColumn("pos", F.lit(0)), "evidence")
-    from pyspark.sql import Window as W
-    sup = read(s, d, "supplier").select("s_suppkey", F.min("s_suppkey").over(W.partitionBy("s_nationkey")).alias("into")).where("s_suppkey <> into")
-    asked = sup.select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("system-supplier-"), F.col("s_suppkey").cast("string")).alias("source"), F.concat(F.lit("system-supplier-"), F.col("into").cast("string")).alias("into"))
-    alias = n.where("alias is not null").select(F.col("id").alias("node_id"), F.lit(0).alias("pos"), "alias")
-    return review.accept_merges(n, alias, e, ev, asked)["edges"].select("id", "n_evidence")
+    return merged_suppliers(s, d)[1]["edges"].select("id", "n_evidence")
 
 
 @query("SELECT tray, count(*)::BIGINT AS n FROM (SELECT 'low_confidence' AS tray FROM edges WHERE confidence < 0.7 AND status = 'active' UNION ALL SELECT 'conflict' FROM edges WHERE status = 'conflicted' UNION ALL SELECT 'merge' FROM part WHERE p_size > 25 UNION ALL SELECT 'revertible' FROM supplier WHERE s_acctbal > 0) GROUP BY tray")
@@ -420,7 +430,13 @@ def spreading_activation_1hop(s, d):
     return iterate.spreading_activation(_seeds(s, d, "event"), adj, 1)[0].select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f""", {_ADJ}, deg AS (SELECT src, count(*) AS n FROM adj GROUP BY src), seed AS (SELECT id FROM nodes WHERE type = 'event'),
+  o1 AS (SELECT seed.id AS query_id, dst AS id, edge_id, weight * 0.6 / pow(n, 0.3) AS mass FROM seed JOIN adj ON adj.src = seed.id JOIN deg ON deg.src = seed.id),
+  f1 AS (SELECT query_id, id, mass FROM o1 WHERE id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY edge_id) = 1),
+  o2 AS (SELECT query_id, dst AS id, mass * weight * 0.6 / pow(n, 0.3) AS mass FROM f1 JOIN adj ON adj.src = f1.id JOIN deg ON deg.src = f1.id),
+  dist AS (SELECT query_id, id, min(d) AS distance FROM (SELECT id AS query_id, id, 0 AS d FROM seed UNION ALL SELECT query_id, id, 1 FROM f1 UNION ALL SELECT query_id, id, 2 FROM o2) GROUP BY ALL),
+  act AS (SELECT id AS query_id, id, 1.0::DOUBLE AS score FROM seed UNION ALL SELECT query_id, id, mass FROM o1 UNION ALL SELECT query_id, id, mass FROM o2)
+  SELECT query_id, id, round(sum(score), 6) AS score, min(distance)::INT AS distance FROM act JOIN dist USING (query_id, id) GROUP BY ALL""")
 def spreading_activation_2hop(s, d):
     adj = cut(traversal.adjacency(_edges(s, d)), "adjacency")
     return iterate.spreading_activation(_seeds(s, d, "event"), adj, 2)[0].select("query_id", "id", F.round("score", 6).alias("score"), "distance")
