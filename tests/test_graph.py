@@ -193,6 +193,15 @@ def test_search_phrases_prefixes_and_types(spark):
     assert q("prepago-sin") == [] and q("pre*") == ["2"] and q("pedido ur*") == ["1"] and q("") == [] and q("pedido nowhere") == []
 
 
+def test_aliases_roll_up_for_search(spark):
+    nodes = spark.createDataFrame([("1", "entity", "Cliente", None), ("2", "entity", "Otro", "comprador")], "id string, type string, name string, description string")
+    aliases = spark.createDataFrame([("1", 1, "comprador"), ("1", 0, "buyer")], "node_id string, pos int, alias string")
+    docs = search.with_aliases(nodes, aliases)
+    assert {r.id: (r.aliases, r.description) for r in docs.collect()} == {"1": ("buyer comprador", ""), "2": ("", "comprador")}
+    found = search.search(spark.createDataFrame([("q", "comprador")], "query_id string, query string"), docs).orderBy("rank").collect()
+    assert [r.id for r in found] == ["1", "2"]  # an alias weighs more than a description
+
+
 def test_plan_vetoes_and_modes(spark):
     from graphloom.schemas import RetrievalConfig
 
