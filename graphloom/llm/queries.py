@@ -8,17 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, hilbert, langid, linededup, packing, quality, rindex, secrets, simhash, sstable
+from . import containment, hilbert, langid, linededup, packing, periodic, quality, rindex, secrets, simhash, sstable, tokencount
 from .common import table
 
 
-def tokenizer_path() -> str:
-    """The public vocabulary's file; GRAPHLOOM_TOKENIZER names another."""
-    if found := os.environ.get("GRAPHLOOM_TOKENIZER"):
+def tokenizer_path(name: str = "word_bpe_49k.json", variable: str = "GRAPHLOOM_TOKENIZER") -> str:
+    """The public vocabulary's file; the environment variable names another."""
+    if found := os.environ.get(variable):
         return found
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +65,35 @@ def op10_line_set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_importance_resampling, op2_run_length_index, op3_benchmark_containment, op4_language_mixture, op5_simhash_near_dedup, op6_best_fit_packing, op7_randomness_secrets, op8_hilbert_neighbours, op9_sorted_string_table, op10_line_set_similarity)}
+def op11_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json", "GRAPHLOOM_BYTE_TOKENIZER"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The documents' ids and texts; of those whose id's crc32 h is divisible by 10, word i >= a becomes word a+(i-a)%p, where
+    a=g%n, p=1+floor((n-a)/(3+g%8)), g=floor(h/10), n words. A null id counts as an empty one."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    picked = rows.withColumn("w", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")))
+    n = F.size("w")
+    picked = picked.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    picked = picked.withColumn("p", F.when(n > 0, 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.element_at("w", F.col("a") + (i - F.col("a")) % F.col("p") + 1)))
+    return picked.select("doc_id", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    order = "array_sort(runs, (x, y) -> CASE WHEN x.length <> y.length THEN sign(y.length - x.length) WHEN x.start <> y.start THEN sign(x.start - y.start) ELSE sign(x.period - y.period) END::int)"
+    best = F.try_element_at(F.expr(order), F.lit(1))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_importance_resampling, op2_run_length_index, op3_benchmark_containment, op4_language_mixture, op5_simhash_near_dedup, op6_best_fit_packing, op7_randomness_secrets, op8_hilbert_neighbours, op9_sorted_string_table, op10_line_set_similarity, op11_whole_token_counts, op13_periodic_runs)}
 ORACLES: dict[str, str] = {}
