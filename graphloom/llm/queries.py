@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, hilbert, langid, linededup, packing, periodic, quality, rindex, secrets, simhash, sstable, tokencount
+from . import blocksearch, containment, hilbert, langid, linededup, packing, periodic, quality, rindex, secrets, simhash, sstable, tokencount
 from .common import table
 
 
@@ -69,6 +69,37 @@ def op11_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json", "GRAPHLOOM_BYTE_TOKENIZER"))
 
 
+def op12_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocksearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH terms AS (
+  SELECT row_key, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row_key, doc_id, text FROM documents)),
+asked AS (
+  SELECT DISTINCT item_key, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS item_key, item_id, text FROM benchmark)),
+sizes AS (SELECT row_key, count(*) AS n FROM terms GROUP BY row_key),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+found AS (SELECT row_key, doc_id, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM found GROUP BY term), whole),
+impacts AS (
+  SELECT row_key, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)) AS impact
+  FROM found JOIN sizes USING (row_key), whole),
+scores AS (
+  SELECT item_key, item_id, row_key, doc_id, sum(w * impact)::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL HAVING sum(w * impact) > 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scores)
+SELECT item_id, rank::INTEGER AS rank, doc_id::BIGINT AS doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def with_repeats(docs: DataFrame) -> DataFrame:
     """The documents' ids and texts; of those whose id's crc32 h is divisible by 10, word i >= a becomes word a+(i-a)%p, where
     a=g%n, p=1+floor((n-a)/(3+g%8)), g=floor(h/10), n words. A null id counts as an empty one."""
@@ -95,5 +126,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_importance_resampling, op2_run_length_index, op3_benchmark_containment, op4_language_mixture, op5_simhash_near_dedup, op6_best_fit_packing, op7_randomness_secrets, op8_hilbert_neighbours, op9_sorted_string_table, op10_line_set_similarity, op11_whole_token_counts, op13_periodic_runs)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_importance_resampling, op2_run_length_index, op3_benchmark_containment, op4_language_mixture, op5_simhash_near_dedup, op6_best_fit_packing, op7_randomness_secrets, op8_hilbert_neighbours, op9_sorted_string_table, op10_line_set_similarity, op11_whole_token_counts, op12_block_search, op13_periodic_runs)}
+ORACLES: dict[str, str] = {"op12_block_search": OP12_SQL}
