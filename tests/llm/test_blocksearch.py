@@ -115,7 +115,7 @@ def test_blocks_of_alike_documents_are_skipped():
     told = []
     found = list(blocksearch.block_search(shard, items, score[-10:-9], 10, lambda passed, skipped: told.append((passed, skipped))))
     assert sorted(found[0][2]) == score[-10:].tolist()
-    assert sum(s for _, s in told) > sum(p for p, _ in told)
+    assert sum(s for _, s in told) >= 45  # of 100 blocks, half hold documents of the other kind
 
 
 def test_query_equals_its_sql(spark, tmp_path):
