@@ -636,8 +636,8 @@ def mmr_seeds(s, d):
 
 @query()
 def similar_nodes(s, d):
-    n = project.nodes(s, d).where("type in ('entity', 'rule')")
-    out = retrieve.similar_nodes(_origins(s, d, "rule"), n, cut(_edges(s, d), "edges"))
+    """The ten nodes most like each rule, of all nodes."""
+    out = retrieve.similar_nodes(_origins(s, d, "rule"), project.nodes(s, d), cut(_edges(s, d), "edges"))
     return out.select("origin", "id", F.round("score", 4).alias("score"), "rank")
 
 
