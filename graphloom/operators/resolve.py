@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import node_id_for
-from ..functions.similarity import name_similarity, round4, singular_tokens
-from ..functions.text import match_keys, normalize_text
+from ..functions.similarity import round4
+from ..functions.text import match_keys
 from ..schemas import AUTO_THRESHOLD, GRAY_THRESHOLD
 from .shared import cut
+from .simjoin import similar_pairs
 
 
 def names_of(nodes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -32,48 +33,10 @@ def exact_matches(mentions: DataFrame, labels: DataFrame, typed: bool = True) ->
     return m.join(n, on).groupBy("mention_id").agg(F.min("node_id").alias("node_id"))
 
 
-def _grams(c: Column) -> Column:
-    return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
-
-
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = GRAY_THRESHOLD, typed: bool = True) -> DataFrame:
-    """left (a, type, label), right (b, type, label) -> a, b, score: pairs of one type with `name_similarity` of at least
-    `threshold` (over all labels of a and b).
-
-    Candidates meet in blocks: on a common singular token, on a common trigram of normal forms whose lengths allow the edit
-    similarity, and, for lengths at which similar names may share no trigram, on type and length. For edit similarity t and
-    L characters, k = floor((1 - t) * L) edits leave L - 2 - 3 * k common trigrams at least; where that isn't positive the
-    length block takes over, so no pair is lost."""
-    t = F.col("type") if typed else F.lit("")
-
-    def side(df: DataFrame, key: str) -> DataFrame:
-        s = df.select(F.col(key), t.alias("t"), "label", normalize_text("label").alias("n")).where("n <> ''").distinct()
-        return s.withColumn("len", F.length("n"))
-
-    x, y = side(left, "a"), side(right, "b").withColumnRenamed("label", "label_b").withColumnRenamed("n", "n_b").withColumnRenamed("len", "len_b")
-    longest = F.greatest("len", "len_b")
-    edits = F.floor(longest * (1 - threshold) + 1e-9)
-    near = F.abs(F.col("len") - F.col("len_b")) <= edits
-    by_token = x.withColumn("k", F.explode(singular_tokens("label"))).join(y.withColumn("k", F.explode(singular_tokens("label_b"))), ["t", "k"])
-    gx, gy = x.withColumn("k", F.explode(_grams(F.col("n")))), y.withColumn("k", F.explode(_grams(F.col("n_b"))))
-    by_gram = gx.join(gy, ["t", "k"]).where(near)
-    blind = lambda n: n - 2 - 3 * F.floor(n * (1 - threshold) + 1e-9) <= 0
-    reach = int(1 / threshold * 12) + 2
-    sx = x.where(F.col("len") <= 12).withColumn("k", F.explode(F.sequence(F.col("len"), F.col("len") + F.ceil(F.col("len") * (1 / threshold - 1)).cast("int"))))
-    short = sx.where(F.col("k") <= reach).join(y, (F.col("k") == F.col("len_b")) & (sx["t"] == y["t"])).drop(y["t"])
-    sy = y.where(F.col("len_b") <= 12).withColumn("k", F.explode(F.sequence(F.col("len_b") + 1, F.col("len_b") + 1 + F.ceil(F.col("len_b") * (1 / threshold - 1)).cast("int"))))
-    short2 = sy.where(F.col("k") <= reach).join(x, (F.col("k") == F.col("len")) & (sy["t"] == x["t"])).drop(x["t"])
-    cols = ["a", "b", "label", "label_b"]
-    short = short.where(blind(longest) & near).select(*cols).unionByName(short2.where(blind(longest) & near).select(*cols))
-    pairs = by_token.select(*cols).unionByName(by_gram.select(*cols)).unionByName(short).distinct()
-    scored = pairs.withColumn("score", name_similarity("label", "label_b")).where(F.col("score") >= threshold)
-    return scored.groupBy("a", "b").agg(F.max("score").alias("score"))
-
-
 def duplicate_audit(nodes: DataFrame, aliases: DataFrame | None = None, linked: DataFrame | None = None, threshold: float = GRAY_THRESHOLD) -> DataFrame:
     """Pairs of nodes of one type (a < b) whose names or aliases are similar and that no proposal or merge links (a, b)."""
     labels = names_of(nodes, aliases)
-    pairs = similar_pairs(labels.withColumnRenamed("id", "a"), labels.withColumnRenamed("id", "b"), threshold).where("a < b")
+    pairs = similar_pairs(labels.withColumnRenamed("id", "a"), None, threshold)
     if linked is not None:
         both = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = pairs.join(both, ["a", "b"], "left_anti")
