@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.similarity import edge_weight
+from ..sources.derived import Adjacency, degree_rows, follow, store_adjacency
 from . import lookup
 from .shared import cut
 
@@ -17,19 +18,21 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_id", "type", "weight"))
 
 
-def degrees(adj: DataFrame, penalty: float = 0.3) -> DataFrame:
+def degrees(adj: Adjacency | DataFrame, penalty: float = 0.3) -> DataFrame:
     """id, degree, weighted, damping (degree to the power of `penalty`)."""
-    return adj.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"), F.sum("weight").alias("weighted")).withColumn("damping", F.pow(F.col("degree").cast("double"), F.lit(penalty)))
+    own = degree_rows(adj).select(F.col("src").alias("id"), "degree", "weighted")
+    return own.withColumn("damping", F.pow(F.col("degree").cast("double"), F.lit(penalty)))
 
 
-def reach(origins: DataFrame, hops: DataFrame, depth: int) -> DataFrame:
+def reach(origins: DataFrame, hops: Adjacency | DataFrame, depth: int) -> DataFrame:
     """origins (origin) over hops (src, dst) -> origin, id, distance: the least number of hops, the origin itself at 0.
 
-    One join a hop, keyed by origin; nodes seen before drop out by an anti join; stops when a hop finds nothing new."""
+    One join a hop, which exchanges the newest nodes only if hops is a stored adjacency; nodes seen before drop out by an anti join;
+    stops when a hop finds nothing new."""
     seen = cut(origins.select("origin", F.col("origin").alias("id"), F.lit(0).alias("distance")).distinct(), "reach")
-    front, hops = seen, hops.select("src", "dst").distinct()
+    front = seen
     for d in range(1, depth + 1):
-        new = front.join(hops, F.col("id") == F.col("src")).select("origin", F.col("dst").alias("id")).distinct()
+        new = follow(front.select("origin", F.col("id").alias("at")), hops, "at").select("origin", F.col("dst").alias("id")).distinct()
         front = cut(new.join(seen.select("origin", "id"), ["origin", "id"], "left_anti").withColumn("distance", F.lit(d)), "front")
         if front.isEmpty():
             break
@@ -37,15 +40,15 @@ def reach(origins: DataFrame, hops: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def neighbourhood(origins: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 1, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def neighbourhood(origins: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 1, types: list[str] | None = None, adj: Adjacency | None = None) -> tuple[DataFrame, DataFrame]:
     """(origin, id, distance of existing nodes; origin, edge_id of edges at nodes nearer than `depth`). Undirected; missing
-    nodes are passed through but not returned."""
+    nodes are passed through but not returned. adj: the stored adjacency of the edges of these types, if there is one."""
     e = edges.where(F.col("type").isin(types)) if types else edges
-    adj = adjacency(e)
+    adj = adj or store_adjacency(adjacency(e))
     seen = reach(origins, adj, depth)
-    inner = seen.where(F.col("distance") < depth)
-    loops = e.where("source_id = target_id").select(F.col("source_id").alias("src"), F.col("id").alias("edge_id"))
-    touched = inner.join(adj.select("src", "edge_id").unionByName(loops), F.col("id") == F.col("src")).select("origin", "edge_id").distinct()
+    inner = seen.where(F.col("distance") < depth).select("origin", F.col("id").alias("at"))
+    loops = e.where("source_id = target_id").select(F.col("source_id").alias("at"), F.col("id").alias("edge_id"))
+    touched = follow(inner, adj, "at").select("origin", "edge_id").unionByName(inner.join(loops, "at").select("origin", "edge_id")).distinct()
     return lookup.existing(seen, nodes), touched
 
 
@@ -61,21 +64,22 @@ def impact(origins: DataFrame, nodes: DataFrame, edges: DataFrame, direction: st
     """origin, id, distance of the nodes that a change reaches (without the origin). direction: downstream, upstream or both;
     both is the union of the two, with the smaller distance. Unknown origins reach nothing."""
     known = origins.select("origin").join(nodes.select(F.col("id").alias("origin")), "origin", "left_semi")
-    parts = [reach(known, impact_edges(edges, up), depth) for up in ((False, True) if direction == "both" else (direction == "upstream",))]
+    parts = [reach(known, store_adjacency(impact_edges(edges, up)), depth) for up in ((False, True) if direction == "both" else (direction == "upstream",))]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy("origin", "id").agg(F.min("distance").alias("distance"))
     return lookup.existing(rows.where("distance > 0"), nodes)
 
 
-def weighted_jaccard(origins: DataFrame, adj: DataFrame) -> DataFrame:
+def weighted_jaccard(origins: DataFrame, adj: Adjacency | DataFrame) -> DataFrame:
     """origins (origin) -> origin, id, jaccard: sum of minima over sum of maxima of the weights to common neighbours, for all
-    nodes that share a neighbour with the origin."""
-    w = adj.groupBy("src", "dst").agg(F.max("weight").alias("w"))
-    total = w.groupBy("src").agg(F.sum("w").alias("total"))
-    own = w.join(origins, F.col("src") == F.col("origin")).select("origin", "dst", F.col("w").alias("wa"))
-    met = own.join(w.select(F.col("src").alias("id"), "dst", F.col("w").alias("wb")), "dst").where("id <> origin")
+    nodes that share a neighbour with the origin. Two steps along the adjacency; those through a hub are dealt over its slices."""
+    own = follow(origins.select("origin").distinct(), adj, "origin").groupBy("origin", F.col("dst").alias("mid")).agg(F.max("weight").alias("wa"))
+    met = follow(own, adj, "mid").where("dst <> origin").select("origin", F.col("dst").alias("id"), "mid", "wa", "weight")
+    # one exchange serves both sums: over parallel edges, then over common neighbours
+    met = met.repartition("origin", "id").groupBy("origin", "id", "mid", "wa").agg(F.max("weight").alias("wb"))
     shared = met.groupBy("origin", "id").agg(F.sum(F.least("wa", "wb")).alias("least"))
-    a = total.select(F.col("src").alias("origin"), F.col("total").alias("ta"))
-    b = total.select(F.col("src").alias("id"), F.col("total").alias("tb"))
+    total = degree_rows(adj)
+    a = total.select(F.col("src").alias("origin"), F.col("pair_weight").alias("ta"))
+    b = total.select(F.col("src").alias("id"), F.col("pair_weight").alias("tb"))
     return shared.join(a, "origin").join(b, "id").select("origin", "id", (F.col("least") / (F.col("ta") + F.col("tb") - F.col("least"))).alias("jaccard"))
 
 

@@ -14,6 +14,7 @@ from ..operators import diff, evidence, iterate, lookup, resolve, retrieve, revi
 from ..operators.shared import cut
 from ..schemas import RetrievalConfig
 from ..sources import batches, documents
+from ..sources.derived import store_adjacency
 from . import project
 from .project import read, sql
 
@@ -414,7 +415,7 @@ def verification_targets(s, d):
   j AS (SELECT a.src AS origin, b.src AS id, sum(least(a.w, b.w)) AS l FROM m a JOIN nodes n ON n.id = a.src AND n.type = 'rule' JOIN m b ON a.dst = b.dst AND b.src <> a.src GROUP BY ALL)
   SELECT origin, id, round(l / (ta.total + tb.total - l), 6) AS jaccard FROM j JOIN t ta ON ta.src = origin JOIN t tb ON tb.src = j.id""")
 def weighted_jaccard(s, d):
-    adj = cut(traversal.adjacency(_edges(s, d)), "adjacency")
+    adj = store_adjacency(traversal.adjacency(_edges(s, d)))
     return traversal.weighted_jaccard(_origins(s, d, "rule"), adj).select("origin", "id", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -426,7 +427,7 @@ def _seeds(s, d, type_: str) -> DataFrame:
   act AS (SELECT id AS query_id, id, 1.0::DOUBLE AS score FROM seed UNION ALL SELECT seed.id, dst, weight * 0.6 / pow(n, 0.3) FROM seed JOIN adj ON adj.src = seed.id JOIN deg ON deg.src = seed.id)
   SELECT query_id, id, round(sum(score), 6) AS score FROM act GROUP BY ALL""")
 def spreading_activation_1hop(s, d):
-    adj = cut(traversal.adjacency(_edges(s, d)), "adjacency")
+    adj = store_adjacency(traversal.adjacency(_edges(s, d)))
     return iterate.spreading_activation(_seeds(s, d, "event"), adj, 1)[0].select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -438,7 +439,7 @@ def spreading_activation_1hop(s, d):
   act AS (SELECT id AS query_id, id, 1.0::DOUBLE AS score FROM seed UNION ALL SELECT query_id, id, mass FROM o1 UNION ALL SELECT query_id, id, mass FROM o2)
   SELECT query_id, id, round(sum(score), 6) AS score, min(distance)::INT AS distance FROM act JOIN dist USING (query_id, id) GROUP BY ALL""")
 def spreading_activation_2hop(s, d):
-    adj = cut(traversal.adjacency(_edges(s, d)), "adjacency")
+    adj = store_adjacency(traversal.adjacency(_edges(s, d)))
     return iterate.spreading_activation(_seeds(s, d, "event"), adj, 2)[0].select("query_id", "id", F.round("score", 6).alias("score"), "distance")
 
 
@@ -446,13 +447,13 @@ def spreading_activation_2hop(s, d):
   mv AS (SELECT seed.id AS query_id, dst AS id, 0.85 * sum(weight / t) AS r FROM seed JOIN adj ON adj.src = seed.id JOIN tot ON tot.src = seed.id GROUP BY ALL UNION ALL SELECT id, id, 0.15 FROM seed)
   SELECT query_id, id, round(sum(r), 8) AS rank FROM mv GROUP BY ALL""")
 def pagerank_1_round(s, d):
-    adj = cut(traversal.adjacency(_edges(s, d)), "adjacency")
+    adj = store_adjacency(traversal.adjacency(_edges(s, d)))
     return iterate.pagerank(_seeds(s, d, "policy"), adj, rounds=1).select("query_id", "id", F.round("rank", 8).alias("rank"))
 
 
 @query()
 def pagerank(s, d):
-    adj = cut(traversal.adjacency(_edges(s, d)), "adjacency")
+    adj = store_adjacency(traversal.adjacency(_edges(s, d)))
     return iterate.pagerank(_seeds(s, d, "policy"), adj).select("query_id", "id", F.round("rank", 8).alias("rank"))
 
 
@@ -471,7 +472,7 @@ def k_paths(s, d):
 @query()
 def spectral_similarity(s, d):
     """Structural vectors of all nodes with edges."""
-    out = iterate.spectral_embedding(cut(traversal.adjacency(_edges(s, d)), "adjacency"))
+    out = iterate.spectral_embedding(store_adjacency(traversal.adjacency(_edges(s, d))))
     return out.select("id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("length"))
 
 

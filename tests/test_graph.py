@@ -14,6 +14,7 @@ from graphloom.functions import ids, similarity, text
 from graphloom.operators import diff, evidence, iterate, lookup, resolve, retrieve, review, search, traversal, validate, vectors
 from graphloom.operators.apply import empty_graph, import_batch, run_id
 from graphloom.sources import batches, documents
+from graphloom.sources.derived import edges_of
 from graphloom.sources.snapshots import SnapshotStore
 from graphloom.streaming.ingest import current_graph, ingest_stream
 
@@ -427,12 +428,12 @@ def test_registered_iterations_take_all_edges_and_defaults(spark, monkeypatch):
     seen = []
 
     def vectors_of(adj, *args, **kw):
-        seen.append((adj.select("src").distinct().count(), args, kw))
-        return adj.select(F.col("src").alias("id"), F.array(F.lit(1.0)).alias("vector")).distinct()
+        seen.append((edges_of(adj).select("src").distinct().count(), args, kw))
+        return edges_of(adj).select(F.col("src").alias("id"), F.array(F.lit(1.0)).alias("vector")).distinct()
 
     monkeypatch.setattr(iterate, "spectral_embedding", vectors_of)
     monkeypatch.setattr(retrieve, "spectral_embedding", vectors_of)
-    monkeypatch.setattr(iterate, "pagerank", lambda seeds, adj, *args, **kw: seen.append((adj.select("src").distinct().count(), args, kw)) or seeds.withColumnRenamed("score", "rank"))
+    monkeypatch.setattr(iterate, "pagerank", lambda seeds, adj, *args, **kw: seen.append((edges_of(adj).select("src").distinct().count(), args, kw)) or seeds.withColumnRenamed("score", "rank"))
     for name in ("pagerank", "spectral_similarity", "similar_nodes"):
         queries[name](spark, "").collect()
     assert seen == [(len(ids), (), {})] * 3
