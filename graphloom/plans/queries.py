@@ -486,18 +486,27 @@ def _tok(x: str) -> str:
     return _TOK.format(x=x)
 
 
-def _docs(s, d) -> DataFrame:
-    x = read(s, d, "documents").where("doc_id is not null")
-    return x.select(F.concat(F.lit("entity-doc-"), F.col("doc_id").cast("string")).alias("id"), F.lit("entity").alias("type"), F.array_join(F.slice(tokens("text"), 1, 8), " ").alias("name"), F.lit("").alias("aliases"), F.coalesce("text", F.lit("")).alias("description"))
+def _words(s, d) -> DataFrame:
+    """The documents' tokens, which all that a search needs is made of."""
+    x = read(s, d, "documents").where("doc_id is not null or lang is not null")
+    return cut(x.select("doc_id", "lang", tokens(F.coalesce("text", F.lit(""))).alias("words")), "words")
 
 
-def _queries(s, d) -> DataFrame:
+def _queries(words: DataFrame) -> DataFrame:
     """A query for each language: its two words of 4 to 8 letters that most documents hold."""
     from pyspark.sql import Window as W
-    x = read(s, d, "documents").where("lang is not null").select("lang", "doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term")).where(F.length("term").between(4, 8))
+    x = words.where("lang is not null").select("lang", "doc_id", F.explode(F.array_distinct("words")).alias("term")).where(F.length("term").between(4, 8))
     df = x.groupBy("lang", "term").agg(F.count_distinct("doc_id").alias("df"))
     top = df.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("df"), "term"))).where("n <= 2")
-    return top.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda r: r["term"]), " ").alias("query")).select(F.concat(F.lit("q-"), F.col("lang")).alias("query_id"), "query")
+    top = top.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda r: r["term"]), " ").alias("query"))
+    return cut(top.select(F.concat(F.lit("q-"), F.col("lang")).alias("query_id"), "query"), "queries")
+
+
+def _index(words: DataFrame) -> search.TextIndex:
+    """Documents as entities named by their first eight words."""
+    none = F.array().cast("array<string>").alias("aliases")
+    me = F.concat(F.lit("entity-doc-"), F.col("doc_id").cast("string")).alias("id")
+    return search.store_index(words.where("doc_id is not null").select(me, F.lit("entity").alias("type"), F.slice("words", 1, 8).alias("name"), none, F.col("words").alias("description")))
 
 
 _SEARCH = f"""d AS (SELECT 'entity-doc-' || doc_id AS id, {_tok('coalesce(text, $$$$)')} AS toks FROM documents WHERE doc_id IS NOT NULL),
@@ -515,15 +524,17 @@ def _hits(terms: str, need: str) -> str:
 
 @query(f"WITH {_SEARCH}, h AS ({_hits('q', 'HAVING count(DISTINCT term) = 2')}) SELECT query_id, id, round(score, 6) AS score FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10", graph=False)
 def bm25_search(s, d):
-    return search.search(cut(_queries(s, d), "queries"), cut(_docs(s, d), "docs"), 10).select("query_id", "id", F.round("score", 6).alias("score"))
+    words = _words(s, d)
+    return search.search(_queries(words), None, 10, indexed=_index(words)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_SEARCH}, p AS (SELECT query_id, v.term, v.df FROM q JOIN vocab v ON starts_with(v.term, substr(q.term, 1, 4)) WHERE n = 1),
   h AS (SELECT query_id, id, sum({_BM25}) AS score FROM p JOIN post USING (term) JOIN lens USING (id), tot GROUP BY query_id, id)
   SELECT query_id, id, round(score, 6) AS score FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10""", graph=False)
 def bm25_prefix(s, d):
-    q = _queries(s, d).select("query_id", F.concat(F.substring(F.split("query", " ")[0], 1, 4), F.lit("*")).alias("query"))
-    return search.search(cut(q, "queries"), cut(_docs(s, d), "docs"), 10).select("query_id", "id", F.round("score", 6).alias("score"))
+    words = _words(s, d)
+    q = _queries(words).select("query_id", F.concat(F.substring(F.split("query", " ")[0], 1, 4), F.lit("*")).alias("query"))
+    return search.search(q, None, 10, indexed=_index(words)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 _PRF = f"""{_SEARCH}, h AS ({_hits('q', 'HAVING count(DISTINCT term) = 2')}), fb AS (SELECT query_id, id FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 8),
@@ -535,19 +546,22 @@ _PRF = f"""{_SEARCH}, h AS ({_hits('q', 'HAVING count(DISTINCT term) = 2')}), fb
 
 @query(f"WITH {_PRF} SELECT query_id, term, round(weight, 6) AS weight FROM best", graph=False)
 def prf_terms(s, d):
-    return search.expansion_terms(cut(_queries(s, d), "queries"), cut(_docs(s, d), "docs")).select("query_id", "term", F.round("weight", 6).alias("weight"))
+    words = _words(s, d)
+    return search.expansion_terms(_queries(words), None, indexed=_index(words)).select("query_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {_PRF} SELECT query_id, id, round(score, 6) AS score FROM h2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10", graph=False)
 def prf_search(s, d):
-    return search.prf_search(cut(_queries(s, d), "queries"), cut(_docs(s, d), "docs"), 10).select("query_id", "id", F.round("score", 6).alias("score"))
+    words = _words(s, d)
+    return search.prf_search(_queries(words), None, 10, indexed=_index(words)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_PRF}, l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM h QUALIFY rank <= 45), p AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM h2 QUALIFY rank <= 45),
   f AS (SELECT query_id, id, sum(s) AS score FROM (SELECT query_id, id, 1.0 / (60 + rank) AS s FROM l UNION ALL SELECT query_id, id, 0.5 / (60 + rank) FROM p) GROUP BY ALL)
   SELECT query_id, id, round(score, 8) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) <= 15""", graph=False)
 def rrf_hybrid(s, d):
-    out = retrieve.hybrid(cut(_queries(s, d), "queries"), cut(_docs(s, d), "docs"))
+    words = _words(s, d)
+    out = retrieve.hybrid(_queries(words), None, indexed=_index(words))
     return out.select("query_id", "id", F.round("score", 8).alias("score"))
 
 
@@ -555,7 +569,7 @@ def rrf_hybrid(s, d):
   k AS (SELECT *, CASE WHEN query_id LIKE '%-id' THEN 'id-lookup' WHEN query_id LIKE '%-short' THEN 'keywords' ELSE 'question' END AS kind FROM qs)
   SELECT query_id, kind, channel, CASE channel WHEN 'prf' THEN 0.5 WHEN 'semantic' THEN 0.9 ELSE 1.0 END::DOUBLE AS weight, (kind <> 'id-lookup' OR channel = 'lexical') AND (kind = 'question' OR channel <> 'prf') AS enabled FROM k, (VALUES ('lexical'), ('prf'), ('semantic'), ('multivec')) c(channel)""", graph=False)
 def retrieval_plan(s, d):
-    q = cut(_queries(s, d), "queries")
+    q = _queries(_words(s, d))
     word = F.array_min(F.split("query", " "))
     more = q.select("query_id", F.concat(F.lit("some words about "), "query").alias("query")).unionByName(q.select(F.concat("query_id", F.lit("-short")).alias("query_id"), word.alias("query"))).unionByName(q.select(F.concat("query_id", F.lit("-id")).alias("query_id"), F.concat(F.lit("rule-of-"), word).alias("query")))
     return retrieve.plan(more, RetrievalConfig(mode="auto"), True)
@@ -618,13 +632,14 @@ def staleness(s, d):
 @query()
 def context(s, d):
     """Context of a question for each language, over documents linked by source and language."""
-    docs = cut(_docs(s, d), "docs")
+    words = _words(s, d)
+    text = _index(words)
     x = read(s, d, "documents").where("doc_id is not null")
     me = F.concat(F.lit("entity-doc-"), F.col("doc_id").cast("string"))
     hub = lambda c: x.select(me.alias("source_id"), F.concat(F.lit(f"entity-{c}-"), F.col(c)).alias("target_id"), F.lit("PART_OF").alias("type"), F.lit(0.7).alias("confidence")).where("target_id is not null")
     edges = hub("source").unionByName(hub("lang")).withColumn("id", F.sha1(F.concat_ws("|", "type", "source_id", "target_id")))
-    nodes = docs.select("id", "type", "name").unionByName(edges.select(F.col("target_id").alias("id"), F.lit("entity").alias("type"), F.col("target_id").alias("name")).distinct())
-    kept, _ = retrieve.context(cut(_queries(s, d), "queries"), docs, nodes, cut(edges, "edges"))
+    nodes = text.words.select("id", "type", F.array_join("name", " ").alias("name")).unionByName(edges.select(F.col("target_id").alias("id"), F.lit("entity").alias("type"), F.col("target_id").alias("name")).distinct())
+    kept, _ = retrieve.context(_queries(words), None, nodes, cut(edges, "edges"), indexed=text)
     return kept.select("query_id", "id", "seed", F.round("score", 6).alias("score"), "distance")
 
 
