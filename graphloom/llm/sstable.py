@@ -15,6 +15,7 @@ asks the filter, finds the block in the index by binary search and reads that bl
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 import zlib
@@ -33,6 +34,8 @@ MAGIC = b"GLSST001"
 FOOTER = struct.Struct("<QQQQQQ8s")
 BLOCK_BYTES = 1 << 16
 END_ID = 1
+#: Pieces of more bytes are told apart by a cryptographic hash: polynomial ones modulo 2**64 meet for known pairs of long words.
+LONG = 64
 
 # ---------------------------------------------------------------------------------------------------------------------
 # Keys and files
@@ -217,7 +220,10 @@ class CachedEncoder:
         order = np.argsort(starts, kind="stable")
         starts, ends, doc = starts[order], ends[order], doc[order]
         low = _LOWER[data]
-        h, first, which = np.unique(range_hashes(prefix_hashes(low), starts, ends), return_index=True, return_inverse=True)
+        h = range_hashes(prefix_hashes(low), starts, ends)
+        for k in np.flatnonzero(ends - starts > LONG).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(low[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        h, first, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) + len(h) > self.most:
             self._clear()
         keys = h.tolist()

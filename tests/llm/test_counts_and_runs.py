@@ -151,3 +151,18 @@ def test_query_plants_repeats_and_digests(spark, odd, tmp_path):
     assert sorted(map(str, got)) == sorted(str(plain_digest(r.doc_id, r.text)) for r in docs.collect())
     counts = queries.op11_whole_token_counts(spark, str(tmp_path)).collect()
     assert len(counts) == docs.count() and all(r.over_limit == (r.n_tokens > 512) for r in counts)
+
+
+def test_words_whose_polynomial_hashes_meet_keep_their_ids():
+    """Thue-Morse words of 1,024 letters agree in every polynomial hash modulo 2**64."""
+    import numpy as np
+
+    from graphloom.llm import sstable
+
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    encoder = sstable.CachedEncoder(queries.tokenizer_path())
+    raw = f"{a} {b} {b.upper()} x".encode()
+    ids, n = encoder.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert ids.tolist() == encoder.tokenizer.encode(raw.decode(), add_special_tokens=False).ids and n.tolist() == [len(ids)]
