@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, byte_classes, materialise, new_dir, prefix_hashes, range_hashes, text_chunks, tokens
+from .tokencount import byte_letters
 
+_SPELL = byte_letters()
 MAGIC = b"GLSST001"
 FOOTER = struct.Struct("<QQQQQQ8s")
 BLOCK_BYTES = 1 << 16
@@ -182,8 +184,11 @@ class CachedEncoder:
         self.known: dict[int, int] = {}
         self.start, self.length, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _learn(self, hashes: list[int], pieces: list[str], plain: list[bool]) -> None:
+        """plain: pieces that only need merging; the others pass all of the tokenizer's steps."""
+        merge = self.tokenizer.model.tokenize
+        odd = iter(self.tokenizer.encode_batch_fast([p for p, ok in zip(pieces, plain) if not ok], add_special_tokens=False))
+        found = [[t.id for t in merge(p.lower().encode().decode("latin-1").translate(_SPELL))] if ok else next(odd).ids for p, ok in zip(pieces, plain)]
         n, total = len(self.known) + len(found), self.used + sum(map(len, found))
         if n > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.start, self.length))
@@ -218,7 +223,9 @@ class CachedEncoder:
         keep = ~inside & ~digits
         starts, ends, doc = (np.concatenate(x) for x in zip((starts[keep], ends[keep], doc[keep]), (words[whole], word_ends[whole], word_doc[whole]), more))
         order = np.argsort(starts, kind="stable")
-        starts, ends, doc = starts[order], ends[order], doc[order]
+        plain = np.ones(len(starts), bool)
+        plain[int(keep.sum()) : int(keep.sum()) + int(whole.sum())] = False
+        starts, ends, doc, plain = starts[order], ends[order], doc[order], plain[order]
         low = _LOWER[data]
         h = range_hashes(prefix_hashes(low), starts, ends)
         for k in np.flatnonzero(ends - starts > LONG).tolist():
@@ -230,7 +237,7 @@ class CachedEncoder:
         new = [k for k, x in enumerate(keys) if x not in self.known]
         if new:
             raw = data.tobytes()
-            self._learn([keys[k] for k in new], [raw[starts[first[k]] : ends[first[k]]].decode() for k in new])
+            self._learn([keys[k] for k in new], [raw[starts[first[k]] : ends[first[k]]].decode() for k in new], plain[first[new]].tolist())
         entry = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
         n = self.length[entry]
         before = np.cumsum(n) - n
