@@ -59,23 +59,31 @@ def group_in_batch(mentions: DataFrame, fuzzy: DataFrame, auto: float = AUTO_THR
     mention whose node it joins; its own for creators; null where the store node of `fuzzy` takes it).
 
     As if taken one by one: a mention joins the earliest creator of its type that shares a match key; else the store node
-    that it resembles to `auto` or more takes it; else it creates a node. Each round settles all mentions with no unsettled
-    earlier neighbour, so rounds follow the longest chain of neighbours, not the number of mentions."""
-    keys = mentions.select("run_id", "mention_id", "pos", "type", F.explode(match_keys("mention")).alias("key")).where("key <> ''")
-    late, early = keys, keys.select("run_id", "type", "key", F.col("mention_id").alias("early"), F.col("pos").alias("early_pos"))
-    near = cut(late.join(early, ["run_id", "type", "key"]).where("early_pos < pos").select("mention_id", "early", "early_pos").distinct(), "near")
-    state = cut(mentions.select("mention_id").join(fuzzy.where(F.col("score") >= auto).select("mention_id", F.lit(True).alias("stored")), "mention_id", "left").select("mention_id", F.coalesce("stored", F.lit(False)).alias("stored"), F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("creator")), "state")
+    that it resembles to `auto` or more takes it; else it creates a node. Mentions and keys are a bipartite graph over which two
+    minima travel each round: a key's earliest creator, and its earliest mention that may yet become one (open; not one that the
+    store would take). A mention joins a creator that stands before all open ones, and settles alone if it has neither. So rounds
+    follow the longest chain of such mentions, and each is linear in mentions and keys, however many share a key."""
+    by = ["run_id", "type", "key"]
+    taken = fuzzy.where(F.col("score") >= auto).select("mention_id", F.lit(True).alias("stored"))
+    state = mentions.select("mention_id").join(taken, "mention_id", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+    state = cut(state.select("mention_id", "stored", F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("creator")), "state")
+    keys = cut(mentions.select("run_id", "mention_id", "pos", "type", F.explode(match_keys("mention")).alias("key")).where("key <> ''"), "keys")
     while True:
-        e = near.join(state.select(F.col("mention_id").alias("early"), F.col("outcome").alias("early_outcome")), "early")
-        seen = e.groupBy("mention_id").agg(
-            F.min(F.when(F.col("early_outcome") == "created", F.struct("early_pos", "early"))).alias("first"),
-            F.min(F.when(F.col("early_outcome").isNull(), F.col("early_pos"))).alias("open"),
+        open_ = F.col("outcome").isNull() & ~F.col("stored")
+        least = keys.join(state, "mention_id").groupBy(*by).agg(
+            F.min(F.when(F.col("outcome") == "created", F.struct(F.col("pos").alias("at"), F.col("mention_id").alias("who")))).alias("made"),
+            F.min(F.when(open_, F.col("pos"))).alias("open"),
         )
-        s = state.join(seen, "mention_id", "left")
-        joins = F.col("first").isNotNull() & (F.col("open").isNull() | (F.col("open") > F.col("first.early_pos")))
+        waiting = keys.join(state.where("outcome is null").select("mention_id"), "mention_id", "left_semi")
+        near = waiting.join(least, by).groupBy("mention_id").agg(
+            F.min(F.when(F.col("made.at") < F.col("pos"), F.col("made"))).alias("first"),
+            F.min(F.when(F.col("open") < F.col("pos"), F.col("open"))).alias("open"),
+        )
+        s = state.join(near, "mention_id", "left")
+        joins = F.col("first").isNotNull() & (F.col("open").isNull() | (F.col("open") > F.col("first.at")))
         alone = F.col("first").isNull() & F.col("open").isNull()
         outcome = F.when(F.col("outcome").isNotNull(), F.col("outcome")).when(joins, "joined").when(alone & F.col("stored"), "stored").when(alone, "created")
-        creator = F.when(F.col("outcome").isNotNull(), F.col("creator")).when(joins, F.col("first.early")).when(alone & ~F.col("stored"), F.col("mention_id"))
+        creator = F.when(F.col("outcome").isNotNull(), F.col("creator")).when(joins, F.col("first.who")).when(alone & ~F.col("stored"), F.col("mention_id"))
         state = cut(s.select("mention_id", "stored", outcome.alias("outcome"), creator.alias("creator")), "state")
         if state.where("outcome is null").isEmpty():
             return state.select("mention_id", "outcome", "creator")

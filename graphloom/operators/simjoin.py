@@ -101,6 +101,8 @@ def candidates(left: DataFrame, right: DataFrame | None, threshold: float, typed
     similar. right=None: pairs a < b of left with itself."""
     x = _side(left, typed)
     y = x if right is None else _side(right, typed)
+    if x.isEmpty() or y.isEmpty():
+        return left.sparkSession.createDataFrame([], x.select(*[F.col(c).alias(n) for c, n in zip(("key", "key", "label", "label"), PAIR)]).schema)
     equal = _paired(x.select("key", "t", "label", "n"), y.select("key", "t", "label", "n"), ["t", "n"], F.lit(True))
     parts = [equal, _by_tokens(x, y, threshold), _by_pieces(x, y, threshold, False)]
     if right is not None:

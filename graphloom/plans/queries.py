@@ -156,9 +156,10 @@ def conflict_report(s, d):
 _SETS = "sets AS (SELECT owner_id AS id, substr(sha1(string_agg(ev_key, chr(10) ORDER BY ev_key)), 1, 12) AS evidence_set FROM ev GROUP BY owner_id)"
 
 
-@query(f""", {_SETS}, res AS (SELECT id, CASE WHEN evidence_set < '8' THEN 'active' ELSE 'deprecated' END AS r_status,
-    CASE WHEN evidence_set LIKE '%a%' THEN evidence_set ELSE 'old' END AS r_set FROM sets JOIN edges USING (id) WHERE edges.status = 'conflicted'),
-  pre AS (SELECT id, CASE WHEN type = 'EXECUTES' THEN 'deprecated' WHEN status = 'conflicted' AND evidence_set LIKE '%b%' THEN 'deprecated' ELSE status END AS status, status = 'conflicted' AS clash, evidence_set FROM edges JOIN sets USING (id))
+@query(""", clashing AS MATERIALIZED (SELECT id FROM edges WHERE status = 'conflicted'),
+  sets AS MATERIALIZED (SELECT owner_id AS id, substr(sha1(string_agg(ev_key, chr(10) ORDER BY ev_key)), 1, 12) AS evidence_set FROM ev SEMI JOIN clashing ON owner_id = clashing.id GROUP BY owner_id),
+  res AS (SELECT id, CASE WHEN evidence_set < '8' THEN 'active' ELSE 'deprecated' END AS r_status, CASE WHEN evidence_set LIKE '%a%' THEN evidence_set ELSE 'old' END AS r_set FROM sets),
+  pre AS (SELECT id, CASE WHEN type = 'EXECUTES' OR evidence_set LIKE '%b%' THEN 'deprecated' ELSE status END AS status, status = 'conflicted' AS clash, evidence_set FROM edges LEFT JOIN sets USING (id))
   SELECT id, CASE WHEN r_status IS NOT NULL AND r_set = evidence_set THEN r_status WHEN r_status IS NOT NULL AND status = 'deprecated' AND r_status <> 'deprecated' THEN 'deprecated'
     WHEN r_status IS NULL AND status = 'deprecated' THEN 'deprecated' WHEN clash THEN 'conflicted' ELSE 'active' END AS new_status FROM pre LEFT JOIN res USING (id)""")
 def status_recompute(s, d):

@@ -8,16 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.apply import SCHEMAS, Graph, empty_graph, import_batch
+from ..operators.apply import SCHEMAS, Graph, ImportResult, empty_graph, import_batch
 from ..schemas import BATCH_SCHEMA
-from ..sources.snapshots import SnapshotStore
+from ..sources.snapshots import CommitConflict, SnapshotStore
 
 
-def current_graph(store: SnapshotStore) -> Graph:
-    newest = store.latest(1) if store._exists(f"{store.root}/runs") else []
+def current_graph(store: SnapshotStore, branch: str = "main") -> Graph:
+    """The graph at a branch's newest version; a branch without versions starts from main's."""
+    newest = store.latest(1, branch) or store.latest(1)
     return Graph(**{t: store.load(t, newest[0]).select(*store.spark.createDataFrame([], SCHEMAS[t]).columns) for t in SCHEMAS}) if newest else empty_graph(store.spark)
 
 
+def import_run(store: SnapshotStore, batches: DataFrame, name: str, branch: str = "main", retries: int = 0, **thresholds) -> ImportResult:
+    """Imports batches into a branch's newest version and publishes the outcome under a name, unless nothing changes. If another
+    writer publishes meanwhile, a CommitConflict; with retries, the import is made again from the new version first."""
+    while True:
+        parent = store.head(branch)
+        result = import_batch(current_graph(store, branch), batches, **thresholds)
+        try:
+            if not result.noop:
+                store.publish(name, result.graph.tables(), result.stats.head().asDict(), branch, parent)
+            return result
+        except CommitConflict:
+            if not retries:
+                raise
+            retries -= 1
+
+
 def ingest_stream(spark: SparkSession, path: str, store: SnapshotStore, checkpoint: str, after: Callable[[Graph], None] | None = None, once: bool = True) -> StreamingQuery:
     """Imports JSON batches that appear below path. A micro-batch that is run again imports nothing new, since evidence has an
     identity of its own; so with the checkpoint's progress each file counts once. A batch that changes nothing publishes
@@ -27,7 +44,7 @@ def ingest_stream(spark: SparkSession, path: str, store: SnapshotStore, checkpoi
         result = import_batch(current_graph(store), rows)
         if not result.noop:
             tag = f"stream-{epoch:08d}"
-            if tag not in [r.id for r in (store.runs(None).select("id").collect() if store._exists(f"{store.root}/runs") else [])]:
+            if store.runs(None).where(F.col("id") == tag).isEmpty():
                 store.publish(tag, result.graph.tables(), result.stats.head().asDict())
             if after:
                 after(result.graph)
