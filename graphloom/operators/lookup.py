@@ -30,11 +30,6 @@ def get_nodes(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     return nodes.join(split, ["type", "id"], "left_semi")
 
 
-def ordered_edges(edges: DataFrame) -> DataFrame:
-    """All edges by source, type, target reference: the order that breaks ties in traversals."""
-    return edges.orderBy("source_id", "type", "target_ref")
-
-
 def numbered_edges(edges: DataFrame) -> DataFrame:
     """All edges with seq, their place in that order from 1: sorted by ranges, and numbered from the sizes of the ranges before."""
     order = ("source_id", "type", "target_ref")
@@ -133,9 +128,3 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, evidence_total: DataFrame |
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def top_k(rows: DataFrame, k: int, by: Sequence[str] = (), score: str = "score", id_: str = "id") -> DataFrame:
-    """The k best rows of each group by score, ties by id; adds rank from 1."""
-    w = W.partitionBy(*by).orderBy(F.desc(score), id_)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import evidence_key, node_id_for, short_hash
-from ..functions.similarity import name_similarity, round4
-from ..functions.text import embedding_text, match_keys, segments, slug, tokens
+from ..functions.ids import node_id_for, short_hash
+from ..functions.text import embedding_text, segments, slug, tokens
 from ..operators import diff, evidence, iterate, lookup, resolve, retrieve, review, search, traversal, validate, vectors
 from ..operators.shared import cut
 from ..schemas import RetrievalConfig
@@ -452,6 +451,21 @@ def pagerank_1_round(s, d):
     return iterate.pagerank(_seeds(s, d, "policy"), adj, rounds=1).select("query_id", "id", F.round("rank", 8).alias("rank"))
 
 
+def _pagerank_sql(rounds: int) -> str:
+    steps = "r0 AS (SELECT id AS query_id, id, 1.0::DOUBLE AS r FROM seed)"
+    for k in range(1, rounds + 1):
+        steps += f", r{k} AS (SELECT query_id, id, sum(r) AS r FROM (SELECT query_id, dst AS id, 0.85 * r * p AS r FROM r{k - 1} JOIN mv ON src = id UNION ALL SELECT id, id, 0.15 FROM seed) GROUP BY ALL)"
+    return steps
+
+
+@query(f""", {_ADJ}, tot AS (SELECT src, sum(weight) AS t FROM adj GROUP BY src), seed AS (SELECT id FROM nodes WHERE type = 'policy'),
+  mv AS (SELECT src, dst, sum(weight / t) AS p FROM adj JOIN tot USING (src) GROUP BY ALL), {_pagerank_sql(4)}
+  SELECT query_id, id, round(r, 8) AS rank FROM r4""")
+def pagerank_4_rounds(s, d):
+    adj = store_adjacency(traversal.adjacency(_edges(s, d)))
+    return iterate.pagerank(_seeds(s, d, "policy"), adj, rounds=4).select("query_id", "id", F.round("rank", 8).alias("rank"))
+
+
 @query()
 def pagerank(s, d):
     adj = store_adjacency(traversal.adjacency(_edges(s, d)))
@@ -662,11 +676,15 @@ def similar_nodes(s, d):
 # Texts
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-  h AS (SELECT *, regexp_matches(line, '^#{1,4}\\s+[^\\r]*$') AS is_h FROM l), p AS (SELECT *, sum(is_h::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM h),
-  s AS (SELECT doc_id, part, max(CASE WHEN is_h THEN regexp_replace(regexp_extract(line, '^#{1,4}\\s+(.*)$', 1), '^\\s+|\\s+$', '', 'g') END) AS head,
+def _sections_sql(texts: str, shown: str) -> str:
+    return f"""WITH x AS ({texts}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM x WHERE text IS NOT NULL),
+  h AS (SELECT *, regexp_matches(line, '^#{{1,4}}\\s+[^\\r]*$') AS is_h FROM l), p AS (SELECT *, sum(is_h::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM h),
+  s AS (SELECT doc_id, part, max(CASE WHEN is_h THEN regexp_replace(regexp_extract(line, '^#{{1,4}}\\s+(.*)$', 1), '^\\s+|\\s+$', '', 'g') END) AS head,
     regexp_replace(string_agg(CASE WHEN NOT is_h THEN line END, chr(10) ORDER BY pos), '^\\s+|\\s+$', '', 'g') AS content FROM p GROUP BY ALL)
-  SELECT doc_id, part::INT AS section, coalesce(head, 'introducción') AS heading, sha1(content) AS content FROM s WHERE content <> ''""", graph=False)
+  SELECT doc_id, part::INT AS section, coalesce(head, 'introducción') AS heading, {shown} FROM s WHERE content <> ''"""
+
+
+@query(_sections_sql("SELECT doc_id, text FROM documents", "sha1(content) AS content"), graph=False)
 def doc_sections(s, d):
     return documents.sections(read(s, d, "documents")).select("doc_id", "section", "heading", F.sha1("content").alias("content"))
 
@@ -692,7 +710,7 @@ def html_text(s, d):
     return read(s, d, "pages").select("page_id", F.sha1(documents.html_text("html")).alias("text_sha1"))
 
 
-@query()
+@query(_sections_sql(f"SELECT page_id AS doc_id, {_html_sql('html')} AS text FROM pages", "length(content)::INT AS n"), graph=False)
 def page_sections(s, d):
     p = read(s, d, "pages").select(F.col("page_id").alias("doc_id"), documents.html_text("html").alias("text"))
     return documents.sections(p).select("doc_id", "section", "heading", F.length("content").alias("n"))
@@ -729,5 +747,3 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
     """Context retrieval."""
     return context(s, d)
 
-
-__all__ = ["ORACLES", "QUERIES", "evidence_key", "flagship", "match_keys", "name_similarity", "round4"]
