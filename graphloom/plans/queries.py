@@ -448,7 +448,7 @@ def spreading_activation_2hop(s, d):
   SELECT query_id, id, round(sum(r), 8) AS rank FROM mv GROUP BY ALL""")
 def pagerank_1_round(s, d):
     adj = store_adjacency(traversal.adjacency(_edges(s, d)))
-    return iterate.pagerank(_seeds(s, d, "policy"), adj, rounds=1).select("query_id", "id", F.round("rank", 8).alias("rank"))
+    return iterate.pagerank(_seeds(s, d, "policy"), adj, rounds=1, tolerance=0).select("query_id", "id", F.round("rank", 8).alias("rank"))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -463,7 +463,7 @@ def _pagerank_sql(rounds: int) -> str:
   SELECT query_id, id, round(r, 8) AS rank FROM r4""")
 def pagerank_4_rounds(s, d):
     adj = store_adjacency(traversal.adjacency(_edges(s, d)))
-    return iterate.pagerank(_seeds(s, d, "policy"), adj, rounds=4).select("query_id", "id", F.round("rank", 8).alias("rank"))
+    return iterate.pagerank(_seeds(s, d, "policy"), adj, rounds=4, tolerance=0).select("query_id", "id", F.round("rank", 8).alias("rank"))
 
 
 @query()
@@ -653,7 +653,7 @@ def context(s, d):
     me = F.concat(F.lit("entity-doc-"), F.col("doc_id").cast("string"))
     hub = lambda c: x.select(me.alias("source_id"), F.concat(F.lit(f"entity-{c}-"), F.col(c)).alias("target_id"), F.lit("PART_OF").alias("type"), F.lit(0.7).alias("confidence")).where("target_id is not null")
     edges = hub("source").unionByName(hub("lang")).withColumn("id", F.sha1(F.concat_ws("|", "type", "source_id", "target_id")))
-    nodes = text.words.select("id", "type", F.array_join("name", " ").alias("name")).unionByName(edges.select(F.col("target_id").alias("id"), F.lit("entity").alias("type"), F.col("target_id").alias("name")).distinct())
+    nodes = text.all_words().select("id", "type", F.array_join("name", " ").alias("name")).unionByName(edges.select(F.col("target_id").alias("id"), F.lit("entity").alias("type"), F.col("target_id").alias("name")).distinct())
     kept, _ = retrieve.context(_queries(words), None, nodes, cut(edges, "edges"), indexed=text)
     return kept.select("query_id", "id", "seed", F.round("score", 6).alias("score"), "distance")
 
