@@ -4,11 +4,11 @@ Patterns give the base spans. Beside them, every long run of key characters is a
 characters that it has, and three tests ask whether it could be uniform random in that alphabet (chi-squared uniformity, runs
 about the median, serial correlation). Fisher's method combines their p-values into one.
 
-Random strings have p-values spread evenly over 0 to 1, all else has them near 0. So within each band of lengths the count of
-p-values over a half tells how many random strings there are, and with it which share of those over any threshold is not random:
-the least threshold at which that share, the false-discovery rate, is small enough is taken. Short words can pass for random
-by these tests alone; candidates take part only if a likelihood ratio against ordinary words, in which characters keep their class
-(lower case, capitals, digits, signs), bounds the chance that a word looks so random.
+Random strings seldom fail these tests, and short words may pass them too. So each candidate also has a likelihood ratio of the
+uniform alphabet to ordinary words, in which characters keep their class (lower case, capitals, digits, signs). For a word its
+mean is one at most, which makes it an e-value against "this is a word"; it counts as 0 if the battery rejects randomness. Within each band
+of lengths the Benjamini-Hochberg rule for e-values then takes the k candidates of the m in the band whose e-values are m / (k rate)
+or more, for the greatest such k. Of these an expected share of `rate` at most are words, however the candidates depend on each other.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 #: Length bands of candidates, by their least length.
 BANDS = (20, 32, 64, 128)
-#: Cells of combined p-values.
-CELLS = 200
+#: Cells of e-values: tenths of their decimal logarithm, and the last for all greater ones.
+CELLS = 400
+#: Alphabets that an encoding is inferred from (a case each): the ratio is that of their mixture, so it is divided by them.
+ALPHABETS = 9
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int) -> list[Column]:
@@ -109,37 +111,33 @@ def combined(*p: Column) -> Column:
     return F.exp(-half) * (1 + half + half * half / 2)
 
 
-def threshold(counts: dict[int, int], rate: float) -> int | None:
-    """From counts of p-values by cell (of CELLS): the least cell from which on at most `rate` of all aren't random.
-
-    Evenly spread p-values are twice those over a half, and one more as a count is known only so well."""
-    random = 2 * (sum(n for x, n in counts.items() if x >= CELLS // 2) + 1)
+def threshold(counts: dict[int, int], m: int, rate: float) -> int | None:
+    """From counts of e-values by cell (tenths of log10, rounded down) and the number m of all candidates: the least cell of those
+    that are taken, or None. So many are taken, k, that each has an e-value of m / (k rate) or more."""
     above, least = 0, None
-    for x in range(CELLS - 1, -1, -1):
-        above += counts.get(x, 0)
-        if above and 1 - (1 - x / CELLS) * random / above <= rate:
+    for x in sorted(counts, reverse=True):
+        above += counts[x]
+        if x / 10 >= math.log10(m / (above * rate)):
             least = x
     return least
 
 
-def discovered(candidates: DataFrame, rate: float = 0.01, level: float = 0.001, word: float = 4.0) -> DataFrame:
-    """Candidates (with `battery`'s columns) that pass for random at a false-discovery rate of `rate` among the candidates of each
-    length band.
-
-    Only candidates that aren't rejected at `level` count, and only those whose word_bound is `word` or more: a word looks so
-    random in one of 10,000 cases at most, by default."""
+def discovered(candidates: DataFrame, rate: float = 0.01, level: float = 0.001) -> DataFrame:
+    """Candidates (with `battery`'s columns) that are taken for random, at a false-discovery rate of `rate` within each length band.
+    None is that the battery rejects at `level`; but all count in their band."""
     band = F.element_at(F.filter(F.array(*map(F.lit, BANDS)), lambda b: b <= F.greatest("n", F.lit(BANDS[0]))), -1)
-    cell = F.least(F.floor(F.col("p_random") * CELLS), F.lit(CELLS - 1)).cast("int")
-    tested = candidates.where(F.col("word_bound") >= word).withColumn("_band", band).withColumn("_cell", cell)
+    weight = F.when(F.col("p_random") >= level, F.col("word_bound") - math.log10(ALPHABETS)).otherwise(F.lit(-1.0))
+    cell = F.greatest(F.least(F.floor(weight * 10), F.lit(CELLS)), F.lit(-1)).cast("int")
+    tested = candidates.withColumn("_band", band).withColumn("_cell", cell)
     counts: dict[int, dict[int, int]] = {}
     for r in tested.groupBy("_band", "_cell").count().collect():  # bands times cells at most
         counts.setdefault(r["_band"], {})[r["_cell"]] = r["count"]
     passes = F.lit(False)
     for b, own in counts.items():
-        least = threshold(own, rate)
+        least = threshold({x: n for x, n in own.items() if x >= 0}, sum(own.values()), rate)
         if least is not None:
             passes = passes | ((F.col("_band") == b) & (F.col("_cell") >= least))
-    return tested.where(passes & (F.col("p_random") >= level)).drop("_band", "_cell")
+    return tested.where(passes).drop("_band", "_cell")
 
 
 def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:

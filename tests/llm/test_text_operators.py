@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -591,17 +592,74 @@ def test_lines_of_odd_rows(spark, odd, none):
 
 
 def test_randomness_threshold_and_p_values(spark):
+    from math import erfc, exp, log, log10, sqrt
+
     rng = random.Random(77)
-    even, low = [rng.random() for _ in range(4000)], [rng.random() * 0.2 for _ in range(4000)]
-    counts = collections.Counter(int(p * secrets.CELLS) for p in even + low)
-    least = secrets.threshold(counts, 0.05) / secrets.CELLS
-    taken = [p for p in low if p >= least]
-    assert 0.1 < least <= 0.21 and len(taken) <= 0.08 * (len(taken) + sum(p >= least for p in even))
-    assert secrets.threshold({0: 50}, 0.01) is None and secrets.threshold({}, 0.01) is None
-    from math import erfc, exp, log, sqrt
+    for _ in range(200):  # the rule, by trying every number of discoveries
+        e = [rng.choice((0, 0, 1, 5, rng.randrange(60))) / 10 for _ in range(rng.randrange(1, 60))]
+        m, rate = len(e) + rng.randrange(20), 0.05
+        fits = [k for k in range(1, len(e) + 1) if sorted(e, reverse=True)[k - 1] >= log10(m / (k * rate))]
+        least = secrets.threshold(collections.Counter(round(x * 10) for x in e), m, rate)
+        assert (0 if least is None else sum(round(x * 10) >= least for x in e)) == max(fits, default=0)
+    assert secrets.threshold({}, 3, 0.01) is None and secrets.threshold({19: 5}, 5, 0.01) is None and secrets.threshold({20: 5}, 5, 0.01) == 20
+    assert secrets.threshold({20: 1}, 1000, 0.01) is None and secrets.threshold({50: 1}, 1000, 0.01) == 50
 
     rows = spark.createDataFrame([(z,) for z in (0.0, 0.5, -1.0, 2.0, 3.0)], "z double").select("z", secrets.two_sided(F.col("z")).alias("p")).collect()
     assert all(abs(r.p - erfc(abs(r.z) / sqrt(2))) < 5e-4 for r in rows)
     p = spark.range(1).select(secrets.combined(F.lit(0.5), F.lit(0.1), F.lit(0.9)).alias("p")).head().p
     x = -log(0.5 * 0.1 * 0.9)
     assert abs(p - exp(-x) * (1 + x + x * x / 2)) < 1e-12
+
+
+def plain_battery(token):
+    """The three tests, Fisher's p-value and the likelihood ratio, one string at a time; normal tails by the operator's formula,
+    whose error has a test of its own."""
+    from math import exp, log, log10, sqrt
+
+    body = token.rstrip("=")
+    sets = [("[0-9]+", 10), ("[0-9a-f]+|[0-9A-F]+", 16), ("[a-z]+|[A-Z]+", 26), ("[A-Z2-7]+", 32), ("[a-z0-9]+|[A-Z0-9]+", 36)]
+    k, n = next((k for p, k in sets if re.fullmatch(p, body)), 64), len(body)
+    order = lambda c: ord(c) - 48 if c.isdigit() else ord(c) - 87 if c.islower() else ord(c) - 29 if c.isupper() else 62 + ord(c) % 2
+    p = [float(order(c)) for c in body]
+    chi, df = sum(body.count(c) ** 2 for c in set(body)) * k / n - n, k - 1
+    uniform = (max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))
+    z = [uniform / sqrt(2 / (9 * df))]
+    high = [x > sorted(p)[(n + 1) // 2 - 1] for x in p]
+    n1 = sum(high)
+    mean = 2 * n1 * (n - n1) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    z.append((1 + sum(a != b for a, b in zip(high, high[1:])) - mean) / sqrt(var) if var > 0 else 99.0)
+    mid = sum(p) / n
+    spread = sum((x - mid) ** 2 for x in p)
+    z.append(sum((a - mid) * (b - mid) for a, b in zip(p, p[1:])) / spread * sqrt(n) if spread > 0 else 99.0)
+    tail = [2 / (1 + exp(min(700, 1.5976 * a + 0.07056 * a**3))) for a in (min(abs(x), 30.0) for x in z)]
+    half = -sum(log(max(x, 1e-300)) for x in tail)
+    kind = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in body]
+    word = sum(log10((0.95 if a == b else 0.05 / 3) / (26, 26, 10, 4)[b]) for a, b in zip(kind, kind[1:]))
+    return exp(-half) * (1 + half + half * half / 2), max(0.0, -(n - 1) * log10(k) - word)
+
+
+def test_random_strings_are_told_from_words_as_by_a_plain_battery(spark):
+    rng = random.Random(5)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = ["configuration", "Interface", "management", "request", "Handler", "document", "version", "2024", "default", "translation"]
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    planted = [draw(chars, n) for n in (24, 40, 40, 80, 200)] + [draw("0123456789abcdef", n) for n in (40, 64, 64)]
+    natural = [draw("a", 30), "ab" * 20, "0123456789" * 3, "x" * 500]
+    while len(natural) < 150:
+        natural.append(("".join if len(natural) % 2 else "_".join)(rng.sample(words, 4))[: rng.randrange(20, 40)])
+    tokens = planted + natural
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(tokens)], "doc_id long, text string")
+    tested = {r.i: r for r in secrets.battery(spark.createDataFrame(list(enumerate(tokens)), "i long, kept string")).collect()}
+    taken, bands = set(), {}
+    for i, t in enumerate(tokens):
+        p, bound = plain_battery(t)
+        assert tested[i].p_random == pytest.approx(p, abs=1e-9) and tested[i].word_bound == pytest.approx(bound, abs=1e-6), t
+        e = bound - math.log10(secrets.ALPHABETS) if tested[i].p_random >= 0.001 else -1
+        bands.setdefault(max(b for b in secrets.BANDS if b <= max(len(t.rstrip("=")), 20)), []).append((min(math.floor(e * 10), secrets.CELLS) / 10, i))
+    for own in bands.values():
+        own.sort(reverse=True)
+        fits = [k for k in range(1, len(own) + 1) if own[k - 1][0] >= math.log10(len(own) / (k * 0.01))]
+        taken |= {i for _, i in own[: max(fits, default=0)]}
+    got = {r.doc_id for r in secrets.scan(df).where("spans like '%random%'").collect()}
+    assert got == taken and taken >= set(range(5)) and not {i for i in taken if i >= len(planted)}
