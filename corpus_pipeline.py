@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +12,29 @@ from graphloom.llm import containment, linededup, packing, quality, simhash
 from graphloom.llm.common import materialise, table
 
 
+OWN = {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def with_own_columns(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with columns that documents has beside its usual ones under other names meanwhile: operators replace columns of the
+    names that they add."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in OWN else f"_own_{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), sf_dir)
+        return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+    return run_stage
+
+
+@with_own_columns
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling takes."""
     return quality.importance_resample(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
 
 
+@with_own_columns
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the lines that match an earlier line; n_chars follows.
 
@@ -26,12 +47,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where(~emptied | F.col("text").isNull()).withColumn("n_chars", chars).select(*docs.columns)
 
 
+@with_own_columns
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Shingles of five words; fingerprints that
     differ in four of their 64 bits at most."""
     return simhash.drop_near_duplicates(docs)
 
 
+@with_own_columns
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
     return containment.decontaminate(docs, table(spark, sf_dir, "benchmark"))

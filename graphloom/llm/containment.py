@@ -196,4 +196,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs that hold no test item, with their columns."""
-    return with_matches(docs, benchmark, threshold, out="_leaks").where(F.size("_leaks") == 0).drop("_leaks")
+    free = next(n for n in ("_" * k + "leaks" for k in range(1, len(docs.columns) + 2)) if n not in docs.columns)
+    return with_matches(docs, benchmark, threshold, out=free).where(F.size(free) == 0).drop(free)

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from graphloom.llm import hilbert, simhash
+from graphloom.llm import containment, hilbert, simhash
 from graphloom.llm.queries import ORACLES, QUERIES
 
 
@@ -155,3 +155,21 @@ def test_small_tables_are_searched_whole(spark):
         for r in sorted(hilbert.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect(), key=lambda r: (r.query_id, r.rank)):
             got.setdefault(r.query_id, []).append(r.vec_id)
         assert {q: len(v) for q, v in got.items()} == {q: min(20, n - 1) for q in range(0, n, 20)}
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as p
+
+    names = ["log_weight", "sample_key", "n_lines", "n_removed", "_leaks", "leaks", "row", "rk", "gone", "h", "fp", "a.b"]
+    text = "some words that stand here in a row and are long enough"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(k, f"{text} number {k} and more of them", "en", "s", 3, *[f"{n}{k}" for n in names]) for k in range(3)]
+    docs, at = spark.createDataFrame(rows, schema), str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(7, "quite another item of five words")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names], name
+    assert containment.decontaminate(docs.drop("a.b"), spark.read.parquet(f"{at}/benchmark.parquet")).where("`_leaks` is not null").count() == 3
