@@ -96,8 +96,15 @@ def low_confidence_edges(s, d):
     return lookup.low_confidence(_edges(s, d)).select("id", "confidence", "source_id", "target_ref")
 
 
-@query("SELECT id, type FROM nodes WHERE id NOT IN (SELECT source_id FROM edges WHERE type = 'DEPENDS_ON') AND id NOT IN (SELECT target_id FROM edges WHERE type = 'DEPENDS_ON')")
+@query("SELECT id, type FROM nodes WHERE id NOT IN (SELECT source_id FROM edges) AND id NOT IN (SELECT target_id FROM edges)")
 def isolated_nodes(s, d):
+    """Nodes without any edge."""
+    return lookup.isolated(project.nodes(s, d), _edges(s, d), None).select("id", "type")
+
+
+@query("SELECT id, type FROM nodes WHERE id NOT IN (SELECT source_id FROM edges WHERE type = 'DEPENDS_ON') AND id NOT IN (SELECT target_id FROM edges WHERE type = 'DEPENDS_ON')")
+def independent_nodes(s, d):
+    """Nodes that depend on nothing and that nothing depends on."""
     return lookup.isolated(project.nodes(s, d), _edges(s, d, "DEPENDS_ON"), None).select("id", "type")
 
 
@@ -256,8 +263,9 @@ _EARLY = "1999-01-01"
 
 
 def _snapshot(s, d, early: bool) -> DataFrame:
-    ev = project.evidence_rows(s, d).where("type in ('GOVERNS', 'DEPENDS_ON')")
-    ev = ev.where(F.col("o1") < F.lit(_EARLY).cast("timestamp")) if early else ev
+    """All edges, from all evidence or from the evidence until a day; what has no day was always there."""
+    ev = project.evidence_rows(s, d)
+    ev = ev.where(F.col("o1").isNull() | (F.col("o1") < F.lit(_EARLY).cast("timestamp"))) if early else ev
     ev = evidence.dedup_evidence(ev, [F.col(x).asc_nulls_first() for x in project.ORDER])
     return evidence.score_edges(ev, ["owner_id", "source_id", "type", "target_ref", "target_id"])
 
@@ -266,10 +274,10 @@ def _score_sql(name: str, where: str) -> str:
     return f"""{name} AS (SELECT source_id, type, target_ref, least(99, coalesce(max(CASE WHEN stance = 'supports' THEN CASE WHEN source_type = 'interview' AND validated_by IS NOT NULL THEN 95 WHEN source_type = 'code' THEN 90 WHEN source_type = 'document' THEN 70 ELSE 60 END END)
     + 5 * (count(DISTINCT CASE WHEN stance = 'supports' THEN source_type END) - 1), 0)) / 100.0 AS confidence,
     CASE WHEN max(CASE WHEN stance = 'supports' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN stance = 'contradicts' THEN 1 ELSE 0 END) = 1 AND count(DISTINCT source_type || locator) >= 2 THEN 'conflicted' ELSE 'active' END AS status
-    FROM (SELECT * FROM raw WHERE type IN ('GOVERNS', 'DEPENDS_ON') AND {where} QUALIFY row_number() OVER (PARTITION BY owner_id, ev_key ORDER BY o1, o2, o3, o4, o5) = 1) GROUP BY ALL)"""
+    FROM (SELECT * FROM raw WHERE {where} QUALIFY row_number() OVER (PARTITION BY owner_id, ev_key ORDER BY o1, o2, o3, o4, o5) = 1) GROUP BY ALL)"""
 
 
-_DIFF = f""", {_score_sql("ea", f"o1 < TIMESTAMP '{_EARLY}'")}, {_score_sql("eb", "TRUE")},
+_DIFF = f""", {_score_sql("ea", f"(o1 IS NULL OR o1 < TIMESTAMP '{_EARLY}')")}, {_score_sql("eb", "TRUE")},
   de AS (SELECT source_id, type, target_ref, ea.confidence::DOUBLE AS before_confidence, ea.status AS before_status, eb.confidence::DOUBLE AS after_confidence, eb.status AS after_status,
     CASE WHEN ea.status IS NULL THEN 'added' WHEN eb.status IS NULL THEN 'removed' ELSE 'changed' END AS kind FROM ea FULL JOIN eb USING (source_id, type, target_ref)
     WHERE ea.status IS NULL OR eb.status IS NULL OR ea.status <> eb.status OR ea.confidence <> eb.confidence)"""
