@@ -24,3 +24,16 @@ def test_explore_starts_from_known_nodes(spark):
     assert [r.id for r in own.collect()] == ["a"]
     assert {(r.origin, r.id, r.distance) for r in near.select("origin", F.col("id"), "distance").collect()} == {("a", "a", 0), ("a", "b", 1)}
     assert {r.edge_id for r in touched.collect()} == {"e1", "e3"}
+
+
+def test_diversification_by_other_measures(spark):
+    """Similar are rows of one topic; relevant are those with many views, whatever their score."""
+    rows = [("q", "a", 1.0, "x", 9), ("q", "b", 0.9, "x", 8), ("q", "c", 0.2, "y", 5), ("q", "d", 0.1, "z", 1), ("r", "e", 0.0, "x", 0)]
+    pool = spark.createDataFrame(rows, "query_id string, id string, score double, topic string, views int")
+
+    def one_topic(own):
+        topic = own["topic"].to_numpy()
+        return lambda i: (topic == topic[i]).astype(float)
+
+    out = retrieve.mmr(pool, 3, 0.5, lambda own: own["views"].to_numpy(float) / 9, one_topic)
+    assert [(r.query_id, r.id, r.nth) for r in out.orderBy("query_id", "nth").collect()] == [("q", "a", 1), ("q", "c", 2), ("q", "d", 3), ("r", "e", 1)]
