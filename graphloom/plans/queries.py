@@ -732,8 +732,13 @@ def rule_candidates(s, d):
     return documents.rule_candidates(f, None, signals=signals, exclude=None).select("path", "line_start", "line_end", "signals")
 
 
-@query()
+@query("""WITH x AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(text, '([.!?;])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS l
+    FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT r, doc_id, generate_subscripts(l, 1) AS pos, regexp_replace(unnest(l), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS x FROM x),
+  g AS (SELECT *, sum((length(x) >= 15)::INT) OVER w + (first_value(length(x)) OVER w < 15)::INT AS facet FROM p WHERE x <> '' WINDOW w AS (PARTITION BY r ORDER BY pos))
+  SELECT doc_id, facet::INT AS facet, sha1(string_agg(x, ' ' ORDER BY pos)) AS text_sha1 FROM g WHERE facet <= 5 GROUP BY r, doc_id, facet""", graph=False)
 def facet_split(s, d):
+    """The first five facets of every document's text."""
     x = read(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(segments("text")).alias("facet", "text"))
     return x.select("doc_id", (F.col("facet") + 1).alias("facet"), F.sha1("text").alias("text_sha1"))
 
