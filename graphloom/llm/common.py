@@ -81,6 +81,13 @@ def byte_at(table: bytes, at: Column) -> Column:
     return F.ascii(F.substring(F.lit(bytearray(table)), at.cast("int") + 1, F.lit(1)).cast("string"))
 
 
+def stored_list(spark: SparkSession, values: np.ndarray, name: str) -> DataFrame:
+    """The values as one row with one array, on storage. Plans read it by `scalar()`: as a literal, it would stand in all descriptions
+    of these plans, which Spark keeps in the driver's memory (and 1 MB of bytes as 2 MB of hex digits)."""
+    row = pa.array([values], pa.list_(pa.from_numpy_dtype(values.dtype)))
+    return materialise(spark.createDataFrame(pa.table({"items": row})), name)
+
+
 def filter_cells(hashes: DataFrame) -> DataFrame:
     """The hash cells of column h, as a small table on storage (FILTER_CELLS rows at most)."""
     cells = hashes.select(F.pmod("h", F.lit(FILTER_CELLS)).cast("int").alias("_cell")).groupBy("_cell").agg(F.lit(1))

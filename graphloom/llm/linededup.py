@@ -19,14 +19,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_at, discard, filter_cells, materialise, maybe_in, row_key
+from .common import byte_at, discard, filter_cells, materialise, maybe_in, row_key, stored_list
 
 #: Cells of the table of word counts (a byte each in the plan).
 CELLS = 1 << 18
-#: Bytes of the bitmap that tells which tokens may be wanted, of seven bits each (in the plan).
+#: Items of the bitmap that tells which tokens may be wanted, of 64 bits each.
 BITMAP = 1 << 18
 MASK = (1 << 48) - 1
 #: Distinct words from which a line has 128 parities, rather than 64.
@@ -48,7 +49,8 @@ def word_set(line: Column) -> Column:
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """rk, doc_id, line_no, line: the lines of docs (doc_id, text)."""
-    return docs.select(row_key(), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    keyed = docs.select(row_key(), F.col("doc_id").cast("long").alias("doc_id"), "text")  # else each line would hash the whole text
+    return keyed.select("rk", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 def _cell(h: Column) -> Column:
@@ -65,20 +67,25 @@ def rarity(docs: DataFrame) -> bytes:
     return bytes(table)
 
 
-def bitmap(tokens: DataFrame) -> bytes:
-    """Marks the tokens (column token); BITMAP rows at most reach the driver."""
-    cell = F.pmod(F.xxhash64("token"), F.lit(7 * BITMAP))
-    bits = tokens.select(F.floor(cell / 7).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1), (cell % 7).cast("int")).alias("bit"))
-    found, table = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas(), bytearray(BITMAP)
-    for at, b in zip(found["at"], found["bits"]):
-        table[at] = b
-    return bytes(table)
+def _bit(token: Column) -> tuple[Column, Column]:
+    """The item of a bitmap that has the token, and the token's bit in it."""
+    h = F.xxhash64(token)
+    return F.pmod(F.shiftright(h, 6), F.lit(BITMAP)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
 
+def bitmap(tokens: DataFrame) -> DataFrame:
+    """Marks the tokens (column token); BITMAP rows at most reach the driver. One stored row."""
+    at, bit = _bit(F.col("token"))
+    bits = tokens.select(at.alias("at"), bit.alias("bit"))
+    found, table = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas(), np.zeros(BITMAP, np.int64)
+    table[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return stored_list(tokens.sparkSession, table, "bitmap")
 
-def marked(token: Column, table: bytes) -> Column:
+
+def marked(token: Column, table: DataFrame) -> Column:
     """Whether a bitmap has a token: always for those that it was made of, seldom for others while it isn't full."""
-    cell = F.pmod(F.xxhash64(token), F.lit(7 * BITMAP))
-    return byte_at(table, F.floor(cell / 7)).bitwiseAND(F.call_function("shiftleft", F.lit(1), (cell % 7).cast("int"))) != 0
+    at, bit = _bit(token)
+    return table.scalar()[at].bitwiseAND(bit) != 0
 
 
 def tokenised(docs: DataFrame, ranks: bytes, num: int, den: int) -> DataFrame:
@@ -141,12 +148,13 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
         raise ValueError("threshold must be within 0.5 and 1")
     num, den = round(threshold * 1000), 1000
     docs = docs.select("doc_id", "text").where("text is not null")
-    lines = materialise(tokenised(docs, rarity(docs), num, den), "lines")
-    lines, n = lines.where(F.col("n") >= min_words), F.col("n")
+    whole = materialise(tokenised(docs, rarity(docs), num, den), "lines")
+    lines, n = whole.where(F.col("n") >= min_words), F.col("n")
     place = F.struct("doc_id", "rk", "line_no")
     classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("at"), "prefix", "sig", "sig2")).alias("m"))
     classes = materialise(classes.select("s1", "n", "m.at.*", "m.prefix", "m.sig", "m.sig2"), "classes")
-    discard()
+    lines = materialise(lines.select("doc_id", "rk", "line_no", "s1"), "line-classes")  # all that is still wanted of a line
+    discard(whole)
     # Smaller sets match equal ones alone: n / (n + 1) is under the threshold.
     tokens = classes.where(n * (den - num) >= num).select("s1", "n", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "sig", "sig2", F.posexplode("prefix").alias("pos", "token"))
     tokens = tokens.select("token", "doc", "s1", (n.cast("long") * (1 << 31) + F.col("pos")).alias("np"), "sig", "sig2")
@@ -160,7 +168,8 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
     def matched(some: DataFrame) -> DataFrame:
         """s1 of the classes of some (rows of later) that have an earlier match."""
         some = materialise(some, "open")
-        earlier = tokens.where(marked(F.col("token"), bitmap(some))).alias("x").join(some.alias("y"), _candidates(num, den, "x", "y") & order, "left_semi")
+        wanted = bitmap(some)
+        earlier = tokens.where(marked(F.col("token"), wanted)).alias("x").join(some.alias("y"), _candidates(num, den, "x", "y") & order, "left_semi")
         earlier = materialise(earlier, "earlier")
         texts = _first_lines(docs, classes, some.select("s1").union(earlier.select("s1")))
         y, x = some.join(texts, "s1").alias("y"), earlier.join(texts, "s1").alias("x")
@@ -168,7 +177,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
         similar = F.size(F.array_intersect(wx, wy)).cast("long") * (num + den) >= (F.size(wx) + F.size(wy)).cast("long") * num
         before = F.col("x.at") < F.col("y.at")
         out = materialise(y.join(x, _candidates(num, den, "x", "y") & before & similar, "left_semi").select("s1").distinct(), "matched")
-        discard(some, earlier, texts)
+        discard(some, wanted, earlier, texts)
         return out
 
     rarest = later.groupBy("s1").agg(F.min("np").alias("np"))  # under their rarest token first
@@ -177,7 +186,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
     # A class's first line stays unless an earlier class matches it; its other lines go.
     stays = classes.select("s1", place.alias("at")).join(found.unionByName(rest), "s1", "left_anti")
     gone = materialise(lines.select(place.alias("at"), "s1").join(stays, ["s1", "at"], "left_anti").select("at.*"), "repeated")
-    discard(classes, later, found, rest)
+    discard(lines, classes, later, found, rest)
     return gone
 
 

@@ -591,6 +591,20 @@ def test_lines_of_odd_rows(spark, odd, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_bitmap_of_tokens_stays_out_of_plans(spark):
+    some, all_tokens = spark.range(-900, 900, 3).selectExpr("cast(id as int) token"), spark.range(-900, 9000).selectExpr("cast(id as int) token")
+    left = all_tokens.where(linededup.marked(F.col("token"), linededup.bitmap(some)))
+    found = {r.token for r in left.collect()}
+    assert found >= set(range(-900, 900, 3)) and len(found) < 700
+    assert len(left._jdf.queryExecution().toString()) < 20_000  # Spark keeps descriptions of plans in the driver's memory
+    assert left.where("false").count() == 0 and not all_tokens.where(linededup.marked(F.col("token"), linededup.bitmap(some.limit(0)))).head(1)
+
+
+def test_lines_hash_a_text_once(spark):
+    plan = linededup.line_rows(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64")
+
+
 def test_randomness_threshold_and_p_values(spark):
     from math import erfc, exp, log, log10, sqrt
 
