@@ -132,13 +132,14 @@ def _candidates(num: int, den: int, x: str, y: str) -> Column:
 
 
 def _first_lines(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """s1, at, line of the wanted classes (s1): their first lines, which are read from docs again."""
+    """s1, at, words (the word set) of the wanted classes (s1): their first lines, which are read from docs again."""
     spots = materialise(classes.join(wanted.distinct(), "s1", "left_semi").select("s1", "doc_id", "rk", "line_no"), "spots")
-    known = filter_cells(spots.select(F.xxhash64("rk", "line_no").alias("h")))
-    lines = maybe_in(line_rows(docs).select("rk", "line_no", "line"), F.xxhash64("rk", "line_no"), known)
-    found = lines.join(spots, ["rk", "line_no"]).select("s1", F.struct("doc_id", "rk", "line_no").alias("at"), "line")
-    out = materialise(found.dropDuplicates(["s1"]), "first-lines")  # repeated rows have the same lines
-    discard(spots, known)
+    known, theirs = filter_cells(spots.select(F.xxhash64("rk", "line_no").alias("h"))), filter_cells(spots.select(F.col("rk").alias("h")))
+    keyed = maybe_in(docs.select(row_key(), "text"), F.col("rk"), theirs)  # other documents aren't parted into lines
+    lines = maybe_in(keyed.select("rk", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")), F.xxhash64("rk", "line_no"), known)
+    found = lines.join(spots, ["rk", "line_no"]).select("s1", F.struct("doc_id", "rk", "line_no").alias("at"), "line").dropDuplicates(["s1"])  # repeated rows have the same lines
+    out = materialise(found.select("s1", "at", word_set(F.col("line")).alias("words")), "first-lines")
+    discard(spots, known, theirs)
     return out
 
 
@@ -173,7 +174,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1)
         earlier = materialise(earlier, "earlier")
         texts = _first_lines(docs, classes, some.select("s1").union(earlier.select("s1")))
         y, x = some.join(texts, "s1").alias("y"), earlier.join(texts, "s1").alias("x")
-        wx, wy = word_set(F.col("x.line")), word_set(F.col("y.line"))
+        wx, wy = F.col("x.words"), F.col("y.words")
         similar = F.size(F.array_intersect(wx, wy)).cast("long") * (num + den) >= (F.size(wx) + F.size(wy)).cast("long") * num
         before = F.col("x.at") < F.col("y.at")
         out = materialise(y.join(x, _candidates(num, den, "x", "y") & before & similar, "left_semi").select("s1").distinct(), "matched")
@@ -210,7 +211,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 1) ->
     def named(text: Column, removed: Column) -> list[Column]:
         return [*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], total, removed.cast("long").alias("n_removed")]
 
-    theirs = gone.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "gone")
+    # Whole texts are exchanged, but not sorted: the other side has a short row a document.
+    theirs = gone.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "gone").hint("shuffle_hash")
     same = (F.col("rk") == F.col("_rk")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     hit = maybe_in(rows, F.col("rk"), known).join(theirs, same, "left")
     stays = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), F.array_contains("gone", i).alias("gone"))), lambda s: ~s["gone"])

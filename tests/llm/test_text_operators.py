@@ -600,6 +600,26 @@ def test_bitmap_of_tokens_stays_out_of_plans(spark):
     assert left.where("false").count() == 0 and not all_tokens.where(linededup.marked(F.col("token"), linededup.bitmap(some.limit(0)))).head(1)
 
 
+def test_lines_of_large_tables_sort_no_texts(spark):
+    rows = [(i, f"a line of several words that comes again\nand number {i} alone") for i in range(20)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.n_removed for r in out.collect()) == [0, *[1] * 19]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_first_lines_come_with_their_words(spark):
+    docs = spark.createDataFrame([(i, f"one {i}\ntwo Words words {i}") for i in range(300)], "doc_id long, text string")
+    classes = linededup.line_rows(docs).select(F.xxhash64("line").alias("s1"), "doc_id", "rk", "line_no")
+    wanted = classes.where("doc_id = 7 and line_no = 1").select("s1")
+    found = linededup._first_lines(docs, classes, wanted).collect()
+    assert [(r["at"].doc_id, r["at"].line_no, sorted(r.words)) for r in found] == [(7, 1, ["7", "two", "words"])]
+
+
 def test_lines_hash_a_text_once(spark):
     plan = linededup.line_rows(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("xxhash64")
