@@ -87,9 +87,10 @@ def working_changes(s, d):
     """Changes of unpublished nodes and edges against the newest of two published versions."""
     before, now = _node_states(s, d)
     store = SnapshotStore(s, f"{shared_dir(s)}/graphloom/working-{uuid.uuid4().hex}")
-    early, late = cut(_snapshot(s, d, True), "edges"), cut(_snapshot(s, d, False), "edges")
-    store.publish("first", {"nodes": now, "edges": late}, {})
-    store.publish("second", {"nodes": before, "edges": early}, {})
+    compared = ("source_id", "type", "target_ref", "confidence", "status")
+    store.publish("first", {"nodes": now, "edges": _snapshot(s, d, False).select(*compared)}, {})
+    late = store.load("edges", store.latest(1)[0])  # as stored, it isn't derived again
+    store.publish("second", {"nodes": before, "edges": _snapshot(s, d, True).select(*compared)}, {})
     nodes, edges = diff.diff_working(store, {"nodes": now, "edges": late})
     key = short_hash(F.concat_ws("|", "source_id", "type", "target_ref")).alias("key")
     return edges.select(F.lit("edge").alias("element"), key, "kind").unionByName(nodes.select(F.lit("node").alias("element"), F.col("id").alias("key"), "kind"))
@@ -119,7 +120,7 @@ _STEP = "list_append(seen, c.dst) AS seen, list_append(path, c.edge_id) AS path,
   FROM p WHERE id LIKE 'policy-%' QUALIFY rank <= 10""")
 def rule_policy_paths(s, d):
     """The ten strongest paths of up to three hops from every rule to every policy."""
-    nodes, edges = project.nodes(s, d), cut(_edges(s, d), "edges")
+    nodes, edges = project.nodes(s, d), cut(_edges(s, d).select("id", "source_id", "target_id", "type", "confidence"), "edges")
     rules, policies = (nodes.where(F.col("type") == t).select(F.col("id").alias(c)) for t, c in (("rule", "source"), ("policy", "target")))
     found = iterate.strongest_paths(rules.crossJoin(policies), nodes, edges, 10, 3)  # all pairs are asked for
     return found.select("source", "target", "rank", "strength", "hops", F.array_join("path", ",").alias("path"))
